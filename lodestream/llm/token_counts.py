@@ -10,21 +10,82 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections import Counter
+import re
+import unicodedata
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .shared import prepare
 
-# The byte-level pre-tokenizer's pattern, with its white space spelt out.
-_S = r"\p{White_Space}"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|{_S}+(?![^{_S}])|{_S}+"
+# The characters with the property White_Space, and what may follow an apostrophe as a word of its own.
+WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
-#: Words whose counts a worker keeps; the store is emptied when it is full, and longer words are counted anew.
-KEPT_WORDS, KEPT_LENGTH = 200_000, 64
+OTHER, LETTER, NUMBER, SPACE = range(4)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point."""
+    kinds = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(x))[0], OTHER) for x in range(0x110000)], np.uint8)
+    kinds[WHITE_SPACE] = SPACE
+    return kinds
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte-level pre-tokenizer's words of some texts: bounds in bytes, and each text's first word.
+
+    A word is a run of letters, of numbers or of other characters, with one
+    space before it if there is one; the rest of white space is a word, but
+    for a last character before a word, which is that word's space or a word.
+    An apostrophe that begins a word takes a contraction's letters from the
+    letters behind it, which go on as a word of their own.
+    """
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)  # the characters' first bytes
+    point = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    kind = _kinds()[point]
+    n = len(kind)
+    first = np.searchsorted(at, offsets)  # in characters
+    starts_text, ends_text = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    starts_text[first[:-1]] = True
+    ends_text[first[1:]] = True  # at the character after a text's last
+    change = np.empty(n + 1, bool)
+    change[0], change[-1] = True, True
+    change[1:-1] = kind[1:] != kind[:-1]
+    change |= starts_text | ends_text
+    runs = np.flatnonzero(change)
+    begin, end = runs[:-1], runs[1:]
+    cut = change[:n].copy()
+    # white space before something else in the same text: its last character stands apart,
+    white = (kind[begin] == SPACE) & (end < n) & ~ends_text[end]
+    last = end[white] - 1
+    cut[last] = True
+    # and if it is a space, what follows goes on from it
+    cut[last[point[last] == 0x20] + 1] = False
+    # contractions
+    marks = np.flatnonzero(cut[:-1] & (point[:-1] == 0x27) & (kind[1:] == LETTER) & ~ends_text[1:n])
+    for i in marks.tolist():
+        for letters in CONTRACTIONS:
+            stop = i + 1 + len(letters)
+            if point[i + 1 : stop].tolist() == [ord(c) for c in letters] and not ends_text[i + 2 : stop].any():
+                cut[i + 1] = False
+                if stop < n and kind[stop] == LETTER:
+                    cut[stop] = True
+                break
+    words = np.flatnonzero(cut)
+    return np.append(at[words], len(data)), np.searchsorted(words, first)
+
+
+#: Words whose counts a worker keeps, in two generations: a full one becomes the old one, whose words come back
+#: when they are met again.  Longer words are counted anew each time.
+KEPT_WORDS, KEPT_LENGTH = 300_000, 48
 
 
 def _byte_symbols() -> list[str]:
@@ -34,85 +95,105 @@ def _byte_symbols() -> list[str]:
     return [chr(b if b in set(plain) else next(spare)) for b in range(256)]
 
 
-def load_merges(tokenizer_json: bytes) -> tuple[dict[int, tuple[int, int]], list[int], list[str]]:
-    """Ranks of pairs as {left << 32 | right: (rank, merged symbol)}, the 256 byte symbols, the added strings."""
+def load_merges(tokenizer_json: bytes) -> tuple[list[dict[int, int]], list[int], list[int], list[str]]:
+    """Ranks of pairs [left][right], the symbol that each rank makes, the 256 byte symbols, the added strings."""
     spec = json.loads(tokenizer_json)
     vocab = spec["model"]["vocab"]
-    ranks = {}
+    ranks, made = [{} for _ in range(max(vocab.values()) + 1)], []
     for rank, pair in enumerate(spec["model"]["merges"]):
         left, right = pair.split(" ") if isinstance(pair, str) else pair
-        ranks.setdefault(vocab[left] << 32 | vocab[right], (rank, vocab[left + right]))
-    return ranks, [vocab[c] for c in _byte_symbols()], [t["content"] for t in spec.get("added_tokens", [])]
+        ranks[vocab[left]].setdefault(vocab[right], rank)
+        made.append(vocab[left + right])
+    return ranks, made, [vocab[c] for c in _byte_symbols()], [t["content"] for t in spec.get("added_tokens", [])]
 
 
-def count_symbols(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> int:
+def count_symbols(symbols: list[int], ranks: list[dict[int, int]], made: list[int]) -> int:
     """Symbols that are left after all merges."""
     n = len(symbols)
     if n < 2:
         return n
-    symbols = list(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        key = symbols[i] << 32 | symbols[i + 1]
-        if key in ranks:
-            heap.append((ranks[key][0], i, key))
+    # the rank of the pair that begins at each symbol, None for none; -1 where the symbol is gone
+    pairs = [ranks[a].get(b) for a, b in zip(symbols, symbols[1:])]
+    heap = [r * n + i for i, r in enumerate(pairs) if r is not None]
+    if not heap:
+        return n
     heapq.heapify(heap)
-    merges = 0
+    pairs.append(None)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    pop, push, left = heapq.heappop, heapq.heappush, n
     while heap:
-        _, i, key = heapq.heappop(heap)
-        j = after[i]
-        if symbols[i] < 0 or j >= n or symbols[i] << 32 | symbols[j] != key:
+        rank, i = divmod(pop(heap), n)
+        if pairs[i] != rank:
             continue  # one of the two has been merged since
-        merges += 1
-        symbols[i], symbols[j] = ranks[key][1], -1
+        left -= 1
+        j = after[i]
+        symbols[i] = symbol = made[rank]
+        pairs[j] = -1
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            key = symbols[i] << 32 | symbols[k]
-            if key in ranks:
-                heapq.heappush(heap, (ranks[key][0], i, key))
-        if (k := before[i]) >= 0:
-            key = symbols[k] << 32 | symbols[i]
-            if key in ranks:
-                heapq.heappush(heap, (ranks[key][0], k, key))
-    return n - merges
+            pairs[i] = r = ranks[symbol].get(symbols[k])
+            if r is not None:
+                push(heap, r * n + i)
+        else:
+            pairs[i] = None
+        k = before[i]
+        if k >= 0:
+            pairs[k] = r = ranks[symbols[k]].get(symbol)
+            if r is not None:
+                push(heap, r * n + k)
+    return left
 
 
 class TokenCounter:
     """Counts the tokens of texts; keeps the counts of recent short words."""
 
     def __init__(self, tokenizer_json: bytes):
-        self.ranks, self.bytes, added = load_merges(tokenizer_json)
-        self.words = regex.compile(PATTERN).findall
-        self.added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.kept: dict[str, int] = {}
+        self.ranks, self.made, self.bytes, self.added = load_merges(tokenizer_json)
+        self.kept: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
 
-    def word(self, word: str) -> int:
-        count = self.kept.get(word)
+    def word(self, word: bytes) -> int:
+        count = self.old.get(word)
         if count is None:
-            count = count_symbols([self.bytes[b] for b in word.encode()], self.ranks)
-            if len(word) <= KEPT_LENGTH:
-                if len(self.kept) >= KEPT_WORDS:
-                    self.kept.clear()
-                self.kept[word] = count
+            symbol = self.bytes
+            count = count_symbols([symbol[b] for b in word], self.ranks, self.made)
+        if len(word) <= KEPT_LENGTH:
+            if len(self.kept) >= KEPT_WORDS:
+                self.kept, self.old = {}, self.kept
+            self.kept[word] = count
         return count
 
-    def text(self, text: str) -> int:
-        if not text:
-            return 0
-        parts, total = [text], 0
-        if self.added is not None:
-            parts = self.added.split(text)
-            total = len(parts) - 1
-        kept, word = self.kept.get, self.word
-        for part in parts:
-            words = self.words(part)
-            if len(words) < 64:
-                total += sum((kept(w) or word(w)) for w in words)
-            else:
-                total += sum(n * (kept(w) or word(w)) for w, n in Counter(words).items())
-        return total
+    def plain(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Counts of texts without added strings."""
+        if not len(data):
+            return np.zeros(len(offsets) - 1, np.int64)
+        bounds, first = word_bounds(data, offsets)
+        raw, bounds = data.tobytes(), bounds.tolist()
+        words = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+        counts = list(map(self.kept.get, words))
+        for i, n in enumerate(counts):
+            if n is None:
+                word = words[i]
+                counts[i] = self.kept.get(word) or self.word(word)
+        return tk.segment_sum(np.array(counts, np.int64), first)
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Counts of whole texts; each added string inside a text is one token and parts its words."""
+        out = np.zeros(len(texts), np.int64)
+        special = np.zeros(len(texts), bool)
+        for added in self.added:
+            special |= pc.fill_null(pc.match_substring(texts, added), False).to_numpy(zero_copy_only=False)
+        if special.any():
+            split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))).split
+            for i in np.flatnonzero(special).tolist():
+                parts = split(texts[i].as_py())
+                out[i] = len(parts) - 1 + self.count_plain(pa.array(parts)).sum()
+            texts = pc.if_else(pa.array(special), "", texts)
+        return out + self.count_plain(texts)
+
+    def count_plain(self, texts: pa.Array) -> np.ndarray:
+        return np.concatenate([self.plain(data, offsets) for _, _, data, offsets in tk.chunks(texts)] or [np.zeros(0, np.int64)])
 
 
 _counters: dict[int, TokenCounter] = {}
@@ -138,14 +219,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, doc_id
         if key not in _counters:
             _counters.clear()
             _counters[key] = TokenCounter(spec.value)
-        count = _counters[key].text
+        count = _counters[key].count
         for batch in batches:
-            sizes, totals = [], []
-            for value in batch.column(1):
-                raw = value.as_py() or ""
-                sizes.append(len(raw.encode()))
-                totals.append(count(raw))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())], schema=schema)
+            sizes = np.diff(tk.string_buffers(batch.column(1))[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(count(batch.column(1)))], schema=schema)
 
     out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return out.select(F.col("doc_id").alias(doc_id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
