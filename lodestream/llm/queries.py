@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labelled, language_id, quality, toxicity
+from . import labelled, language_id, mixing, quality, toxicity
+from .embedding_duplicates import embedding_duplicates
 from .near_duplicates import near_duplicates
 from .shared import documents, prepare, remainder
 from .token_counts import token_counts
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op2_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -46,6 +55,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_mixing": op1_mixing,
+        "op2_embedding_duplicates": op2_embedding_duplicates,
         "op3_toxicity": op3_toxicity,
         "op4_near_duplicates": op4_near_duplicates,
         "op7_quality": op7_quality,
