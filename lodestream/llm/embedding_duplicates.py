@@ -1,17 +1,20 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-Filter directions form a random product code: the rotated vector is cut into
+Filter directions form random product codes: the rotated vector is cut into
 ``PARTS`` parts, each part has ``WORDS`` random unit words, and a direction is a
 choice of one word for each part.  A vector belongs to all filters whose
-direction it exceeds a threshold with; list decoding finds them without
-looking at all directions, as sums of two halves' scores.  Close vectors share
-many filters.  Members of a filter meet in tasks of two blocks at most, and a
-pair counts in the task of the smallest filter that it shares, so that links
-are counted once without a table of pairs.
+direction it exceeds its threshold with.  The threshold is a vector's own, as
+large as leaves ``LISTED`` directions: one for all would give vectors whose
+parts are uneven thousands of filters, and others none.  List decoding finds
+them without looking at all directions, as sums of two halves' scores.  Close
+vectors share many filters.  Members of a filter meet in tasks of two blocks at
+most, and a pair counts in the task of the smallest filter that it shares, so
+that links are counted once without a table of pairs.
 """
 
 from __future__ import annotations
 
+import itertools
 from functools import cache
 
 import numpy as np
@@ -23,46 +26,40 @@ from pyspark.sql import functions as F
 from .clusters import Forest, components
 from .shared import materialise, prepare
 
-PARTS, WORDS = 4, 48
-#: Filters of a vector on average; fixes the threshold.
-LISTED = 64
+#: Codes, parts of a vector, words of a part, filters of a vector in each code.
+CODES, PARTS, WORDS, LISTED = 2, 4, 64, 40
+#: Members of a filter that meet others at once.
 BLOCK = 128
 
 
 class Code:
-    """The product code of one dimension; the same in each process."""
+    """The product codes of one dimension; the same in each process."""
 
-    def __init__(self, dimension: int, words: int = WORDS, listed: int = LISTED):
-        rng = np.random.default_rng(dimension * 1000 + words)
+    def __init__(self, dimension: int):
+        rng = np.random.default_rng(dimension)
         self.wide = max(8, -(-dimension // PARTS) * PARTS)
-        self.words = words
-        self.turn = np.linalg.qr(rng.standard_normal((self.wide, self.wide)))[0][:dimension]
-        code = rng.standard_normal((PARTS, words, self.wide // PARTS))
-        self.code = code / np.linalg.norm(code, axis=2, keepdims=True)
-        # the threshold that random directions exceed ``listed`` filters with, by a histogram of all sums
-        x = rng.standard_normal((256, self.wide))
-        left, right = self.halves(x / np.linalg.norm(x, axis=1, keepdims=True))
-        edges = np.linspace(-2, 2, 4001)
-        seen = np.zeros(4000)
-        for a, b in zip(left, right, strict=True):
-            seen += np.histogram((np.sort(a)[::-1][:400, None] + np.sort(b)[::-1][None, :400]).ravel(), edges)[0]
-        above = np.cumsum(seen[::-1])[::-1] / len(x)
-        self.threshold = edges[int(np.argmax(above <= listed))]
-
-    def halves(self, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = turned.reshape(len(turned), PARTS, -1)
-        s = [parts[:, k] @ self.code[k].T for k in range(PARTS)]
-        return (s[0][:, :, None] + s[1][:, None, :]).reshape(len(turned), -1), (s[2][:, :, None] + s[3][:, None, :]).reshape(len(turned), -1)
-
-    def filters(self, unit: np.ndarray) -> list[np.ndarray]:
-        """All exceeding filter directions of each unit vector, ascending."""
-        left, right = self.halves(unit @ self.turn)
-        out = []
-        for a, b in zip(left, right, strict=True):
-            p, q = np.flatnonzero(a >= self.threshold - b.max()), np.flatnonzero(b >= self.threshold - a.max())
-            i, j = np.nonzero(a[p][:, None] + b[q][None, :] >= self.threshold)
-            out.append(p[i] * len(b) + q[j])
-        return out
+        self.turns, self.words = [], []
+        for _ in range(CODES):
+            self.turns.append(np.linalg.qr(rng.standard_normal((self.wide, self.wide)))[0][:dimension])
+            words = rng.standard_normal((PARTS, WORDS, self.wide // PARTS))
+            self.words.append(words / np.linalg.norm(words, axis=2, keepdims=True))
+
+    def filters(self, unit: np.ndarray) -> np.ndarray:
+        """The filters of each unit vector, ascending."""
+        out = np.empty((len(unit), CODES * LISTED), np.int64)
+        for k, (turn, words) in enumerate(zip(self.turns, self.words, strict=True)):
+            parts = (unit @ turn).reshape(len(unit), PARTS, -1)
+            s = [parts[:, m] @ words[m].T for m in range(PARTS)]
+            left = (s[0][:, :, None] + s[1][:, None, :]).reshape(len(unit), -1)
+            right = (s[2][:, :, None] + s[3][:, None, :]).reshape(len(unit), -1)
+            # a direction among the best has both of its halves among the best
+            p = np.argpartition(left, -LISTED, axis=1)[:, -LISTED:]
+            q = np.argpartition(right, -LISTED, axis=1)[:, -LISTED:]
+            both = np.take_along_axis(left, p, 1)[:, :, None] + np.take_along_axis(right, q, 1)[:, None, :]
+            best = np.argpartition(both.reshape(len(unit), -1), -LISTED, axis=1)[:, -LISTED:]
+            rows = np.arange(len(unit))[:, None]
+            out[:, k * LISTED : (k + 1) * LISTED] = (k * WORDS**2 + p[rows, best // LISTED]) * WORDS**2 + q[rows, best % LISTED]
+        return np.sort(out, axis=1)
 
 
 @cache
@@ -88,37 +85,64 @@ def _decode(batches):
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 found = code(dimension).filters(x / np.linalg.norm(x, axis=1, keepdims=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in part], pa.int64()), pa.array([dimension] * len(part), pa.int32()), pa.array([f.tolist() for f in found], pa.list_(pa.int64()))], schema=schema
+                    [pa.array([ids[i] for i in part], pa.int64()), pa.array([dimension] * len(part), pa.int32()), pa.array(list(found), pa.list_(pa.int64()))], schema=schema
                 )
 
 
+_GROUP = ["dimension", "key", "p", "q"]
+
+
+def _pairs(frame: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
+    """Links of one task: (id, links, root) of the members that have any."""
+    x = _matrix(frame["payload"].tolist())
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    norm = np.linalg.norm(x, axis=1)
+    near = (x @ x.T) / (norm[:, None] * norm[None, :]) >= threshold
+    np.fill_diagonal(near, False)
+    if not near.any():
+        return None
+    block = frame["block"].to_numpy()
+    if frame["p"].iloc[0] != frame["q"].iloc[0]:
+        near &= block[:, None] != block[None, :]
+    keep = near.any(axis=1)
+    near, frame = near[keep][:, keep], frame[keep]
+    if not len(frame):
+        return None
+    # pairs that meet in a smaller filter, too, count there
+    here = frame["key"].iloc[0]
+    low = [f[f < here] for f in map(np.asarray, frame["filters"])]
+    _, column = np.unique(np.concatenate(low), return_inverse=True)
+    shared = np.zeros((len(frame), (int(column.max()) + 1) if len(column) else 1), np.float32)
+    shared[np.repeat(np.arange(len(frame)), [len(f) for f in low]), column] = 1
+    near &= (shared @ shared.T) == 0
+    forest = Forest(len(frame))
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        forest.join(int(i), int(j))
+    ids, links = frame["id"].to_numpy(), near @ frame["copies"].to_numpy()
+    out = np.flatnonzero(links)
+    return pd.DataFrame({"id": ids[out], "links": links[out], "root": ids[[forest.root(int(i)) for i in out]]}, dtype=np.int64)
+
+
 def _linker(threshold: float):
-    def link(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        ids, copies, here = frame["id"].to_numpy(), frame["copies"].to_numpy(), int(frame["key"].iloc[0])
-        x = _matrix(frame["payload"].tolist())
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        norm = np.linalg.norm(x, axis=1)
-        near = (x @ x.T) / (norm[:, None] * norm[None, :]) >= threshold
-        np.fill_diagonal(near, False)
-        block = frame["block"].to_numpy()
-        if frame["p"].iloc[0] != frame["q"].iloc[0]:
-            near &= block[:, None] != block[None, :]
-        if near.any():
-            # pairs that meet in a smaller filter, too, count there
-            low = [np.asarray(f)[np.asarray(f) < here] for f in frame["filters"]]
-            _, column = np.unique(np.concatenate(low), return_inverse=True)
-            shared = np.zeros((len(ids), (int(column.max()) + 1) if len(column) else 1), np.float32)
-            shared[np.repeat(np.arange(len(ids)), [len(f) for f in low]), column] = 1
-            near &= (shared @ shared.T) == 0
-        forest = Forest(len(ids))
-        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-            forest.join(int(i), int(j))
-        links = near @ copies
-        out = np.flatnonzero(links)
-        return pd.DataFrame({"id": ids[out], "links": links[out], "root": ids[[forest.root(int(i)) for i in out]]}, dtype=np.int64)
-
-    return link
+    """Over rows sorted by task: a task has two blocks at most, so no more than that and a batch is held."""
+
+    def run(batches):
+        held = None
+        for frame in itertools.chain(batches, [None]):
+            rows = held if frame is None else frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            group = rows[_GROUP].to_numpy()
+            cut = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+            bounds = [0, *cut.tolist(), len(rows)]
+            if frame is not None:
+                held = rows.iloc[bounds[-2] :]
+                bounds.pop()
+            found = [r for a, b in zip(bounds, bounds[1:]) if b - a > 1 and (r := _pairs(rows.iloc[a:b], threshold)) is not None]
+            if found:
+                yield pd.concat(found, ignore_index=True)
+
+    return run
 
 
 def embedding_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -156,8 +180,8 @@ def embedding_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding:
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.expr("explode(sequence(0L, blocks - 1))"))
     tasks = dealt.select("id", "dimension", "key", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
     facts = decoded.select("id", "filters").join(reps.select(F.col("rep").alias("id"), "payload", "copies"), "id")
-    found = tasks.join(facts, "id").groupBy("dimension", "key", "p", "q").applyInPandas(_linker(threshold), "id long, links long, root long")
-    found = materialise(found)
+    met = tasks.join(facts, "id").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    found = materialise(met.mapInPandas(_linker(threshold), "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     # copies of one vector, and rows that share an id, hang together by their ids
