@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import labelled, language_id, mixing, quality, toxicity
 from .embedding_duplicates import embedding_duplicates
+from .lm_scoring import lm_scores
 from .near_duplicates import near_duplicates
 from .shared import documents, prepare, remainder
 from .token_counts import token_counts
@@ -32,6 +33,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scores(documents(spark, sf_dir), remainder("doc_id", 7) != 2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -59,6 +65,7 @@ def queries() -> dict:
         "op2_embedding_duplicates": op2_embedding_duplicates,
         "op3_toxicity": op3_toxicity,
         "op4_near_duplicates": op4_near_duplicates,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_quality": op7_quality,
         "op9_token_counts": op9_token_counts,
         "op10_language": op10_language,
