@@ -9,6 +9,7 @@ out as pairs of blocks, so that no task holds more than two blocks.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -73,13 +74,44 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def families(buckets: DataFrame) -> DataFrame:
-    """(id, family): ids whose buckets (key, id) hang together; lone ids are left out."""
+def families(buckets: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(id, family): ids whose buckets (key, id) hang together; lone ids are left out.
+
+    With an index, only keys that it holds tie ids together, and to its ids.
+    """
+    if index is not None:
+        heads = index.groupBy("key").agg(F.min("id").alias("head"))
+        edges = buckets.join(heads, "key").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+        return components(edges).withColumnRenamed("component", "family")
     heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head <> tail").select("key", "head")
     edges = buckets.join(heads, "key").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     return components(edges).withColumnRenamed("component", "family")
 
 
+def by_group(rows: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+    """function on each group of two rows or more, over sorted partitions: many small groups cost little each.
+
+    A group has to be bounded; no more than one and a batch is held.
+    """
+
+    def run(batches):
+        held = None
+        for frame in itertools.chain(batches, [None]):
+            rows = held if frame is None else frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            group = rows[keys].to_numpy()
+            bounds = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+            if frame is not None:
+                held = rows.iloc[bounds[-2] :]
+                bounds.pop()
+            found = [r for a, b in zip(bounds, bounds[1:]) if b - a > 1 and (r := function(rows.iloc[a:b])) is not None]
+            if found:
+                yield pd.concat(found, ignore_index=True)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 #: ids (ascending), payloads, forest over their positions to join links in, and
 #: None or an array: only pairs with a True at one of their ends need looking at
 Linker = Callable[[np.ndarray, list, Forest, "np.ndarray | None"], None]
@@ -104,19 +136,18 @@ def _linked(tasks: DataFrame, keys: list[str], payloads: DataFrame, linker: Link
         new = [i for i in range(len(ids)) if after[i] != before[i] or before[i] != i]
         return pd.DataFrame({"a": ids[new], "b": ids[[after[i] for i in new]]}, dtype=np.int64)
 
-    return tasks.join(payloads, "id").groupBy(*keys).applyInPandas(link, "a long, b long")
+    return by_group(tasks.join(payloads, "id"), keys, link, "a long, b long")
 
 
-def resolve(buckets: DataFrame, payloads: DataFrame, linker: Linker, block: int = 128) -> DataFrame:
+def resolve(member: DataFrame, payloads: DataFrame, linker: Linker, block: int = 128) -> DataFrame:
     """(id, component) of the ids that the linker links, all others left out.
 
-    payloads: (id long, payload).  Every pair of a family is looked at unless
+    member: (id, family), a written table; payloads: (id long, payload).  Every pair of a family is looked at unless
     both ends are known to hang together, and pairs never leave a task: a task
     holds at most two blocks and returns one row per member.  A family of more
     than a block is dealt out to blocks first, each with the same few pivots;
     whoever isn't in the family's largest group then meets all its blocks.
     """
-    member = materialise(families(buckets))
     sizes = member.groupBy("family").agg(
         F.ceil(F.count("*") / block).cast("long").alias("blocks"),
         *[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"].alias(f"p{k}") for k in range(PIVOTS)],

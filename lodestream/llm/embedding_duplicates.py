@@ -14,7 +14,6 @@ that links are counted once without a table of pairs.
 
 from __future__ import annotations
 
-import itertools
 from functools import cache
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clusters import Forest, components
+from .clusters import Forest, by_group, components
 from .shared import materialise, prepare
 
 #: Codes, parts of a vector, words of a part, filters of a vector in each code.
@@ -89,9 +88,6 @@ def _decode(batches):
                 )
 
 
-_GROUP = ["dimension", "key", "p", "q"]
-
-
 def _pairs(frame: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
     """Links of one task: (id, links, root) of the members that have any."""
     x = _matrix(frame["payload"].tolist())
@@ -123,28 +119,6 @@ def _pairs(frame: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
     return pd.DataFrame({"id": ids[out], "links": links[out], "root": ids[[forest.root(int(i)) for i in out]]}, dtype=np.int64)
 
 
-def _linker(threshold: float):
-    """Over rows sorted by task: a task has two blocks at most, so no more than that and a batch is held."""
-
-    def run(batches):
-        held = None
-        for frame in itertools.chain(batches, [None]):
-            rows = held if frame is None else frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if rows is None or not len(rows):
-                continue
-            group = rows[_GROUP].to_numpy()
-            cut = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
-            bounds = [0, *cut.tolist(), len(rows)]
-            if frame is not None:
-                held = rows.iloc[bounds[-2] :]
-                bounds.pop()
-            found = [r for a, b in zip(bounds, bounds[1:]) if b - a > 1 and (r := _pairs(rows.iloc[a:b], threshold)) is not None]
-            if found:
-                yield pd.concat(found, ignore_index=True)
-
-    return run
-
-
 def embedding_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors.
 
@@ -180,8 +154,8 @@ def embedding_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding:
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.expr("explode(sequence(0L, blocks - 1))"))
     tasks = dealt.select("id", "dimension", "key", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
     facts = decoded.select("id", "filters").join(reps.select(F.col("rep").alias("id"), "payload", "copies"), "id")
-    met = tasks.join(facts, "id").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    found = materialise(met.mapInPandas(_linker(threshold), "id long, links long, root long"))
+    found = by_group(tasks.join(facts, "id"), ["dimension", "key", "p", "q"], lambda frame: _pairs(frame, threshold), "id long, links long, root long")
+    found = materialise(found)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     # copies of one vector, and rows that share an id, hang together by their ids

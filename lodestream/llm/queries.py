@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import labelled, language_id, mixing, quality, toxicity
+from .decontamination import leaks
 from .embedding_duplicates import embedding_duplicates
+from .line_dedup import line_report
 from .lm_scoring import lm_scores
 from .near_duplicates import near_duplicates
 from .shared import documents, prepare, remainder
@@ -33,6 +35,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm_scores(documents(spark, sf_dir), remainder("doc_id", 7) != 2)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
@@ -46,6 +52,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,8 +75,10 @@ def queries() -> dict:
         "op2_embedding_duplicates": op2_embedding_duplicates,
         "op3_toxicity": op3_toxicity,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_decontamination": op5_decontamination,
         "op6_lm_scoring": op6_lm_scoring,
         "op7_quality": op7_quality,
+        "op8_line_dedup": op8_line_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_language": op10_language,
     }
