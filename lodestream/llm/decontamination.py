@@ -109,22 +109,18 @@ class Items:
     def signatures(self, windows: np.ndarray, n: int) -> np.ndarray:
         """(windows, repetitions): hashes of the sampled steps of each repetition's walk over 2 * n steps."""
         rng = np.random.default_rng(self.seed * 1009 + n)
+        sampled = np.argsort(rng.random((self.repeats, 2 * n)), axis=1)[:, :SAMPLES]
+        salts = rng.integers(1, 1 << 63, (2 * n, self.repeats), dtype=np.uint64)
         padded = np.concatenate([windows, np.full((len(windows), 1), _PAD)], axis=1)
-        out = np.empty((len(windows), self.repeats), np.uint64)
-        rows = np.arange(len(windows))
-        for r in range(self.repeats):
-            # nearer steps have seen fewer edits; all steps of the walk can be sampled
-            sampled = set(np.sort(rng.choice(2 * n, SAMPLES, replace=False)).tolist())
-            salt = rng.integers(1, 1 << 63, 2 * n, dtype=np.uint64)
-            at = np.zeros(len(windows), np.int64)
-            key = np.full(len(windows), r, np.uint64)
-            for step in range(max(sampled) + 1):
-                word = padded[rows, at]
-                if step in sampled:
-                    key = tk.mix(key * _U(0xE7037ED1A0B428DB) + word)
-                at = np.minimum(at + (tk.mix(word ^ salt[step]) & _U(1)).astype(np.int64), n)
-            out[:, r] = key
-        return out
+        at = np.zeros((len(windows), self.repeats), np.int64)
+        keys = np.broadcast_to(np.arange(self.repeats, dtype=np.uint64), at.shape).copy()
+        rows = np.arange(len(windows))[:, None]
+        for step in range(2 * n):
+            word = padded[rows, at]
+            own = np.flatnonzero((sampled == step).any(axis=1))
+            keys[:, own] = tk.mix(keys[:, own] * _U(0xE7037ED1A0B428DB) + word[:, own])
+            at = np.minimum(at + (tk.mix(word ^ salts[step]) & _U(1)).astype(np.int64), n)
+        return keys
 
     def places(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, window start) of all windows that hold enough of the item's q-grams."""
@@ -170,8 +166,8 @@ class Items:
         for n in np.unique(self.size[want]).tolist():
             live = np.unique(place[self.size[want] == n])
             keys, item = self.tables[n]
-            for a in range(0, len(live), 4096):
-                part = live[a : a + 4096]
+            for a in range(0, len(live), 512):
+                part = live[a : a + 512]
                 made = self.signatures(words[part[:, None] + np.arange(n)], n)
                 low, high = np.searchsorted(keys, made.ravel()), np.searchsorted(keys, made.ravel(), "right")
                 for hit in np.flatnonzero(high > low).tolist():
