@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .clusters import families, resolve
-from .shared import materialise, prepare
+from .shared import materialise, only_ids, prepare
 
 SLOTS, BANDS = 120, 20
 _U = np.uint64
@@ -133,7 +133,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         sketch.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "bands")).alias("r")).select("d1", "d2", "n", "r.id", "r.bands")
     )
     buckets = reps.select("id", F.explode("bands").alias("key"))
-    found = materialise(resolve(materialise(families(buckets)), docs.filter("id is not null"), set_linker(width, percent)))
+    member = materialise(families(buckets))
+    texts = only_ids(docs.filter("id is not null"), member)
+    found = materialise(resolve(member, texts, set_linker(width, percent)))
     root = reps.select("d1", "d2", "n", "id").join(found, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
     out = sketch.join(root, ["d1", "d2", "n"], "left").select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,34 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filter of ``only_ids``: a megabyte, whatever the number of ids.
+FILTER_BITS = 23
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose key may be among the ids, so that a join moves few others.
+
+    A bitmap of hashed ids is broadcast; it has a fixed size and false
+    positives only, and the caller's join decides.
+    """
+    mask = (1 << FILTER_BITS) - 1
+    words = ids.selectExpr(f"xxhash64(id) & {mask}L AS slot").selectExpr("cast(slot >> 5 AS int) AS w", "shiftleft(1L, cast(slot & 31 AS int)) AS b")
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 5), np.int64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy()
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        bits = held.value
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            yield batch.filter(pa.array((bits[at >> 5] >> (at & 31)) & 1 == 1))
+
+    slot = F.coalesce(F.xxhash64(F.col(key)).bitwiseAND(F.lit(mask)), F.lit(0).cast("long"))
+    wide = rows.withColumn("__slot", slot)
+    return wide.mapInArrow(run, wide.schema).select(*rows.columns)
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
