@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,15 +160,36 @@ def _normal(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [normalise(data, offsets) for _, _, data, offsets in tk.chunks(pa.array(texts, pa.large_string()), _CHUNK)]
 
 
+_PACK = 12  # slots packed in a row, as a power of two
+
+
+def _pack(frame: pd.DataFrame) -> pd.DataFrame:
+    """The stretched probabilities of a block of slots as int16.
+
+    In units of 1 / 2048; the two low bits tell how well the slot is known: 0
+    never seen, 1 seen, 2 seen often.
+    """
+    n0, n1 = frame["n0"].to_numpy(float), frame["n1"].to_numpy(float)
+    value = np.clip(np.log((n1 + 0.05) / (n0 + 0.05)), -12, 12) * 2048
+    out = np.zeros(1 << _PACK, np.int16)
+    out[frame["slot"].to_numpy() & ((1 << _PACK) - 1)] = (value.astype(np.int16) & ~np.int16(3)) | (1 + (n0 + n1 >= 24)).astype(np.int16)
+    return pd.DataFrame({"block": [int(frame["slot"].iloc[0]) >> _PACK], "raw": [out.tobytes()]})
+
+
+def collect_table(counts: DataFrame) -> np.ndarray:
+    """All slots' values on the driver: two bytes each, whatever the input."""
+    table = np.zeros(_BASES[-1], np.int16)
+    packed = counts.groupBy(F.shiftright("slot", _PACK).alias("block")).applyInPandas(_pack, "block int, raw binary")
+    for row in packed.toLocalIterator():
+        table[row["block"] << _PACK : (row["block"] + 1) << _PACK] = np.frombuffer(bytes(row["raw"]), np.int16)
+    return table
+
+
 class Mixer:
     """Stretched probabilities of all slots, how well they are known, and the first weights."""
 
-    def __init__(self, slot: np.ndarray, n0: np.ndarray, n1: np.ndarray, spelling: Spelling):
-        self.spelling = spelling
-        # in units of 1 / 2048; the two low bits tell how well the slot is known
-        value = np.clip(np.log((n1 + 0.05) / (n0 + 0.05)), -12, 12) * 2048
-        self.table = np.zeros(_BASES[-1], np.int16)
-        self.table[slot] = (value.astype(np.int16) & ~np.int16(3)) | (1 + (n0 + n1 >= 24)).astype(np.int16)
+    def __init__(self, table: np.ndarray, spelling: Spelling):
+        self.spelling, self.table = spelling, table
         self.tables = [self.table[p:q] for p, q in zip(_BASES, _BASES[1:])]
         self.weights = np.full((GATES, KINDS), 1.0 / KINDS, np.float32)
 
@@ -287,8 +309,7 @@ def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     sample = learned.filter("text is not null").select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("id", "text").alias("h"))
     sample = [r[0] for r in sample.orderBy("h").limit(SAMPLE_ROWS).collect()]
     spelling = Spelling(sum((np.bincount(data, minlength=256) for data, _ in _normal(sample)), np.zeros(256, np.int64)))
-    slots = count_bits(learned, "text", spelling).toPandas()  # at most as many rows as the tables have slots
-    mixer = Mixer(slots["slot"].to_numpy(), slots["n0"].to_numpy(), slots["n1"].to_numpy(), spelling)
+    mixer = Mixer(collect_table(count_bits(learned, "text", spelling)), spelling)
     mixer.warm(sample)
     held = spark.sparkContext.broadcast((mixer, hot["h"].to_numpy(), hot["c"].to_numpy()))
     schema = pa.schema(

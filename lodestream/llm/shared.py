@@ -17,6 +17,7 @@ BATCH_ROWS = "1000"
 def prepare(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that a Python worker's memory is bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")  # results for the driver come in columns
     return spark
 
 
