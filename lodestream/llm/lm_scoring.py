@@ -2,11 +2,12 @@
 
 A text is its words in lower case with single spaces between them, and an end
 byte.  Bytes are spelt in a Huffman code, so that common ones have few bits.
-Each bit is predicted by several hashed contexts: the last two bytes, the last
-four, and the word so far, each with the byte's bits before this one.  What each context has seen, over all training texts, gives a
-stretched probability; a gate (bit position, how well the long context and
-the word are known) picks the weights that sum them.  The weights start from a bounded
-sample and are refined within each text, after each block, so that a block is
+Each bit is predicted by several hashed contexts: the last two bytes, the
+last four, and the word so far, each with the byte's bits before this one.  What each context has seen, over all training texts, gives a
+stretched probability; a gate (bit position, how well the last four bytes
+and the word are known) picks the weights that sum them.  The tables grow with the
+corpus' distinct words, up to a fixed size.  The weights start from a bounded
+sample, read against the counts of all other texts, and are refined within each text, after each block, so that a block is
 predicted by what came before it only.  The sum of the bits' costs is the
 text's cost.  Beside it: an add-one unigram base over all training words.
 """
@@ -16,7 +17,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,19 +24,21 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import materialise, prepare
 
-#: Slots of the three contexts' tables, as powers of two.
-TABLES = (18, 20, 21)
+#: Slots of the three contexts' tables, as powers of two: at most, and at least.
+TABLES, LEAST_TABLE = (18, 22, 23), 14
+#: Slots for each distinct word of the training texts.
+SLOTS_A_WORD = 24
 KINDS = len(TABLES)
 DEPTHS = 8  # places of a bit in its byte's code that gates tell apart
-GATES = DEPTHS * 9
+LEVELS = 4  # of how well a slot is known
+GATES = DEPTHS * LEVELS * LEVELS
 #: Blocks after which weights are refined: the first, and the largest; each is twice the one before.
-FIRST_BLOCK, LAST_BLOCK, RATE = 64, 4096, 1.0
+FIRST_BLOCK, LAST_BLOCK, RATE = 64, 4096, 0.3
 #: Words whose counts are broadcast; the counts of all others are joined.
 HOT_WORDS = 1 << 18
-#: Texts, and bytes of each, from which the weights start.
-SAMPLE_ROWS, SAMPLE_BYTES = 200, 2048
+#: Texts, and characters of each, from which the weights start; at most one training text in SAMPLE_EVERY.
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_EVERY = 200, 2048, 8
 _END = 0xFF  # never a byte of UTF-8
-_BASES = np.cumsum([0, *(1 << t for t in TABLES)])
 _CHUNK = 1 << 19
 _U = np.uint64
 
@@ -75,7 +77,14 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     starts = (place == 0) | (np.concatenate([[0], data[:-1]]) == 0x20)
     word = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
     so_far = tk.substring_hash(tk.prefix_sums(data), word, np.arange(n))
-    return [(tk.mix(x) >> _U(32)).astype(np.uint32) for x in ((last & np.uint32(0xFFFF)).astype(np.uint64), last.astype(np.uint64) + _U(1 << 32), so_far)]
+    found = (last & np.uint32(0xFFFF)).astype(np.uint64), last.astype(np.uint64) + (_U(1) << _U(32)), so_far
+    return [(tk.mix(x) >> _U(32)).astype(np.uint32) for x in found]
+
+
+def table_sizes(words: int) -> tuple[int, ...]:
+    """Powers of two of the tables' slots for so many distinct words."""
+    want = max(LEAST_TABLE, int(np.ceil(np.log2(max(1, words) * SLOTS_A_WORD))))
+    return tuple(min(t, want) for t in TABLES)
 
 
 class Spelling:
@@ -121,77 +130,132 @@ def _take(values: np.ndarray, at: np.ndarray | None) -> np.ndarray:
     return values if at is None else values[at]
 
 
-def _slots(context: np.ndarray, kind: int, node: np.ndarray) -> np.ndarray:
-    """Table slots of a context with the bits that are known of the byte (node of its code)."""
+def _slots(context: np.ndarray, table: int, node: np.ndarray) -> np.ndarray:
+    """Slots, in a table of 2 ** table, of a context with the bits that are known of the byte (node of its code)."""
     # 32-bit products wrap
     mixed = (context ^ (node * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)
     mixed ^= mixed >> np.uint32(15)
-    return (mixed * np.uint32(0xC2B2AE35) >> np.uint32(32 - TABLES[kind])).astype(np.int32)
+    return (mixed * np.uint32(0xC2B2AE35) >> np.uint32(32 - table)).astype(np.int32)
 
 
-def count_bits(docs: DataFrame, text: str, spelling: Spelling) -> DataFrame:
-    """(slot, n0, n1) of all contexts over all texts."""
-    schema = pa.schema([("slot", pa.int32()), ("n0", pa.int64()), ("n1", pa.int64())])
+#: Slots whose counts travel as one block, as a power of two; no table is smaller.
+_PACK = 12
+#: Bytes of text after which a task passes its counts on.
+_FLUSH = 1 << 30
+
+
+def _squeeze(counts: np.ndarray) -> bytes:
+    """uint32 counts by byte planes, compressed: most are small."""
+    return pa.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueeze(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 8 << _PACK, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1, 2)
+
+
+def _values(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Stretched probabilities as int16 in units of 1 / 2048.
+
+    The two low bits tell how well the slot is known: 0 never seen, 1 once or
+    twice, 2 up to 23 times, 3 more often.
+    """
+    n = n0 + n1
+    value = (np.clip(np.log((n1 + 0.05) / (n0 + 0.05)), -12, 12) * 2048).astype(np.int16)
+    level = (n > 0).astype(np.int16) + (n >= 3) + (n >= 24)
+    return (value & ~np.int16(3)) | level.astype(np.int16)
+
+
+def count_bits(docs: DataFrame, text: str, spelling: Spelling, tables: tuple[int, ...], apart: Column) -> DataFrame:
+    """(block, raw, rest): the values of all slots that any context of any text falls in, in blocks of 2 ** _PACK.
+
+    raw is over all texts, rest over those that aren't ``apart``.
+
+    A task counts into whole tables and sends one compressed row for each
+    block that it touched; these are added up over sorted rows, one block held
+    at a time, however many tasks there were.
+    """
+    starts = np.cumsum([0, *(1 << t for t in tables)])
+
+    def count(batches):
+        seen = [np.zeros(2 << t, np.uint32) for t in tables]
+        size = 0
+
+        def out():
+            for kind in range(KINDS):
+                blocks = seen[kind].reshape(-1, 2 << _PACK)
+                own = np.flatnonzero(blocks.any(axis=1))
+                for a in range(0, len(own), 64):
+                    part = own[a : a + 64]
+                    raw = pa.array([_squeeze(blocks[i]) for i in part], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array((part + (starts[kind] >> _PACK)).astype(np.int32)), raw], names=["block", "raw"])
+                seen[kind][:] = 0
 
-    def run(batches):
-        seen = [np.zeros(2 << t, np.int64) for t in TABLES]
         for batch in batches:
-            for _, _, data, offsets in tk.chunks(batch.column(0), 1 << 21):
+            for _, _, data, offsets in tk.chunks(batch.column(0)):
                 data, offsets = normalise(data, offsets)
                 held = contexts(data, offsets)
-                parts: list[list] = [[] for _ in TABLES]
                 for _, at, node, bit in spelling.places(data):
                     for kind in range(KINDS):
-                        parts[kind].append(_slots(_take(held[kind], at), kind, node) * 2 + bit)
-                for kind in range(KINDS):
-                    seen[kind] += np.bincount(np.concatenate(parts[kind]), minlength=2 << TABLES[kind])
-        for kind in range(KINDS):
-            table = seen[kind].reshape(-1, 2)
-            slot = np.flatnonzero(table.any(axis=1))
-            for a in range(0, len(slot), 1 << 16):
-                part = slot[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array((part + _BASES[kind]).astype(np.int32)), pa.array(table[part, 0]), pa.array(table[part, 1])], schema=schema)
-
-    found = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "slot int, n0 long, n1 long")
-    return found.groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+                        np.add.at(seen[kind], _slots(_take(held[kind], at), tables[kind], node) * 2 + bit, np.uint32(1))
+                size += len(data)
+            if size > _FLUSH:
+                yield from out()
+                size = 0
+        yield from out()
 
+    def add(batches):
+        now, total = None, None
+        schema = pa.schema([("block", pa.int32()), ("raw", pa.binary()), ("rest", pa.binary())])
 
-def _normal(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [normalise(data, offsets) for _, _, data, offsets in tk.chunks(pa.array(texts, pa.large_string()), _CHUNK)]
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
+        def finished():
+            return now, _values(*(total[0] + total[1]).T).tobytes(), _values(*total[0].T).tobytes()
 
-_PACK = 12  # slots packed in a row, as a power of two
-
+        for batch in batches:
+            found = []
+            for block, raw, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now:
+                    if now is not None:
+                        found.append(finished())
+                    now, total = block, np.zeros((2, 1 << _PACK, 2))
+                total[part] += _unsqueeze(raw)
+            if found:
+                yield out(found)
+        if now is not None:
+            yield out([finished()])
+
+    def counted(where: Column, part: int) -> DataFrame:
+        found = docs.filter(where).select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(count, "block int, raw binary")
+        return found.withColumn("part", F.lit(part))
+
+    parts = counted(~apart, 0).unionByName(counted(apart, 1))
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, raw binary, rest binary")
 
-def _pack(frame: pd.DataFrame) -> pd.DataFrame:
-    """The stretched probabilities of a block of slots as int16.
 
-    In units of 1 / 2048; the two low bits tell how well the slot is known: 0
-    never seen, 1 seen, 2 seen often.
-    """
-    n0, n1 = frame["n0"].to_numpy(float), frame["n1"].to_numpy(float)
-    value = np.clip(np.log((n1 + 0.05) / (n0 + 0.05)), -12, 12) * 2048
-    out = np.zeros(1 << _PACK, np.int16)
-    out[frame["slot"].to_numpy() & ((1 << _PACK) - 1)] = (value.astype(np.int16) & ~np.int16(3)) | (1 + (n0 + n1 >= 24)).astype(np.int16)
-    return pd.DataFrame({"block": [int(frame["slot"].iloc[0]) >> _PACK], "raw": [out.tobytes()]})
+def _normal(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [normalise(data, offsets) for _, _, data, offsets in tk.chunks(pa.array(texts, pa.large_string()), _CHUNK)]
 
 
-def collect_table(counts: DataFrame) -> np.ndarray:
-    """All slots' values on the driver: two bytes each, whatever the input."""
-    table = np.zeros(_BASES[-1], np.int16)
-    packed = counts.groupBy(F.shiftright("slot", _PACK).alias("block")).applyInPandas(_pack, "block int, raw binary")
-    for row in packed.toLocalIterator():
-        table[row["block"] << _PACK : (row["block"] + 1) << _PACK] = np.frombuffer(bytes(row["raw"]), np.int16)
-    return table
+def collect_tables(blocks: DataFrame, tables: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """All slots' values on the driver, over all texts and without those apart: two bytes each, at most those of ``TABLES``."""
+    every, rest = (np.zeros(sum(1 << t for t in tables), np.int16) for _ in range(2))
+    for row in materialise(blocks).toLocalIterator():
+        own = slice(row["block"] << _PACK, (row["block"] + 1) << _PACK)
+        every[own], rest[own] = np.frombuffer(bytes(row["raw"]), np.int16), np.frombuffer(bytes(row["rest"]), np.int16)
+    return every, rest
 
 
 class Mixer:
     """Stretched probabilities of all slots, how well they are known, and the first weights."""
 
-    def __init__(self, table: np.ndarray, spelling: Spelling):
-        self.spelling, self.table = spelling, table
-        self.tables = [self.table[p:q] for p, q in zip(_BASES, _BASES[1:])]
-        self.weights = np.full((GATES, KINDS), 1.0 / KINDS, np.float32)
+    def __init__(self, table: np.ndarray, tables: tuple[int, ...], spelling: Spelling, weights: np.ndarray | None = None):
+        self.spelling, self.sizes = spelling, tables
+        starts = np.cumsum([0, *(1 << t for t in tables)])
+        self.tables = [table[p:q] for p, q in zip(starts, starts[1:])]
+        self.weights = np.full((GATES, KINDS), 1.0 / KINDS, np.float32) if weights is None else weights
 
     def bits(self, data: np.ndarray, offsets: np.ndarray, fitted: list | None = None) -> np.ndarray:
         """Cost in bits of each text; with ``fitted``, the gates' gradients are put there."""
@@ -218,8 +282,8 @@ class Mixer:
             live = np.ascontiguousarray(weights[who].reshape(-1, KINDS).T)
             grad, cost = np.zeros(live.shape), np.zeros(b - a, np.float32)
             for k, at, node, bit in self.spelling.places(data[a:b]):
-                raw = [np.take(self.tables[kind], _slots(_take(held[kind][a:b], at), kind, node)) for kind in range(KINDS)]
-                gate = _take(base, at) + np.int32(min(k, DEPTHS - 1) * 9) + (raw[1] & 3) * np.int32(3) + (raw[2] & 3)
+                raw = [np.take(self.tables[kind], _slots(_take(held[kind][a:b], at), self.sizes[kind], node)) for kind in range(KINDS)]
+                gate = _take(base, at) + np.int32(min(k, DEPTHS - 1) * LEVELS * LEVELS) + (raw[1] & 3) * np.int32(LEVELS) + (raw[2] & 3)
                 st = [r.astype(np.float32) * np.float32(1 / 2048) for r in raw]
                 z = np.take(live[0], gate) * st[0]
                 for kind in range(1, KINDS):
@@ -244,7 +308,7 @@ class Mixer:
             fitted.append(slope)
         return total
 
-    def warm(self, texts: list[str], rounds: int = 12) -> None:
+    def warm(self, texts: list[str], rounds: int = 24) -> None:
         """First weights: normalised ascent over a bounded sample."""
         parts = _normal(texts)
         bits = max(1, int(sum(self.spelling.length[d].sum() for d, _ in parts)))
@@ -306,11 +370,19 @@ def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     n_train, n_distinct = total + ends, distinct + (1 if ends else 0)
     hot = vocabulary.orderBy(F.desc("c"), "h").limit(HOT_WORDS)
     hot = hot.toPandas().sort_values("h")
-    sample = learned.filter("text is not null").select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("id", "text").alias("h"))
-    sample = [r[0] for r in sample.orderBy("h").limit(SAMPLE_ROWS).collect()]
+    digest = F.xxhash64("id", "text")
+    sample = learned.filter("text is not null").select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), digest.alias("h"))
+    sample = sample.filter(F.pmod("h", F.lit(SAMPLE_EVERY)) == 0).orderBy("h").limit(SAMPLE_ROWS).collect()
+    apart = digest.isin([r["h"] for r in sample]) if sample else F.lit(False)
+    sample = [r["text"] for r in sample]
     spelling = Spelling(sum((np.bincount(data, minlength=256) for data, _ in _normal(sample)), np.zeros(256, np.int64)))
-    mixer = Mixer(collect_table(count_bits(learned, "text", spelling)), spelling)
-    mixer.warm(sample)
+    tables = table_sizes(n_distinct)
+    every, rest = collect_tables(count_bits(learned, "text", spelling, tables, apart), tables)
+    # what a text has counted itself would look surer to the weights than it is for others
+    fitted = Mixer(rest, tables, spelling)
+    fitted.warm(sample)
+    mixer = Mixer(every, tables, spelling, fitted.weights)
+    del rest, fitted
     held = spark.sparkContext.broadcast((mixer, hot["h"].to_numpy(), hot["c"].to_numpy()))
     schema = pa.schema(
         [("id", pa.int64()), ("train", pa.bool_()), ("rid", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64()), ("bits", pa.float64())]
