@@ -4,8 +4,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lodestream.llm import decontamination, language_id, line_dedup, mixing, near_duplicates, quality, toxicity
+from lodestream.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_duplicates, quality, toxicity
 from lodestream.llm import textkit as tk
 from lodestream.llm.clusters import components
 from lodestream.llm.embedding_duplicates import embedding_duplicates
@@ -142,6 +143,22 @@ def test_lm_base_and_probabilities(spark):
         assert abs(got[i].base_score - want) < 1e-6 and got[i].n_tokens == len(own) + 1 and got[i].score <= 0
 
 
+def test_lm_counts_are_the_same_however_dealt(spark):
+    counts = np.random.default_rng(4).integers(0, 1 << 20, (4096, 2)).astype(np.uint32)
+    assert (lm_scoring._unsqueeze(lm_scoring._squeeze(counts)) == counts).all()
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(k, " ".join(words(rng, 20, 50))) for k in range(40)], "doc_id long, text string")
+    spelling, tables = lm_scoring.Spelling(np.zeros(256, np.int64)), lm_scoring.table_sizes(50)
+
+    def values(rows, apart):
+        return lm_scoring.collect_tables(lm_scoring.count_bits(rows, "text", spelling, tables, apart), tables)
+
+    every, rest = values(docs.repartition(5), F.col("doc_id") < 8)
+    again, same = values(docs.coalesce(1), F.lit(False))
+    without, _ = values(docs.filter("doc_id >= 8"), F.lit(False))
+    assert (every == again).all() and (again == same).all() and (rest == without).all() and (every != rest).any()
+
+
 def test_classifiers_learn(spark):
     rng = random.Random(9)
     texts = [" ".join(words(rng, 60)) + "." + (" you idiot." if k % 3 == 0 else " fine.") for k in range(400)]
