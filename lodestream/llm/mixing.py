@@ -4,11 +4,13 @@ A document's expected copies are its source's target over its source's size.
 The whole part is certain; the fractions are rounded by pivotal steps: two
 documents' fractional masses are moved from one to the other, at random and so
 that each keeps its expectation, until one of the two is 0 or 1.  The other
-goes on to the next step.  Documents of a source are dealt out to groups of
-about ``GROUP``; each group leaves one residual, and residuals meet in groups
-again, up to one for each source: a reduction tree of logarithmic depth.  A
-step keeps the two documents' words together as they were, so a source's taken
-words miss its target by less than one document.
+goes on to the next step.  A step keeps the two documents' words together as
+they were.  Documents of a source and a class of like sizes are dealt out to
+groups of about ``GROUP``; each group leaves one residual, and residuals meet
+in groups again, up to one for each source and class: a reduction tree of
+logarithmic depth.  A source's last residuals, one for each class, are settled
+together from the largest to the smallest, so that smaller texts make up for
+what rounding a larger one left over.
 
 Only DataFrame and SQL functions are used.
 """
@@ -26,6 +28,8 @@ from .shared import materialise
 GROUP = 64
 #: No document is taken more often.
 MOST = 3
+#: Classes of sizes for each doubling; a source has about 30 classes up to 20,000 words.
+CLASSES = 2
 _EDGE = 1e-12
 
 
@@ -103,6 +107,34 @@ def _round(items: Column, seed: Column) -> Column:
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), first, step)
 
 
+def _settle(items: Column) -> Column:
+    """The last residuals of a source, largest first, each taken once more or not, near the sum of their expected words.
+
+    One is taken if it fits into what is left, or if leaving it out would miss
+    by more, as all smaller ones together can't make up for it.
+    """
+
+    def words(x: Column) -> Column:
+        return x["size"].cast("double")
+
+    def step(acc: Column, x: Column) -> Column:
+        smaller = acc["room"] - words(x)
+        won = (acc["left"] >= words(x)) | (acc["left"] - smaller > words(x) - acc["left"])
+        settled = F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), (x["copies"] + won.cast("long")).alias("copies"))
+        return F.struct(
+            F.array_append(acc["done"], settled).alias("done"),
+            (acc["left"] - F.when(won, words(x)).otherwise(0.0)).alias("left"),
+            smaller.alias("room"),
+        )
+
+    start = F.struct(
+        F.array().cast("array<struct<doc_id: bigint, size: bigint, copies: bigint>>").alias("done"),
+        F.aggregate(items, F.lit(0.0), lambda n, x: n + words(x) * x["p"]).alias("left"),
+        F.aggregate(items, F.lit(0.0), lambda n, x: n + words(x)).alias("room"),
+    )
+    return F.aggregate(items, start, step, lambda acc: acc["done"])
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for each row of docs.
 
@@ -122,44 +154,31 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = rows.withColumn("part", F.when((F.col("part") < _EDGE) | (F.col("size") == 0), 0.0).otherwise(F.col("part")))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source"))
     plain = ["doc_id", "source", "size", F.col("whole").cast("long").alias("copies")]
-    sure = rows.filter("part = 0").select(*plain)
-    open_ = rows.filter("part > 0").select(*plain, F.col("part").alias("p"), "h")
-    count = goal.agg(F.max("rows")).first()[0] or 0
-    decided, level = sure, 0
-    while True:
-        groups = max(1, math.ceil(count / GROUP))
-        # a source of n rows has n / GROUP groups at the first level, whatever the other sources have
-        own = F.lit(1).cast("long")
-        if groups > 1:
-            own = F.greatest(F.lit(1), F.ceil(F.col("rows") / float(GROUP ** (level + 1)))).cast("long")
-        level_rows = open_.join(goal.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    decided = rows.filter("part = 0").select(*plain)
+    kind = F.floor(F.log2(F.col("size").cast("double")) * CLASSES).cast("int")
+    open_ = rows.filter("part > 0").select(*plain, F.col("part").alias("p"), "h", kind.alias("class"))
+    classes = materialise(open_.groupBy("source", "class").agg(F.count("*").alias("members")))
+    keys = classes.select(F.col("source").alias("s"), F.col("class").alias("c"), "members")
+    count, level = classes.agg(F.max("members")).first()[0] or 0, 0
+    ended = (F.col("p") < _EDGE) | (F.col("p") > 1 - _EDGE)
+    while count > 1:
+        # a class of n rows has n / GROUP groups at the first level, whatever the others have
+        own = F.greatest(F.lit(1), F.ceil(F.col("members") / float(GROUP ** (level + 1)))).cast("long")
+        level_rows = open_.join(keys, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")))
         level_rows = level_rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed + level), "h", "doc_id", "size"), own))
-        grouped = level_rows.groupBy("source", "group").agg(F.sort_array(F.collect_list(F.struct("h", "doc_id", "size", "copies", "p"))).alias("items"))
-        rounded = grouped.select("source", _round(F.col("items"), F.lit(seed * 1000 + level)).alias("r"))
-        last = groups == 1
-        tail = F.array(F.col("r.rest"))
-        if last:  # the last residual of a source is decided by chance
-            won = _uniform(F.lit(seed), F.col("r.rest.h")) < F.col("r.rest.p")
-            tail = F.array(
-                F.struct(
-                    F.col("r.rest.h").alias("h"),
-                    F.col("r.rest.doc_id").alias("doc_id"),
-                    F.col("r.rest.size").alias("size"),
-                    (F.col("r.rest.copies") + won.cast("long")).alias("copies"),
-                    F.lit(0.0).alias("p"),
-                )
-            )
-        items = rounded.select("source", F.explode(F.concat("r.done", tail)).alias("x")).select("source", "x.*")
+        grouped = level_rows.groupBy("source", "class", "group").agg(F.sort_array(F.collect_list(F.struct("h", "doc_id", "size", "copies", "p"))).alias("items"))
+        rounded = grouped.select("source", "class", _round(F.col("items"), F.lit(seed * 1000 + level)).alias("r"))
+        items = rounded.select("source", "class", F.explode(F.concat("r.done", F.array("r.rest"))).alias("x")).select("source", "class", "x.*")
         items = materialise(items)
-        keep = ["doc_id", "source", "size", "copies"]
-        if last:
-            decided = decided.unionByName(items.select(*keep))
-            break
         # a residual that a step happened to bring to an end is decided, too
-        ended = (F.col("p") < _EDGE) | (F.col("p") > 1 - _EDGE)
         decided = decided.unionByName(items.filter(ended).select("doc_id", "source", "size", (F.col("copies") + (F.col("p") > 0.5).cast("long")).alias("copies")))
-        open_ = items.filter(~ended).select(*keep, "p", "h")
-        count, level = groups, level + 1
+        open_ = items.filter(~ended)
+        count, level = math.ceil(count / GROUP), level + 1
+    # one row for each source and class is left at most
+    order = F.struct((-F.col("size")).alias("least"), "h", "doc_id", "size", "copies", "p")
+    last = open_.groupBy("source").agg(F.sort_array(F.collect_list(order)).alias("items"))
+    last = last.select("source", F.explode(_settle(F.col("items"))).alias("x")).select("x.doc_id", "source", "x.size", "x.copies")
+    decided = decided.unionByName(last)
     out = decided.join(goal.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     return out.select(
         F.col("doc_id").alias(doc_id), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
