@@ -1,11 +1,14 @@
 """Line dedup: exact copies by hash, near copies by a segment-partition edit join.
 
-A line of n bytes is cut into ``DISTANCE`` + 1 even segments.  If another line
-is at most that many edits away, it holds one of the segments unchanged, within
-the few places that the edits before and after it allow.  An index holds each
-line's segments by (length, place, hash); a line probes it for the lengths up
-to its own.  Lines that meet are candidates, and a banded bit-parallel edit
-distance decides.
+Lines are near copies when they are at most one word edit for each
+``WORDS_AN_EDIT`` words of the shorter one apart (one in any line of
+``LEAST_WORDS``), or ``DISTANCE`` byte edits.  A line that may have k edits
+holds k + 1 segments, and another one that is so near has one of them
+unchanged, within the few places that the edits before it allow; of the word
+segments one half is counted from the start and one from the end.  Up to 2 * DISTANCE word edits the
+bytes are cut, too; beyond, the word edits allow for the byte edits.  An index
+holds each line's segments by place and hash, and all lines probe it.  Lines
+that meet are candidates, and a banded bit-parallel edit distance decides.
 """
 
 from __future__ import annotations
@@ -19,8 +22,15 @@ from . import textkit as tk
 from .clusters import families, resolve
 from .shared import materialise, prepare
 
-#: Edits (insert, delete or replace a byte) between near copies; lines below MIN_BYTES are never removed.
+#: Edits (insert, delete or replace a byte) between near copies of any length; lines below MIN_BYTES are never removed.
 DISTANCE, MIN_BYTES = 2, 24
+#: Words of the shorter line for each word edit between near copies, and the words from which one edit is allowed at least.
+#: A character of three bytes or more is a word.
+WORDS_AN_EDIT, LEAST_WORDS = 16, 8
+#: Classes of lines by words: the least, and the words of a segment; each leaves room for one more segment than edits.
+CLASSES = ((8, 4), (12, 6), (16, 8), (24, 12), (32, 10), (48, 12), (112, 14), (512, 15))
+#: Words from which segments may lie anywhere, since the places that edits allow outnumber the words.
+ANYWHERE = 512
 FILTER_BITS = 23
 _U = np.uint64
 
@@ -47,6 +57,74 @@ def _windows(n: np.ndarray, distance: int):
                     yield length, i, at, at + end - start, (at >= 0) & (at + end - start <= n)
 
 
+def line_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines' words, and each line's first word; lines in order, ending at line feeds or before the next start.
+
+    Words are runs of bytes other than white space, and in them each character
+    of three bytes or more is a word of its own.
+    """
+    n = len(data)
+    lead = (data & 0xC0) != 0x80
+    wide = data[np.maximum.accumulate(np.where(lead, np.arange(n), 0))] >= 0xE0
+    word = tk.NOT_SPACE[data]
+    begins = word & lead
+    begins[1:] &= ~word[:-1] | wide[1:] | wide[:-1]
+    inner = starts[starts < n]
+    begins[inner] = word[inner]
+    stops = word.copy()
+    stops[:-1] &= ~word[1:] | begins[1:]
+    last = ends[ends > starts] - 1
+    stops[last] = word[last]
+    at = np.flatnonzero(begins)
+    return tk.substring_hash(tk.prefix_sums(data), at, np.flatnonzero(stops) + 1), np.append(np.searchsorted(at, starts), len(at))
+
+
+def word_edits(n: np.ndarray) -> np.ndarray:
+    """Word edits between near copies, of which the shorter one has n words."""
+    return np.where(n < LEAST_WORDS, 0, np.maximum(1, n // WORDS_AN_EDIT))
+
+
+def _word_windows(n: np.ndarray, probe: bool):
+    """(lines, salt, start, end in words) of the index entries, or the probes, of lines of n words.
+
+    An entry belongs to the class of its line; a line probes its own class and
+    those that a shorter near copy may be in.
+    """
+    for c, (least, size) in enumerate(CLASSES):
+        most = CLASSES[c + 1][0] - 1 if c + 1 < len(CLASSES) else None
+        above = most + int(word_edits(np.array(most))) if probe and most else most
+        own = np.flatnonzero((n >= least) & ((n <= above) if most else True))
+        if not len(own):
+            continue
+        edits = word_edits(np.minimum(n[own], most) if most else n[own])
+        if least >= ANYWHERE:
+            times = n[own] - size + 1 if probe else edits + 1
+            place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            start = place if probe else place * size
+            yield np.repeat(own, times), c << 20, start, start + size
+            continue
+        for side, parts in ((0, (edits + 2) // 2), (1, (edits + 1) // 2)):
+            # a line's i-th segment has 2 * i + 1 places, so its places come from i * i on
+            times = parts * parts if probe else parts
+            who = np.repeat(own, times)
+            place = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+            i = np.sqrt(place).astype(np.int64) if probe else place
+            at = (n[who] - (i + 1) * size if side else i * size) + (place - i * i - i if probe else 0)
+            ok = (at >= 0) & (at + size <= n[who])
+            yield who[ok], (c << 20 | side << 19) + i[ok] + 1, at[ok], at[ok] + size
+
+
+def _word_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the word segments of lines that have n words from the first on."""
+    sums = tk.sequence_sums(words)
+    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for who, salt, start, end in _word_windows(n, probe):
+        part = tk.substring_hash(sums, first[who] + start, first[who] + end)
+        lines.append(who)
+        keys.append(tk.mix(part + (np.asarray(salt) + np.full(len(who), 1 << 32)).astype(np.uint64) * _U(0x9FB21C651E98DF25)))
+    return np.concatenate(lines), np.concatenate(keys)
+
+
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the lines, and each text's first line; an empty text is one empty line."""
     feeds = np.flatnonzero(data == 10)
@@ -69,6 +147,11 @@ def _lines(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][own[keep]]), pa.array((keep - first[own[keep]]).astype(np.int32)), pa.array(h)], schema=schema)
 
 
+def _few_words(distance: int) -> int:
+    """Lines of so many words have near copies by bytes only where word edits allow for them: a byte edit is two word edits at most."""
+    return 2 * distance * (WORDS_AN_EDIT + 1)
+
+
 def _keys(probe: bool, distance: int):
     """(id, key): index entries, or probes, of all lines; id is the line's hash."""
     schema = pa.schema([("id", pa.int64()), ("key", pa.int64())])
@@ -77,12 +160,17 @@ def _keys(probe: bool, distance: int):
         for batch in batches:
             for _, _, data, offsets in tk.chunks(batch.column(0)):
                 starts, ends, _ = line_spans(data, offsets)
+                words, first = line_words(data, starts, ends)
                 keep = ends - starts >= MIN_BYTES
-                starts, ends = starts[keep], ends[keep]
+                n_words = np.diff(first)[keep]
+                starts, ends, first = starts[keep], ends[keep], first[:-1][keep]
                 sums = tk.prefix_sums(data)
                 h, once = np.unique(tk.substring_hash(sums, starts, ends), return_index=True)
+                own, made = _word_keys(words, first[once], n_words[once], probe)
+                ids, keys = [h[own]], [made]
+                few = n_words[once] < _few_words(distance)
+                h, once = h[few], once[few]
                 starts, n = starts[once], (ends - starts)[once]
-                ids, keys = [], []
                 for k, (length, i, at, end, ok) in enumerate(_windows(n, distance)):
                     if not probe and k > distance:
                         break
@@ -94,8 +182,8 @@ def _keys(probe: bool, distance: int):
     return run
 
 
-def edit_distance_within(a: bytes, b: bytes, most: int) -> bool:
-    """Whether a and b are at most ``most`` edits apart: bit-parallel over a band of 2 * most + 1 diagonals.
+def edit_distance_within(a: bytes | np.ndarray, b: bytes | np.ndarray, most: int) -> bool:
+    """Whether a and b, bytes or arrays of words, are at most ``most`` edits apart: bit-parallel over a band of 2 * most + 1 diagonals.
 
     Bit i of a vector stands for the row that lies i - most below the column's
     diagonal; rows above the table count on from 0 upwards.
@@ -105,7 +193,7 @@ def edit_distance_within(a: bytes, b: bytes, most: int) -> bool:
     apart = len(a) - len(b)
     if apart > most:
         return False
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    x, y = (np.frombuffer(v, np.uint8) if isinstance(v, bytes) else v for v in (a, b))
     n = len(b)
     differ = np.flatnonzero(x[:n] != y)
     if not len(differ):
@@ -114,7 +202,7 @@ def edit_distance_within(a: bytes, b: bytes, most: int) -> bool:
     differ = np.flatnonzero(x[apart:] != y)
     tail = n - 1 - int(differ[-1]) if len(differ) else n
     tail = min(tail, n - head)
-    a, b = a[head : len(a) - tail], b[head : n - tail]
+    a, b = x[head : len(a) - tail].tolist(), y[head : n - tail].tolist()
     if not b:
         return len(a) <= most
     where: dict[int, int] = {}
@@ -145,21 +233,41 @@ def edit_distance_within(a: bytes, b: bytes, most: int) -> bool:
 
 
 def edit_linker(distance: int):
-    """Links lines at most ``distance`` edits apart; the same segment index finds them inside a task."""
+    """Links near copies, by words or at most ``distance`` bytes apart; the same segment indexes find them inside a task."""
 
     def link(ids, texts, forest, side):
-        order = sorted(range(len(ids)), key=lambda i: (len(texts[i]), i))
+        ends = np.cumsum([len(t) for t in texts])
+        words, first = line_words(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends)
+        n_words = np.diff(first)
+
+        def meet(i, j):
+            if (side is None or side[i] or side[j]) and forest.root(i) != forest.root(j):
+                edits = int(word_edits(min(n_words[i], n_words[j])))
+                near = edits and edit_distance_within(words[first[i] : first[i + 1]], words[first[j] : first[j + 1]], edits)
+                if near or edit_distance_within(texts[i], texts[j], distance):
+                    forest.join(i, j)
+
+        held: dict[int, list[int]] = {}
+        for i, key in zip(*(v.tolist() for v in _word_keys(words, first[:-1], n_words, False))):
+            held.setdefault(key, []).append(i)
+        done: set[tuple[int, int]] = set()
+        for i, key in zip(*(v.tolist() for v in _word_keys(words, first[:-1], n_words, True))):
+            for j in held.get(key, ()):
+                pair = (min(i, j), max(i, j))
+                if i != j and pair not in done:
+                    done.add(pair)
+                    meet(i, j)
+        order = sorted(np.flatnonzero(n_words < _few_words(distance)).tolist(), key=lambda i: (len(texts[i]), i))
         index: dict[tuple, list[int]] = {}
         for i in order:
             text, n = texts[i], np.array([len(texts[i])])
-            seen: set[int] = set()
             for length, place, start, end, ok in _windows(n, distance):
                 if ok[0]:
                     for j in index.get((int(length[0]), place, text[int(start[0]) : int(end[0])]), ()):
-                        if j not in seen and (side is None or side[i] or side[j]):
-                            seen.add(j)
-                            if forest.root(i) != forest.root(j) and edit_distance_within(text, texts[j], distance):
-                                forest.join(i, j)
+                        pair = (min(i, j), max(i, j))
+                        if pair not in done:
+                            done.add(pair)
+                            meet(i, j)
             for k, (length, place, start, end, _) in enumerate(_windows(n, distance)):
                 if k > distance:
                     break
@@ -200,8 +308,9 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     """(id, line, h) of all lines that count, and (h, class, first_id, first_line): each class's first occurrence.
 
     Lines are split at line feeds and counted from 0; those of at least
-    MIN_BYTES bytes count.  Lines at most ``distance`` edits apart are linked,
-    a class is what links reach, and its first occurrence is the smallest
+    MIN_BYTES bytes count.  Lines at most one word edit for each WORDS_AN_EDIT
+    words of the shorter one (one from LEAST_WORDS words), or ``distance`` byte edits, apart are linked, a
+    class is what links reach, and its first occurrence is the smallest
     (doc_id, line).
     """
     prepare(docs.sparkSession)

@@ -109,6 +109,13 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def sequence_sums(values: np.ndarray) -> np.ndarray:
+    """As ``prefix_sums``, of a sequence of 64-bit hashes."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(_BASE, len(values)), out=out[1:])
+    return out
+
+
 def substring_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of bytes [start, end); equal bytes have equal hashes anywhere."""
     inverse = _power(_INVERSE, len(sums))

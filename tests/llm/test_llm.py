@@ -91,6 +91,58 @@ def test_edit_distance_and_lines(spark):
     assert line_dedup.edit_distance_within(b"kitten", b"sitting", 3) and not line_dedup.edit_distance_within(b"kitten", b"sitting", 2)
 
 
+def test_lines_with_edited_words_against_brute_force(spark):
+    def split(line):
+        out = []
+        for w in line.split():
+            run = ""
+            for c in w:
+                if len(c.encode()) > 2:
+                    out += [run, c] if run else [c]
+                    run = ""
+                else:
+                    run += c
+            out += [run] if run else []
+        return out
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    rng, lines = random.Random(11), []
+    for n in [*range(6, 70, 3), 90, 111, 120, 511, 520]:
+        line = words(rng, n, 30000)
+        lines.append(" ".join(line))
+        for times in (1, 1, 2, 2, n // 16, n // 16 + 1):
+            copy = list(line)
+            for _ in range(times):
+                at, kind = rng.randrange(len(copy)), rng.randrange(3)
+                copy[at : at + (kind > 0)] = ["another"] * (kind < 2)
+            lines.append(" ".join(copy))
+    cjk = "".join(chr(0x4E00 + rng.randrange(4000)) for _ in range(24))
+    lines = sorted({*lines, cjk, cjk[:9] + "\u4e00" + cjk[10:], cjk[:20]}, key=lambda x: (len(x), x))
+    lines = [x for x in lines if len(x.encode()) >= line_dedup.MIN_BYTES]
+    tokens, up = [split(x) for x in lines], list(range(len(lines)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i in range(len(lines)):
+        for j in range(i):
+            least = min(len(tokens[i]), len(tokens[j]))
+            most = max(1, least // 16) if least >= 8 else -1
+            if len({*tokens[i]} & {*tokens[j]}) > 3 and apart(tokens[i], tokens[j]) <= most or line_dedup.edit_distance_within(lines[i].encode(), lines[j].encode(), 2):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    want = {i for i in range(len(lines)) if root(i) != i}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in line_dedup.line_report(docs).collect() if r.removed} == want and len(want) > len(lines) // 2
+
+
 def test_decontamination_finds_edited_items(spark):
     rng = random.Random(5)
     items = [" ".join(words(rng, rng.randint(12, 40), 5000)) for _ in range(10)]
