@@ -22,7 +22,7 @@ from . import textkit as tk
 from .clusters import families, resolve
 from .shared import materialise, prepare
 
-#: Edits (insert, delete or replace a byte) between near copies of any length; lines below MIN_BYTES are never removed.
+#: Edits (insert, delete or replace a byte) between near copies of any length; lines below MIN_BYTES have none.
 DISTANCE, MIN_BYTES = 2, 24
 #: Words of the shorter line for each word edit between near copies, and the words from which one edit is allowed at least.
 #: A character of three bytes or more is a word.
@@ -134,17 +134,22 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.append(first, len(starts))
 
 
-def _lines(batches):
-    """(id, line, h) of the lines that count."""
+def _lines(short: bool):
+    """(id, line, h) of the lines that count: all non-blank ones with ``short``."""
     schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("h", pa.int64())])
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, b, data, offsets in tk.chunks(batch.column(1)):
-            starts, ends, first = line_spans(data, offsets)
-            own = tk.rows_of(first)
-            keep = np.flatnonzero(ends - starts >= MIN_BYTES)
-            h = tk.substring_hash(tk.prefix_sums(data), starts[keep], ends[keep]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][own[keep]]), pa.array((keep - first[own[keep]]).astype(np.int32)), pa.array(h)], schema=schema)
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in tk.chunks(batch.column(1)):
+                starts, ends, first = line_spans(data, offsets)
+                own = tk.rows_of(first)
+                count = np.concatenate([[0], np.cumsum(tk.NOT_SPACE[data])])
+                keep = np.flatnonzero(count[ends] > count[starts] if short else ends - starts >= MIN_BYTES)
+                h = tk.substring_hash(tk.prefix_sums(data), starts[keep], ends[keep]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][own[keep]]), pa.array((keep - first[own[keep]]).astype(np.int32)), pa.array(h)], schema=schema)
+
+    return run
 
 
 def _few_words(distance: int) -> int:
@@ -304,18 +309,19 @@ def _texts_of(docs: DataFrame, member: DataFrame) -> DataFrame:
     return found.join(member.select("id"), "id", "left_semi").groupBy("id").agg(F.first("payload").alias("payload"))
 
 
-def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(id, line, h) of all lines that count, and (h, class, first_id, first_line): each class's first occurrence.
 
     Lines are split at line feeds and counted from 0; those of at least
-    MIN_BYTES bytes count.  Lines at most one word edit for each WORDS_AN_EDIT
+    MIN_BYTES bytes count, with ``short`` all that aren't blank, though below
+    MIN_BYTES by exact copies only.  Lines at most one word edit for each WORDS_AN_EDIT
     words of the shorter one (one from LEAST_WORDS words), or ``distance`` byte edits, apart are linked, a
     class is what links reach, and its first occurrence is the smallest
     (doc_id, line).
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
-    lines = materialise(docs.mapInArrow(_lines, "id long, line int, h long"))
+    lines = materialise(docs.mapInArrow(_lines(short), "id long, line int, h long"))
     firsts = materialise(lines.groupBy("h").agg(F.min(F.struct("id", "line")).alias("at")))
     bare = docs.select("text")
     index = bare.mapInArrow(_keys(False, distance), "id long, key long")
@@ -328,23 +334,23 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     return lines, classes.join(first, "class").select("h", "class", F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line"))
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, short: bool = False) -> DataFrame:
     """(id, lines): the numbers of the lines of each document that repeat an earlier line, ascending."""
-    lines, classes = line_classes(docs, doc_id, text, distance)
+    lines, classes = line_classes(docs, doc_id, text, distance, short)
     again = lines.join(classes, "h").filter("id <> first_id or line <> first_line")
     return again.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, short: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) for each row of docs.
 
     removed has the numbers, from 0, of the lines that are exact or near copies
     of an earlier one in the order of (doc_id, line).  Null text: no lines;
     empty text: one line, kept.  Rows that share a doc_id count as one
-    document; rows with a null doc_id keep all lines.  Other columns are
-    ignored, an empty table gives no rows.
+    document; rows with a null doc_id keep all lines.  Lines below MIN_BYTES are
+    looked at with ``short`` only, blank ones never.  Other columns are an empty table gives no rows.
     """
-    gone = removed_lines(docs, doc_id, text, distance).withColumnRenamed("id", "__gone")
+    gone = removed_lines(docs, doc_id, text, distance, short).withColumnRenamed("id", "__gone")
     own = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     own = own.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     out = own.join(gone, F.col(doc_id) == F.col("__gone"), "left")
@@ -352,13 +358,13 @@ def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dis
     return out.select(doc_id, "n_lines", F.size(lines).cast("long").alias("n_removed"), lines.alias("removed"))
 
 
-def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, short: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of the texts; documents of which only white space is left go.
 
     Documents that lose no line stay as they are, whatever their text.  Nulls,
     repeated rows and empty tables: see line_report.
     """
-    gone = removed_lines(docs, doc_id, text, distance).select(F.col("id").alias("__gone"), F.col("lines").alias("__lines"))
+    gone = removed_lines(docs, doc_id, text, distance, short).select(F.col("id").alias("__gone"), F.col("lines").alias("__lines"))
     out = docs.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left")
     left = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(F.col("__lines"), i))
     fixed = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))

@@ -53,7 +53,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(documents(spark, sf_dir))
+    return line_report(documents(spark, sf_dir), short=True)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

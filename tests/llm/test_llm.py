@@ -91,6 +91,13 @@ def test_edit_distance_and_lines(spark):
     assert line_dedup.edit_distance_within(b"kitten", b"sitting", 3) and not line_dedup.edit_distance_within(b"kitten", b"sitting", 2)
 
 
+def test_exact_copies_of_short_lines(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved.\n\n \none"), (2, "one\n\n \nAll rights reserved,"), (3, "\u5168\nOne"), (4, "\u5168\n}")], "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in line_dedup.line_report(docs, short=True).collect()}
+    assert got == {1: [], 2: [0], 3: [], 4: [0]}
+    assert {r.doc_id: r.text for r in line_dedup.drop_lines(docs, short=True).collect()}[4] == "}"
+
+
 def test_lines_with_edited_words_against_brute_force(spark):
     def split(line):
         out = []
