@@ -1,60 +1,109 @@
 """Connected components, and exact grouping inside candidate families.
 
-``components`` is the alternating large-star / small-star algorithm on an edge
-table.  ``resolve`` takes candidate buckets (key, id), joins buckets that share
-members into families, and lets a function find the true groups inside each
-family without any table of pairs.  Families above ``block`` members are dealt
-out as pairs of blocks, so that no task holds more than two blocks.
+``components`` works on an edge table.  Each pass deals the edges out by their
+larger end and joins what meets in a partition, until no node has two smaller
+neighbours; what is left is a forest, whose nodes then jump to the root.
+``ties`` turns buckets (key, side, id) into edges; a bucket that many partitions
+hold is tied inside each of them first, so that one row of each travels.
+``resolve`` lets a function find the true groups inside each family without any
+table of pairs.  Families above ``block`` members are dealt out as pairs of
+blocks, so that no task holds more than two blocks.  Joins that may have a hot
+key read written tables on both sides, which lets Spark split the key.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, materialise_counted
 
+#: Passes after which ``components`` gives up with a RuntimeError; each at least halves what random chains are left with.
 MAX_ROUNDS = 60
+#: Rows that a task holds at once before it condenses them.
+_HELD = 1 << 20
+_EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("forks", pa.int64())])
+
+
+def gathered(batches, rows: int = _HELD) -> Iterator[list[np.ndarray]]:
+    """The columns of Arrow batches without nulls, about ``rows`` rows at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size >= rows:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def to_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node reachable) of all nodes that aren't their own smallest."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    up = np.arange(len(ids))
+    while True:
+        x, y = up[a], up[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(up, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            higher = up[up]
+            if (higher == up).all():
+                break
+            up = higher
+    below = np.flatnonzero(up != np.arange(len(ids)))
+    return ids[below], ids[up[below]]
+
+
+def _contract(batches):
+    """Edges (u, v, forks) of a partition as stars; forks counts the nodes' smaller neighbours beyond the first."""
+    u = v = np.zeros(0, np.int64)
+    forks = 0
+    for more_u, more_v, *_ in gathered(batches):
+        u, v = np.concatenate([u, more_u]), np.concatenate([v, more_v])
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        forks += int(((u[1:] == u[:-1]) & (v[1:] != v[:-1])).sum())
+        u, v = to_roots(u, v)
+    if len(u):
+        count = np.zeros(len(u), np.int64)
+        count[0] = forks
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(count)], schema=_EDGES)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): component is the smallest id reachable; only ids with edges.
 
-    Rows with a null end or equal ends are ignored.
+    Rows with a null end or equal ends are ignored.  More than MAX_ROUNDS
+    passes raise a RuntimeError.
     """
-    now = materialise(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
-    )
-    mark = _mark(now)
+    ends = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u is not null and v is not null and u <> v")
+    kind = "u long, v long, forks long"
+    now = ends.mapInArrow(_contract, kind)
     for _ in range(MAX_ROUNDS):
-        if not mark[0]:
-            break
-        # large star: the larger neighbours of a node move to its smallest one
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: the smaller neighbours of a node, and itself, move to its smallest one
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        before, mark = mark, _mark(now)
-        if mark == before:
+        now, forks = materialise_counted(now.repartition("u").mapInArrow(_contract, kind), F.sum("forks"))
+        if not forks:
             break
     else:
         raise RuntimeError("components didn't converge")
-    return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id").unionByName(
-        now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
-
-
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], int(row[1] or 0)
+    now = now.select("u", "v")
+    while True:
+        up = now.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        now, moved = materialise_counted(now.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")), F.count_if("moved"))
+        now = now.select("u", "v")
+        if not moved:
+            break
+    roots = now.select("v").distinct()
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("id"), F.col("v").alias("component")))
 
 
 class Forest:
@@ -74,18 +123,65 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def families(buckets: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """(id, family): ids whose buckets (key, id) hang together; lone ids are left out.
-
-    With an index, only keys that it holds tie ids together, and to its ids.
+_TIES = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("id", pa.int64()), ("other", pa.int64())])
+_EDGE_ROW = 2  # a side: the row is an edge (id, other) already
+
+
+def _tie_here(batches):
+    """What a partition can tie itself becomes edges, and one row of it travels by its key."""
+    for key, side, id_ in gathered(batches):
+        order = np.lexsort((id_, side, key))
+        key, side, id_ = key[order], side[order].astype(np.int32), id_[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        tied = ~new & (side[head] == 0)
+        edge = tied & (id_ != id_[head])
+        rest = ~tied
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([key[rest], id_[edge]])),
+                pa.array(np.concatenate([side[rest], np.full(edge.sum(), _EDGE_ROW, np.int32)])),
+                pa.array(np.concatenate([id_[rest], id_[edge]])),
+                pa.array(np.concatenate([id_[rest], id_[head][edge]])),
+            ],
+            schema=_TIES,
+        )
+
+
+def _tie_rows(batches):
+    """Edges of rows sorted by key, side and id: all rows of a key go to its first one, if that has side 0."""
+    last, first, ties = None, 0, False
+    for key, side, id_, other in gathered(batches, 1 << 17):
+        done = side == _EDGE_ROW
+        u, v = [id_[done]], [other[done]]
+        key, side, id_ = key[~done], side[~done], id_[~done]
+        if len(key):
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            new[0] = key[0] != last
+            head = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            target, ok = np.where(head < 0, first, id_[head]), np.where(head < 0, ties, side[head] == 0)
+            edge = ok & (id_ != target)
+            u.append(id_[edge])
+            v.append(target[edge])
+            last, first, ties = key[-1], target[-1], ok[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["a", "b"])
+
+
+def ties(rows: DataFrame, made: Callable | None = None) -> DataFrame:
+    """Edges (a, b) of rows (key long, side int, id long), none null: all ids of a key that has an id of side 0 hang together.
+
+    An id of side 1 alone ties nothing.  With ``made``, a function of Arrow
+    batches makes these rows from rows.
     """
-    if index is not None:
-        heads = index.groupBy("key").agg(F.min("id").alias("head"))
-        edges = buckets.join(heads, "key").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-        return components(edges).withColumnRenamed("component", "family")
-    heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head <> tail").select("key", "head")
-    edges = buckets.join(heads, "key").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    return components(edges).withColumnRenamed("component", "family")
+    here = rows.mapInArrow(lambda batches: _tie_here(made(batches) if made else batches), "key long, side int, id long, other long")
+    return here.repartition("key").sortWithinPartitions("key", "side", "id").mapInArrow(_tie_rows, "a long, b long")
+
+
+def families(rows: DataFrame, made: Callable | None = None) -> DataFrame:
+    """(id, family): ids whose rows (see ``ties``) hang together; lone ids are left out."""
+    return components(ties(rows, made)).withColumnRenamed("component", "family")
 
 
 def by_group(rows: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
@@ -142,37 +238,33 @@ def _linked(tasks: DataFrame, keys: list[str], payloads: DataFrame, linker: Link
 def resolve(member: DataFrame, payloads: DataFrame, linker: Linker, block: int = 128) -> DataFrame:
     """(id, component) of the ids that the linker links, all others left out.
 
-    member: (id, family), a written table; payloads: (id long, payload).  Every pair of a family is looked at unless
-    both ends are known to hang together, and pairs never leave a task: a task
-    holds at most two blocks and returns one row per member.  A family of more
-    than a block is dealt out to blocks first, each with the same few pivots;
-    whoever isn't in the family's largest group then meets all its blocks.
+    member: (id, family) and payloads: (id long, payload), one row an id, both
+    written tables.  Every pair of a family is looked at unless both ends are
+    known to hang together, and pairs never leave a task: a task holds at most
+    two blocks and returns one row per member.  A family of more than a block
+    is dealt out to blocks first, each with the same few pivots; whoever isn't
+    in the family's largest group then meets all its blocks.
     """
     sizes = member.groupBy("family").agg(
         F.ceil(F.count("*") / block).cast("long").alias("blocks"),
         *[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"].alias(f"p{k}") for k in range(PIVOTS)],
     )
-    dealt = materialise(
-        member.join(sizes, "family").select("id", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
-    )
-    pivots = (
-        sizes.filter("blocks > 1")
-        .select("family", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("id"), F.expr("sequence(0L, blocks - 1)").alias("to"))
-        .select("id", "family", F.explode("to").alias("block"))
-    )
-    first = dealt.select("id", "family", "block").unionByName(pivots)
-    first = first.select("id", "family", "block", F.lit(1).alias("side"), F.col("id").alias("label"))
-    edges = materialise(_linked(first, ["family", "block"], payloads, linker))
-    large = dealt.filter("blocks > 1")
-    if large.isEmpty():
-        return components(edges)
-    known = components(edges)
-    large = large.join(known, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    main = large.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
-    large = materialise(large.join(main, "family").withColumn("apart", F.col("label") != F.col("main")))
-    groups = large.filter("apart").groupBy("family").agg(F.ceil(F.count("*") / block).cast("long").alias("groups"))
-    split = large.join(groups, "family").withColumn("group", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")))
+    sizes, any_large = materialise_counted(sizes.filter("blocks > 1"), F.count("*"))
+    own = [F.lit(1).alias("side"), F.col("id").alias("label")]
+    if not any_large:
+        return components(_linked(member.select("id", "family", F.lit(0).cast("long").alias("block"), *own), ["family", "block"], payloads, linker))
+    dealt = member.join(sizes.select("family", "blocks"), "family", "left")
+    dealt = dealt.select("id", "family", F.coalesce("blocks", F.lit(1)).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    pivots = sizes.select("family", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("id"), F.expr("sequence(0L, blocks - 1)").alias("to"))
+    first = dealt.select("id", "family", "block").unionByName(pivots.select("id", "family", F.explode("to").alias("block")))
+    edges = materialise(_linked(first.select("id", "family", "block", *own), ["family", "block"], payloads, linker))
+    known = materialise(components(edges))
+    large = dealt.filter("blocks > 1").join(known, "id", "left").select("id", "family", "blocks", "block", F.coalesce("component", "id").alias("label"))
+    large = materialise(large)
+    main = materialise(large.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("n")))
+    apart = main.filter("all > n").select("family", "main", F.ceil((F.col("all") - F.col("n")) / block).cast("long").alias("groups"))
+    split = large.join(apart, "family").withColumn("group", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")))
     every = split.select("id", "family", "label", "block", F.expr("explode(sequence(0L, groups - 1))").alias("group"), F.lit(0).alias("side"))
-    alone = split.filter("apart").select("id", "family", "label", F.expr("explode(sequence(0L, blocks - 1))").alias("block"), "group", F.lit(1).alias("side"))
-    more = _linked(every.unionByName(alone), ["family", "block", "group"], payloads, linker)
-    return components(edges.unionByName(more))
+    alone = split.filter("label <> main").select("id", "family", "label", F.expr("explode(sequence(0L, blocks - 1))").alias("block"), "group", F.lit(1).alias("side"))
+    more, found = materialise_counted(_linked(every.unionByName(alone), ["family", "block", "group"], payloads, linker), F.count("*"))
+    return components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)) if found else known

@@ -231,3 +231,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     found = rows.mapInArrow(run, kind).groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start", "end")).alias("m"))
     return found.select(F.col("doc_id").alias(doc_id), "item_id", "m.distance", "m.start", "m.end")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """docs without the rows whose text holds a near copy of a benchmark item (see ``leaks``).
+
+    Each row is judged by its own text, whatever its doc_id: null or repeated.
+    Rows with a null or empty text stay.  All columns are returned, whatever
+    their names, and nothing is shuffled.
+    """
+    spark = prepare(docs.sparkSession)
+    held = spark.sparkContext.broadcast(read_items(benchmark))
+    names = docs.schema.names
+
+    def run(batches):
+        items = held.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for a, _, words, first in _words(batch.column(batch.num_columns - 1)):
+                keep[[a + t for t, *_ in items.matches(words, first)]] = False
+            yield batch.filter(pa.array(keep))
+
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    rows = rows.withColumn("__text", F.col(f"c{names.index(text)}"))
+    return rows.mapInArrow(run, rows.schema).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])

@@ -14,8 +14,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, max_rows: int
     """Texts and 0/1 labels of at most max_rows labelled documents and max_bytes of text.
 
     Rows come in the order of a hash of their ids, so that the sample is the
-    same in each run; a longer input only gives a thinner sample.  Rows with a
-    null text or label, or an id labelled both ways, are left out.
+    same in each run; a longer input only gives a thinner sample.  A text that
+    doesn't fit into what is left of max_bytes is skipped, smaller ones behind
+    it are still taken.  Rows with a null text, label or id, or an id labelled
+    both ways, are left out; rows that repeat both id and text count once, and
+    an empty table on either side gives no rows.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(train & F.col("y").isin(0, 1))
     own = own.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("doc_id", "y")
@@ -25,9 +28,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, max_rows: int
     rows = docs_.join(F.broadcast(own), "doc_id").withColumn("size", F.octet_length("text"))
     # a text's share of the budget shrinks with the sample, not with the input
     sized = rows.select("doc_id", "size").orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(max_rows).toPandas()
-    fits = sized[sized["size"].cumsum() <= max_bytes]
+    left, taken = max_bytes, []
+    for size in sized["size"].tolist():
+        taken.append(size <= left)
+        left -= size if taken[-1] else 0
+    fits = sized[np.array(taken, bool)]
     if not len(fits):
         return [], np.zeros(0)
-    last = F.broadcast(docs.sparkSession.createDataFrame(fits[["doc_id"]].drop_duplicates()))
-    found = rows.join(last, "doc_id").select("doc_id", "text", "y").toPandas().drop_duplicates(["doc_id", "text"]).sort_values(["doc_id", "text"])
+    last = F.broadcast(docs.sparkSession.createDataFrame(fits[["doc_id", "size"]].drop_duplicates()))
+    found = rows.join(last, ["doc_id", "size"]).select("doc_id", "text", "y").toPandas().drop_duplicates(["doc_id", "text"]).sort_values(["doc_id", "text"])
     return found["text"].tolist(), found["y"].to_numpy(float)

@@ -193,3 +193,14 @@ def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", keep: l
 
     out = source.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score")
+
+
+def drop_unidentified(docs: DataFrame, model: LanguageFilters, least: float, text: str = "text") -> DataFrame:
+    """docs without the rows of no known language, or with a score below ``least``.
+
+    Null and letterless texts go.  All columns are returned, whatever their names.
+    """
+    names = docs.schema.names
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    out = predict(rows, model, f"c{names.index(text)}").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .clusters import families, resolve
-from .shared import materialise, prepare
+from .shared import materialise, only_ids, prepare
 
 #: Edits (insert, delete or replace a byte) between near copies of any length; lines below MIN_BYTES have none.
 DISTANCE, MIN_BYTES = 2, 24
@@ -135,19 +135,21 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _lines(short: bool):
-    """(id, line, h) of the lines that count: all non-blank ones with ``short``."""
-    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("h", pa.int64())])
+    """(id, doc, line, h, g) of the lines that count: all non-blank ones with ``short``; a line is known by 128 bits."""
+    schema = pa.schema([("id", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in tk.chunks(batch.column(1)):
+            for a, b, data, offsets in tk.chunks(batch.column(2)):
                 starts, ends, first = line_spans(data, offsets)
                 own = tk.rows_of(first)
                 count = np.concatenate([[0], np.cumsum(tk.NOT_SPACE[data])])
                 keep = np.flatnonzero(count[ends] > count[starts] if short else ends - starts >= MIN_BYTES)
-                h = tk.substring_hash(tk.prefix_sums(data), starts[keep], ends[keep]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][own[keep]]), pa.array((keep - first[own[keep]]).astype(np.int32)), pa.array(h)], schema=schema)
+                h, g = (tk.substring_hash(tk.prefix_sums(data, half), starts[keep], ends[keep], half).view(np.int64) for half in (0, 1))
+                doc = pa.array(own[keep] + a)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(doc), batch.column(1).take(doc), pa.array((keep - first[own[keep]]).astype(np.int32)), pa.array(h), pa.array(g)], schema=schema
+                )
 
     return run
 
@@ -157,9 +159,8 @@ def _few_words(distance: int) -> int:
     return 2 * distance * (WORDS_AN_EDIT + 1)
 
 
-def _keys(probe: bool, distance: int):
-    """(id, key): index entries, or probes, of all lines; id is the line's hash."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64())])
+def _keys(distance: int):
+    """(key, side, id): index entries, side 0, and probes, side 1, of all lines; id is the line's hash."""
 
     def run(batches):
         for batch in batches:
@@ -171,18 +172,25 @@ def _keys(probe: bool, distance: int):
                 starts, ends, first = starts[keep], ends[keep], first[:-1][keep]
                 sums = tk.prefix_sums(data)
                 h, once = np.unique(tk.substring_hash(sums, starts, ends), return_index=True)
-                own, made = _word_keys(words, first[once], n_words[once], probe)
-                ids, keys = [h[own]], [made]
+                found: list[tuple[np.ndarray, np.ndarray, int]] = []
+                for side in (0, 1):
+                    own, made = _word_keys(words, first[once], n_words[once], side == 1)
+                    found.append((made, h[own], side))
                 few = n_words[once] < _few_words(distance)
                 h, once = h[few], once[few]
                 starts, n = starts[once], (ends - starts)[once]
                 for k, (length, i, at, end, ok) in enumerate(_windows(n, distance)):
-                    if not probe and k > distance:
-                        break
                     part = tk.substring_hash(sums, (starts + at)[ok], (starts + end)[ok])
-                    keys.append(tk.mix(part + (length[ok] * (distance + 1) + i).astype(np.uint64) * _U(0x9FB21C651E98DF25)))
-                    ids.append(h[ok])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids).view(np.int64)), pa.array(np.concatenate(keys).view(np.int64))], schema=schema)
+                    made = tk.mix(part + (length[ok] * (distance + 1) + i).astype(np.uint64) * _U(0x9FB21C651E98DF25))
+                    found.append((made, h[ok], int(k > distance)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([key for key, _, _ in found]).view(np.int64)),
+                        pa.array(np.repeat(np.array([side for _, _, side in found], np.int32), [len(key) for key, _, _ in found])),
+                        pa.array(np.concatenate([id_ for _, id_, _ in found]).view(np.int64)),
+                    ],
+                    names=["key", "side", "id"],
+                )
 
     return run
 
@@ -284,7 +292,7 @@ def edit_linker(distance: int):
 def _texts_of(docs: DataFrame, member: DataFrame) -> DataFrame:
     """(id, payload): the bytes of the lines in member, found again by a bitmap of a fixed size and a join."""
     slot = F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = member.select(F.shiftright(slot, 5).alias("w"), F.expr(f"shiftleft(1L, cast(id & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = member.select(F.shiftright(slot, 5).alias("w"), F.expr("shiftleft(1L, cast(id & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     bits = np.zeros(1 << (FILTER_BITS - 5), np.int64)
     bits[words["w"].to_numpy()] = words["b"].to_numpy()
     held = docs.sparkSession.sparkContext.broadcast(bits)
@@ -309,36 +317,48 @@ def _texts_of(docs: DataFrame, member: DataFrame) -> DataFrame:
     return found.join(member.select("id"), "id", "left_semi").groupBy("id").agg(F.first("payload").alias("payload"))
 
 
-def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, short: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(id, line, h) of all lines that count, and (h, class, first_id, first_line): each class's first occurrence.
+def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, doc, text): doc tells rows apart by id and text."""
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(doc_id, text).alias("doc"), F.col(text).alias("text"))
+
+
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, short: bool = False) -> DataFrame:
+    """(id, doc, lines): the numbers of the lines of each document that repeat an earlier line, ascending; a written table.
 
     Lines are split at line feeds and counted from 0; those of at least
     MIN_BYTES bytes count, with ``short`` all that aren't blank, though below
     MIN_BYTES by exact copies only.  Lines at most one word edit for each WORDS_AN_EDIT
     words of the shorter one (one from LEAST_WORDS words), or ``distance`` byte edits, apart are linked, a
     class is what links reach, and its first occurrence is the smallest
-    (doc_id, line).
+    (doc_id, line), null ids last.  Rows with the same id and other texts are
+    documents of their own; rows that repeat both are one, so they lose the same lines.
     """
     prepare(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
-    lines = materialise(docs.mapInArrow(_lines(short), "id long, line int, h long"))
-    firsts = materialise(lines.groupBy("h").agg(F.min(F.struct("id", "line")).alias("at")))
+    docs = _named(docs, doc_id, text).filter("text is not null")
+    lines = materialise(docs.mapInArrow(_lines(short), "id long, doc long, line int, h long, g long"))
+    place = F.struct(F.col("id").isNull().alias("missing"), "id", "doc", "line")
+    firsts = materialise(lines.groupBy("h", "g").agg(F.min(place).alias("at"), F.count("*").alias("n")))
     bare = docs.select("text")
-    index = bare.mapInArrow(_keys(False, distance), "id long, key long")
-    probes = bare.mapInArrow(_keys(True, distance), "id long, key long")
-    member = materialise(families(probes, index))
-    found = resolve(member, _texts_of(bare, member), edit_linker(distance))
-    classes = firsts.join(found.withColumnRenamed("id", "h"), "h", "left").withColumn("class", F.coalesce("component", "h"))
-    # most classes are one text: only the others need their first occurrence looked for
-    first = classes.groupBy("class").agg(F.min("at").alias("first"))
-    return lines, classes.join(first, "class").select("h", "class", F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line"))
-
-
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, short: bool = False) -> DataFrame:
-    """(id, lines): the numbers of the lines of each document that repeat an earlier line, ascending."""
-    lines, classes = line_classes(docs, doc_id, text, distance, short)
-    again = lines.join(classes, "h").filter("id <> first_id or line <> first_line")
-    return again.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    member = materialise(families(bare, _keys(distance)))
+    found = materialise(resolve(member, materialise(_texts_of(bare, member)), edit_linker(distance)))
+    near = materialise(firsts.join(found, firsts.h == found.id).select("h", "g", "at", F.col("component").alias("class")))
+    least = materialise(near.groupBy("class").agg(F.min("at").alias("first")))
+    moved = near.join(least, "class").filter("first <> at").select(F.col("h").alias("nh"), F.col("g").alias("ng"), "first")
+    # only lines that come more than once, or have a near copy before them, can go
+    again = firsts.join(materialise(moved), (F.col("h") == F.col("nh")) & (F.col("g") == F.col("ng")), "left").filter("n > 1 or first is not null")
+    again = materialise(again.select(F.col("h").alias("ch"), F.col("g").alias("cg"), F.coalesce("first", "at").alias("first")))
+    rest = only_ids(lines, again.select(F.col("ch").alias("id")), "h").join(again, (F.col("h") == F.col("ch")) & (F.col("g") == F.col("cg")))
+    rest = rest.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("doc") == F.col("first.doc")) & (F.col("line") == F.col("first.line"))))
+    return materialise(rest.groupBy("id", "doc").agg(F.sort_array(F.collect_set("line")).alias("lines")))
+
+
+def _with_removed(docs: DataFrame, doc_id: str, text: str, gone: DataFrame) -> DataFrame:
+    """Columns c0, c1, ... of docs and the numbers of the removed lines, null where there are none."""
+    names = docs.schema.names
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    at, of = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    gone = gone.select(F.col("id").alias("__id"), F.col("doc").alias("__doc"), F.col("lines").alias("__lines"))
+    return rows.join(gone, F.col(at).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(at, of) == F.col("__doc")), "left")
 
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, short: bool = False) -> DataFrame:
@@ -346,27 +366,27 @@ def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dis
 
     removed has the numbers, from 0, of the lines that are exact or near copies
     of an earlier one in the order of (doc_id, line).  Null text: no lines;
-    empty text: one line, kept.  Rows that share a doc_id count as one
-    document; rows with a null doc_id keep all lines.  Lines below MIN_BYTES are
-    looked at with ``short`` only, blank ones never.  Other columns are an empty table gives no rows.
+    empty text: one line, kept.  Rows that share a doc_id are documents of
+    their own unless the texts are the same, too; null doc_ids come last.
+    Lines below MIN_BYTES are looked at with ``short`` only, blank ones never.
+    Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    gone = removed_lines(docs, doc_id, text, distance, short).withColumnRenamed("id", "__gone")
-    own = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    own = own.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    out = own.join(gone, F.col(doc_id) == F.col("__gone"), "left")
-    lines = F.coalesce("lines", F.array().cast("array<int>"))
-    return out.select(doc_id, "n_lines", F.size(lines).cast("long").alias("n_removed"), lines.alias("removed"))
+    docs = docs.select(doc_id, text)
+    out = _with_removed(docs, doc_id, text, removed_lines(docs, doc_id, text, distance, short))
+    n_lines = F.greatest(F.coalesce(F.size(F.split("c1", "\n", -1)), F.lit(0)).cast("long"), F.lit(0).cast("long"))
+    lines = F.coalesce("__lines", F.array().cast("array<int>"))
+    return out.select(F.col("c0").cast("long").alias(doc_id), n_lines.alias("n_lines"), F.size(lines).cast("long").alias("n_removed"), lines.alias("removed"))
 
 
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, short: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of the texts; documents of which only white space is left go.
 
     Documents that lose no line stay as they are, whatever their text.  Nulls,
-    repeated rows and empty tables: see line_report.
+    repeated rows, clashing names and empty tables: see line_report.
     """
-    gone = removed_lines(docs, doc_id, text, distance, short).select(F.col("id").alias("__gone"), F.col("lines").alias("__lines"))
-    out = docs.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left")
-    left = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(F.col("__lines"), i))
-    fixed = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    out = _with_removed(docs, doc_id, text, removed_lines(docs, doc_id, text, distance, short))
+    at = f"c{docs.schema.names.index(text)}"
+    left = F.filter(F.split(at, "\n", -1), lambda _, i: ~F.array_contains(F.col("__lines"), i))
+    fixed = F.when(F.col("__lines").isNull(), F.col(at)).otherwise(F.array_join(left, "\n"))
     out = out.withColumn("__text", fixed).filter(F.col("__lines").isNull() | F.col("__text").rlike(r"\S"))
-    return out.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in docs.columns])
+    return out.select(*[F.col("__text" if c == text else f"c{k}").alias(c) for k, c in enumerate(docs.schema.names)])

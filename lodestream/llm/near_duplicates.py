@@ -17,19 +17,32 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .clusters import families, resolve
-from .shared import materialise, only_ids, prepare
+from .shared import materialise, materialise_counted, only_ids, prepare
 
 SLOTS, BANDS = 120, 20
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 
 
+#: Elements whose permutations are held at once.
+_SLICE = 1 << 17
+
+
 def signatures(sets: np.ndarray, sizes: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """SuperMinHash: (documents, slots) of rank << 32 | fraction.
 
     sets: the distinct hashed elements of all documents, sizes: their offsets.
-    A document without elements keeps the largest value in all slots.
+    A document without elements keeps the largest value in all slots.  Large
+    sets go in slices, whose least values are the whole set's.
     """
+    out = _signatures(sets[:_SLICE], np.minimum(sizes, _SLICE), slots)
+    for low in range(_SLICE, len(sets), _SLICE):
+        part = sets[low : low + _SLICE]
+        np.minimum(out, _signatures(part, np.clip(sizes - low, 0, len(part)), slots), out=out)
+    return out
+
+
+def _signatures(sets: np.ndarray, sizes: np.ndarray, slots: int) -> np.ndarray:
     n = len(sizes) - 1
     out = np.full(n * slots, _EMPTY)
     own = tk.rows_of(sizes)
@@ -55,14 +68,16 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, slots: int = SLOTS) -> np.nd
     return out.reshape(n, slots)
 
 
-_SKETCH = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SKETCH = pa.schema(
+    [("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))]
+)
 
 
 def _sketcher(width: int, slots: int, bands: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for a, b, data, offsets in tk.chunks(batch.column(1), 1 << 19):
+            for a, b, data, offsets in tk.chunks(batch.column(2), 1 << 19):
                 sets, sizes = tk.shingle_sets(data, offsets, width)
                 values = signatures(sets, sizes, slots).reshape(b - a, bands, slots // bands)
                 band = np.broadcast_to(np.arange(bands, dtype=np.uint64), (b - a, bands)).copy()
@@ -71,6 +86,7 @@ def _sketcher(width: int, slots: int, bands: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[a:b],
+                        batch.column(1)[a:b],
                         pa.array(np.diff(sizes)),
                         pa.array(tk.segment_sum(tk.mix(sets), sizes).view(np.int64)),
                         pa.array(tk.segment_sum(tk.mix(sets ^ _U(0x5851F42D4C957F2D)), sizes).view(np.int64)),
@@ -113,6 +129,29 @@ def set_linker(width: int, percent: int):
     return link
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """(id, h, n, first): each row's id, text hash, set size and the first (missing, id, h) of its group; null without a set.
+
+    Rows are told apart by id and text.  Groups are made of sets: a set, named
+    by 128 bits and its size, is represented by its first row.
+    """
+    prepare(docs.sparkSession)
+    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("payload"))
+    sketch = materialise(docs.mapInArrow(_sketcher(width, SLOTS, BANDS), "id long, h long, n long, d1 long, d2 long, bands array<long>"))
+    place = F.struct(F.col("id").isNull().alias("missing"), "id", "h")
+    reps = sketch.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct(place.alias("at"), "bands")).alias("r"))
+    reps = materialise(reps.select("d1", "d2", "n", "r.at", "r.bands", F.monotonically_increasing_id().alias("rep")))
+    member = materialise(families(reps.select(F.explode("bands").alias("key"), F.lit(0).alias("side"), F.col("rep").alias("id"))))
+    wanted = materialise(member.join(reps.select(F.col("rep").alias("id"), "at"), "id").select(F.col("id").alias("rep"), F.col("at.id").alias("rid"), F.col("at.h").alias("rh")))
+    texts = only_ids(docs, wanted.select(F.col("rh").alias("id")), "h").join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("h") == F.col("rh")))
+    texts = materialise(texts.groupBy(F.col("rep").alias("id")).agg(F.first("payload").alias("payload")))
+    found = materialise(resolve(member, texts, set_linker(width, percent)).withColumnRenamed("id", "rep"))
+    least = materialise(found.join(reps.select("rep", "at"), "rep").groupBy("component").agg(F.min("at").alias("least")))
+    root = reps.select("d1", "d2", "n", "rep", "at").join(found, "rep", "left").join(least, "component", "left")
+    root = root.select("d1", "d2", "n", F.coalesce("least", "at").alias("first"))
+    return sketch.select("id", "h", "n", "d1", "d2").join(root, ["d1", "d2", "n"], "left").select("id", "h", "n", "first")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
@@ -120,24 +159,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     holds the distinct shingles of ``width`` words, or the whole sequence when
     there are fewer.  Documents are linked when 100 * intersection >= percent *
     union; component_id is the smallest doc_id reachable.  Null and wordless
-    texts have no shingles and link with nothing.  Rows that repeat a doc_id
-    are linked by their own texts and reported once each under that id's
-    smallest component; a null doc_id gives null component_id, kept false.
-    Other columns are ignored.  An empty table gives no rows.
+    texts have no shingles and link with nothing.  Each row is linked by its
+    own text, also where rows share a doc_id; one with a null doc_id counts as
+    a link, has kept false, and a group of such rows alone a null
+    component_id.  Other columns are ignored.  An empty table gives no rows.
     """
-    prepare(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("payload"))
-    sketch = materialise(docs.mapInArrow(_sketcher(width, SLOTS, BANDS), "id long, n long, d1 long, d2 long, bands array<long>"))
-    # one representative of each set of shingles; its digest is 128 bits and the size
-    reps = materialise(
-        sketch.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "bands")).alias("r")).select("d1", "d2", "n", "r.id", "r.bands")
-    )
-    buckets = reps.select("id", F.explode("bands").alias("key"))
-    member = materialise(families(buckets))
-    texts = only_ids(docs.filter("id is not null"), member)
-    found = materialise(resolve(member, texts, set_linker(width, percent)))
-    root = reps.select("d1", "d2", "n", "id").join(found, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
-    out = sketch.join(root, ["d1", "d2", "n"], "left").select(
-        F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
-    )
+    out = _grouped(docs, doc_id, text, width, percent)
+    component = F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id"))
+    out = out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(False)))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the first by doc_id, null ids last.
+
+    Rows that repeat both doc_id and text are copies, too: one of them stays.
+    Rows whose text is null or holds no word all stay.  All columns of docs are
+    returned, whatever their names.
+    """
+    groups = materialise(_grouped(docs, doc_id, text, width, percent).filter("n > 0").select("id", "h", "first"))
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    key = ["id", "h"]
+    gone = materialise(groups.filter(~own).select(*key).distinct())
+    again, repeats = materialise_counted(groups.filter(own).groupBy(*key).count().filter("count > 1").select(*key), F.count("*"))
+    kinds = docs.schema.names
+    rows = docs.toDF(*[f"c{k}" for k in range(len(kinds))])
+    at, of = f"c{kinds.index(doc_id)}", f"c{kinds.index(text)}"
+    rows = rows.withColumn("__id", F.col(at).cast("long")).withColumn("__h", F.xxhash64(at, of))
+    same = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__h") == F.col("h"))
+    rows = rows.join(gone, same, "left_anti")
+    if repeats:
+        once = rows.join(again, same, "left_semi").dropDuplicates(["__id", "__h"])
+        rows = rows.join(again, same, "left_anti").unionByName(once)
+    return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(kinds)])

@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; texts are long, and a batch is held twice.
@@ -42,6 +42,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, total: Column) -> tuple[DataFrame, int]:
+    """As ``materialise``, with an aggregate over all rows that the same job makes."""
+    seen = Observation()
+    out = materialise(df.observe(seen, total.alias("total")))
+    return out, seen.get["total"] or 0
+
+
 #: Bits of the filter of ``only_ids``: a megabyte, whatever the number of ids.
 FILTER_BITS = 23
 

@@ -17,11 +17,13 @@ CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = (_BASE, 0xC2B2AE3D27D4EB4F)
+_INVERSES = tuple(pow(base, -1, 1 << 64) for base in _BASES)
 _powers: dict[int, np.ndarray] = {}
 
 _rng = np.random.default_rng(20240607)
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_CODES = (BYTE_CODE, _rng.integers(1, 1 << 63, 256, dtype=np.uint64))
 
 #: The words of the contracts: runs of bytes other than space and \t..\r.
 NOT_SPACE = np.ones(256, bool)
@@ -101,11 +103,11 @@ def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums from which ``substring_hash`` takes the hash of any substring."""
+def prefix_sums(data: np.ndarray, half: int = 0) -> np.ndarray:
+    """Sums from which ``substring_hash`` takes the hash of any substring; half 1 is a second, independent hash."""
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(BYTE_CODE[data] * _power(_BASE, len(data)), out=out[1:])
+    np.cumsum(_CODES[half][data] * _power(_BASES[half], len(data)), out=out[1:])
     return out
 
 
@@ -116,9 +118,9 @@ def sequence_sums(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def substring_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def substring_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, half: int = 0) -> np.ndarray:
     """64-bit hashes of bytes [start, end); equal bytes have equal hashes anywhere."""
-    inverse = _power(_INVERSE, len(sums))
+    inverse = _power(_INVERSES[half], len(sums))
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
