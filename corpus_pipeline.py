@@ -19,10 +19,7 @@ MIN_LANGUAGE_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language that the labelled documents are in; null and letterless texts go."""
     prepare(spark)
-    model = language_id.fit(docs)
-    out = language_id.predict(docs, model)
-    out = out.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return out.select(*docs.columns)
+    return language_id.drop_unidentified(docs, language_id.fit(docs), MIN_LANGUAGE_SCORE)
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +29,15 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the first by doc_id; of rows that repeat id and text, one."""
     prepare(spark)
-    groups = near_duplicates.near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id")
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    return near_duplicates.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no near copy of a benchmark item."""
+    """Documents that hold no near copy of a benchmark item; each row is judged by its own text."""
     prepare(spark)
-    found = decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
