@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise, materialise_counted
+from .textkit import mix
 
 #: Passes after which ``components`` gives up with a RuntimeError; each at least halves what random chains are left with.
 MAX_ROUNDS = 60
@@ -123,60 +124,51 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-_TIES = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("id", pa.int64()), ("other", pa.int64())])
-_EDGE_ROW = 2  # a side: the row is an edge (id, other) already
+def bucket_key(hashed: np.ndarray, side: np.ndarray | int) -> np.ndarray:
+    """The key of a bucket's row: 63 bits of a hash, and the side as the lowest bit, so that side 0 sorts first."""
+    return ((hashed & np.uint64(0xFFFFFFFFFFFFFFFE)) | np.asarray(side).astype(np.uint64)).view(np.int64)
+
+
+def _heads(key: np.ndarray) -> np.ndarray:
+    """The first row of each sorted row's bucket."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] >> 1 != key[:-1] >> 1
+    return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
 
 
 def _tie_here(batches):
-    """What a partition can tie itself becomes edges, and one row of it travels by its key."""
-    for key, side, id_ in gathered(batches):
-        order = np.lexsort((id_, side, key))
-        key, side, id_ = key[order], side[order].astype(np.int32), id_[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        tied = ~new & (side[head] == 0)
-        edge = tied & (id_ != id_[head])
-        rest = ~tied
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([key[rest], id_[edge]])),
-                pa.array(np.concatenate([side[rest], np.full(edge.sum(), _EDGE_ROW, np.int32)])),
-                pa.array(np.concatenate([id_[rest], id_[edge]])),
-                pa.array(np.concatenate([id_[rest], id_[head][edge]])),
-            ],
-            schema=_TIES,
-        )
+    """What a partition can tie itself becomes buckets of two, and one row of the bucket itself travels."""
+    for key, id_ in gathered(batches):
+        order = np.argsort(key, kind="stable")
+        key, id_ = key[order], id_[order]
+        head = _heads(key)
+        tied = (head < np.arange(len(key))) & (key[head] & 1 == 0)
+        pair = tied & (id_ != id_[head])
+        a, b = id_[head][pair], id_[pair]
+        own = bucket_key(mix(a.view(np.uint64) ^ mix(b.view(np.uint64))), 0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[~tied], own, own])), pa.array(np.concatenate([id_[~tied], a, b]))], names=["key", "id"])
 
 
 def _tie_rows(batches):
-    """Edges of rows sorted by key, side and id: all rows of a key go to its first one, if that has side 0."""
-    last, first, ties = None, 0, False
-    for key, side, id_, other in gathered(batches, 1 << 17):
-        done = side == _EDGE_ROW
-        u, v = [id_[done]], [other[done]]
-        key, side, id_ = key[~done], side[~done], id_[~done]
-        if len(key):
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            new[0] = key[0] != last
-            head = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            target, ok = np.where(head < 0, first, id_[head]), np.where(head < 0, ties, side[head] == 0)
-            edge = ok & (id_ != target)
-            u.append(id_[edge])
-            v.append(target[edge])
-            last, first, ties = key[-1], target[-1], ok[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["a", "b"])
+    """Edges of rows sorted by key: all rows of a bucket go to its first one, if that has side 0."""
+    held = None  # the bucket that the last rows belong to, as its first row
+    for key, id_ in gathered(batches, 1 << 17):
+        if held is not None:
+            key, id_ = np.append(held[0], key), np.append(held[1], id_)
+        head = _heads(key)
+        edge = (key[head] & 1 == 0) & (id_ != id_[head])
+        held = key[head[-1]], id_[head[-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(id_[edge]), pa.array(id_[head][edge])], names=["a", "b"])
 
 
 def ties(rows: DataFrame, made: Callable | None = None) -> DataFrame:
-    """Edges (a, b) of rows (key long, side int, id long), none null: all ids of a key that has an id of side 0 hang together.
+    """Edges (a, b) of rows (key, id), none null: all ids of a bucket that has an id of side 0 hang together.
 
-    An id of side 1 alone ties nothing.  With ``made``, a function of Arrow
-    batches makes these rows from rows.
+    Keys are made by ``bucket_key``; an id of side 1 alone ties nothing.  With
+    ``made``, a function of Arrow batches makes these rows from rows.
     """
-    here = rows.mapInArrow(lambda batches: _tie_here(made(batches) if made else batches), "key long, side int, id long, other long")
-    return here.repartition("key").sortWithinPartitions("key", "side", "id").mapInArrow(_tie_rows, "a long, b long")
+    here = rows.mapInArrow(lambda batches: _tie_here(made(batches) if made else batches), "key long, id long")
+    return here.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(_tie_rows, "a long, b long")
 
 
 def families(rows: DataFrame, made: Callable | None = None) -> DataFrame:
@@ -184,55 +176,72 @@ def families(rows: DataFrame, made: Callable | None = None) -> DataFrame:
     return components(ties(rows, made)).withColumnRenamed("component", "family")
 
 
-def by_group(rows: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
-    """function on each group of two rows or more, over sorted partitions: many small groups cost little each.
+def by_group(rows: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, at_once: int = 0) -> DataFrame:
+    """function on each group of two rows or more, over sorted partitions; groups have to be bounded.
 
-    A group has to be bounded; no more than one and a batch is held.
+    With ``at_once``, function gets as many whole groups as have about so many
+    rows, told apart by the column ``group``: many small groups cost little
+    each.  No more than these and a batch is held.
     """
 
     def run(batches):
-        held = None
+        held, rows_held = [], 0
         for frame in itertools.chain(batches, [None]):
-            rows = held if frame is None else frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if rows is None or not len(rows):
+            if frame is not None:
+                held.append(frame)
+                rows_held += len(frame)
+                if rows_held < at_once:
+                    continue
+            if not rows_held:
                 continue
+            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
             group = rows[keys].to_numpy()
-            bounds = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+            bounds = np.array([0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(rows)])
+            held, rows_held = [], 0
             if frame is not None:
-                held = rows.iloc[bounds[-2] :]
-                bounds.pop()
-            found = [r for a, b in zip(bounds, bounds[1:]) if b - a > 1 and (r := function(rows.iloc[a:b])) is not None]
+                held, bounds = [rows.iloc[bounds[-2] :]], bounds[:-1]
+                rows_held = len(held[0])
+            size = np.diff(bounds)
+            if at_once:
+                rows = rows.iloc[: bounds[-1]].assign(group=np.repeat(np.arange(len(size)), size))[np.repeat(size > 1, size)]
+                found = [function(rows.reset_index(drop=True))] if len(rows) else []
+            else:
+                found = [function(rows.iloc[a : a + n]) for a, n in zip(bounds.tolist(), size.tolist()) if n > 1]
+            found = [x for x in found if x is not None]
             if found:
                 yield pd.concat(found, ignore_index=True)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-#: ids (ascending), payloads, forest over their positions to join links in, and
-#: None or an array: only pairs with a True at one of their ends need looking at
-Linker = Callable[[np.ndarray, list, Forest, "np.ndarray | None"], None]
+#: payloads, the first row of each group and the rows' number, forest over their positions to join links of one
+#: group in, and None or an array: only pairs with a True at one of their ends need looking at
+Linker = Callable[[list, np.ndarray, Forest, "np.ndarray | None"], None]
 
 #: Members that each block of a large family is compared with at once.
 PIVOTS = 4
+#: Rows of whole groups that a linker gets at once.
+_AT_ONCE = 512
 
 
 def _linked(tasks: DataFrame, keys: list[str], payloads: DataFrame, linker: Linker) -> DataFrame:
     """Edges (a, b) found inside each task; tasks: keys, id, side, and label of those known to hang together."""
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["id", "side"], ascending=[True, False]).drop_duplicates("id")
-        ids, label = frame["id"].to_numpy(), frame["label"].tolist()
+        frame = frame.sort_values(["group", "id", "side"], ascending=[True, True, False]).drop_duplicates(["group", "id"])
+        ids, group = frame["id"].to_numpy(), frame["group"].to_numpy()
         forest, seen = Forest(len(ids)), {}
-        for i, x in enumerate(label):
+        for i, x in enumerate(zip(group.tolist(), frame["label"].tolist())):
             forest.join(i, seen.setdefault(x, i))
         before = [forest.root(i) for i in range(len(ids))]
         side = frame["side"].to_numpy() > 0
-        linker(ids, frame["payload"].tolist(), forest, None if side.all() else side)
+        first = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(ids))
+        linker(frame["payload"].tolist(), first, forest, None if side.all() else side)
         after = [forest.root(i) for i in range(len(ids))]
         new = [i for i in range(len(ids)) if after[i] != before[i] or before[i] != i]
         return pd.DataFrame({"a": ids[new], "b": ids[[after[i] for i in new]]}, dtype=np.int64)
 
-    return by_group(tasks.join(payloads, "id"), keys, link, "a long, b long")
+    return by_group(tasks.join(payloads, "id"), keys, link, "a long, b long", _AT_ONCE)
 
 
 def resolve(member: DataFrame, payloads: DataFrame, linker: Linker, block: int = 128) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .clusters import families, resolve
+from .clusters import bucket_key, families, resolve
 from .shared import materialise, only_ids, prepare
 
 #: Edits (insert, delete or replace a byte) between near copies of any length; lines below MIN_BYTES have none.
@@ -159,38 +159,40 @@ def _few_words(distance: int) -> int:
     return 2 * distance * (WORDS_AN_EDIT + 1)
 
 
+def _made(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, first: np.ndarray, n_words: np.ndarray, distance: int):
+    """(key, line) of all index entries, side 0 of their bucket, and probes, side 1, of some lines."""
+    keys, lines = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def put(key, side, line):
+        keys.append(bucket_key(key, side))
+        lines.append(line)
+
+    for side in (0, 1):
+        line, key = _word_keys(words, first, n_words, side == 1)
+        put(key, side, line)
+    few = np.flatnonzero(n_words < _few_words(distance))
+    sums, at_, n = tk.prefix_sums(data), starts[few], (ends - starts)[few]
+    for k, (length, i, at, end, ok) in enumerate(_windows(n, distance)):
+        part = tk.substring_hash(sums, (at_ + at)[ok], (at_ + end)[ok])
+        put(tk.mix(part + (length[ok] * (distance + 1) + i).astype(np.uint64) * _U(0x9FB21C651E98DF25)), int(k > distance), few[ok])
+    return np.concatenate(keys), np.concatenate(lines)
+
+
 def _keys(distance: int):
-    """(key, side, id): index entries, side 0, and probes, side 1, of all lines; id is the line's hash."""
+    """(key, id) of all lines' buckets; id is the line's hash."""
 
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in tk.chunks(batch.column(0)):
                 starts, ends, _ = line_spans(data, offsets)
                 words, first = line_words(data, starts, ends)
-                keep = ends - starts >= MIN_BYTES
-                n_words = np.diff(first)[keep]
-                starts, ends, first = starts[keep], ends[keep], first[:-1][keep]
-                sums = tk.prefix_sums(data)
-                h, once = np.unique(tk.substring_hash(sums, starts, ends), return_index=True)
-                found: list[tuple[np.ndarray, np.ndarray, int]] = []
-                for side in (0, 1):
-                    own, made = _word_keys(words, first[once], n_words[once], side == 1)
-                    found.append((made, h[own], side))
-                few = n_words[once] < _few_words(distance)
-                h, once = h[few], once[few]
-                starts, n = starts[once], (ends - starts)[once]
-                for k, (length, i, at, end, ok) in enumerate(_windows(n, distance)):
-                    part = tk.substring_hash(sums, (starts + at)[ok], (starts + end)[ok])
-                    made = tk.mix(part + (length[ok] * (distance + 1) + i).astype(np.uint64) * _U(0x9FB21C651E98DF25))
-                    found.append((made, h[ok], int(k > distance)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([key for key, _, _ in found]).view(np.int64)),
-                        pa.array(np.repeat(np.array([side for _, _, side in found], np.int32), [len(key) for key, _, _ in found])),
-                        pa.array(np.concatenate([id_ for _, id_, _ in found]).view(np.int64)),
-                    ],
-                    names=["key", "side", "id"],
-                )
+                n_words = np.diff(first)
+                h = tk.substring_hash(tk.prefix_sums(data), starts, ends)
+                long = np.flatnonzero(ends - starts >= MIN_BYTES)
+                h, once = np.unique(h[long], return_index=True)
+                once = long[once]
+                key, line = _made(data, starts[once], ends[once], words, first[once], n_words[once], distance)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[line].view(np.int64))], names=["key", "id"])
 
     return run
 
@@ -248,43 +250,44 @@ def edit_distance_within(a: bytes | np.ndarray, b: bytes | np.ndarray, most: int
 def edit_linker(distance: int):
     """Links near copies, by words or at most ``distance`` bytes apart; the same segment indexes find them inside a task."""
 
-    def link(ids, texts, forest, side):
+    def link(texts, group, forest, side):
         ends = np.cumsum([len(t) for t in texts])
-        words, first = line_words(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends)
+        starts = ends - [len(t) for t in texts]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        words, first = line_words(data, starts, ends)
         n_words = np.diff(first)
-
-        def meet(i, j):
-            if (side is None or side[i] or side[j]) and forest.root(i) != forest.root(j):
-                edits = int(word_edits(min(n_words[i], n_words[j])))
-                near = edits and edit_distance_within(words[first[i] : first[i + 1]], words[first[j] : first[j + 1]], edits)
-                if near or edit_distance_within(texts[i], texts[j], distance):
-                    forest.join(i, j)
-
-        held: dict[int, list[int]] = {}
-        for i, key in zip(*(v.tolist() for v in _word_keys(words, first[:-1], n_words, False))):
-            held.setdefault(key, []).append(i)
+        own = [words[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        bags = [set(w.tolist()) for w in own]
+        edits = [word_edits(n_words).tolist(), n_words.tolist(), [len(b) for b in bags]]
+
+        def near(i, j):
+            most = min(edits[0][i], edits[0][j])
+            # an edit changes one word, a byte edit two at most: all other words are in both lines
+            if min(edits[2][i], edits[2][j]) - len(bags[i] & bags[j]) > max(most, 2 * distance):
+                return False
+            return most and edit_distance_within(own[i], own[j], most) or edit_distance_within(texts[i], texts[j], distance)
+
+        key, line = _made(data, starts, ends, words, first[:-1], n_words, distance)
+        # buckets of one group only
+        number = np.repeat(np.arange(len(group) - 1), np.diff(group))[line]
+        order = np.lexsort((key, number))
+        key, line, number = key[order], line[order], number[order]
+        new = np.append(True, (key[1:] >> 1 != key[:-1] >> 1) | (number[1:] != number[:-1])) if len(key) else np.zeros(0, bool)
+        bounds = np.append(np.flatnonzero(new), len(key))
+        wide = np.flatnonzero((np.diff(bounds) > 1) & (key[bounds[:-1]] & 1 == 0)) if len(key) else []
         done: set[tuple[int, int]] = set()
-        for i, key in zip(*(v.tolist() for v in _word_keys(words, first[:-1], n_words, True))):
-            for j in held.get(key, ()):
-                pair = (min(i, j), max(i, j))
-                if i != j and pair not in done:
-                    done.add(pair)
-                    meet(i, j)
-        order = sorted(np.flatnonzero(n_words < _few_words(distance)).tolist(), key=lambda i: (len(texts[i]), i))
-        index: dict[tuple, list[int]] = {}
-        for i in order:
-            text, n = texts[i], np.array([len(texts[i])])
-            for length, place, start, end, ok in _windows(n, distance):
-                if ok[0]:
-                    for j in index.get((int(length[0]), place, text[int(start[0]) : int(end[0])]), ()):
-                        pair = (min(i, j), max(i, j))
+        for a, b in zip(bounds[:-1][wide].tolist(), bounds[1:][wide].tolist()):
+            every = list(dict.fromkeys(line[a:b].tolist()))
+            if len({forest.root(i) for i in every}) < 2:
+                continue
+            for i in dict.fromkeys(line[a:b][key[a:b] & 1 == 0].tolist()):
+                for j in every:
+                    if (side is None or side[i] or side[j]) and forest.root(i) != forest.root(j):
+                        pair = (i, j) if i < j else (j, i)
                         if pair not in done:
                             done.add(pair)
-                            meet(i, j)
-            for k, (length, place, start, end, _) in enumerate(_windows(n, distance)):
-                if k > distance:
-                    break
-                index.setdefault((int(length[0]), place, text[int(start[0]) : int(end[0])]), []).append(i)
+                            if near(i, j):
+                                forest.join(i, j)
 
     return link
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .clusters import families, resolve
+from .clusters import bucket_key, families, resolve
 from .shared import materialise, materialise_counted, only_ids, prepare
 
 SLOTS, BANDS = 120, 20
@@ -90,7 +90,7 @@ def _sketcher(width: int, slots: int, bands: int):
                         pa.array(np.diff(sizes)),
                         pa.array(tk.segment_sum(tk.mix(sets), sizes).view(np.int64)),
                         pa.array(tk.segment_sum(tk.mix(sets ^ _U(0x5851F42D4C957F2D)), sizes).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands), pa.int32()), pa.array(band.ravel().view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands), pa.int32()), pa.array(bucket_key(band.ravel(), 0))),
                     ],
                     schema=_SKETCH,
                 )
@@ -101,34 +101,40 @@ def _sketcher(width: int, slots: int, bands: int):
 def set_linker(width: int, percent: int):
     """Links documents with 100 * intersection >= percent * union of their full sets."""
 
-    def link(ids, texts, forest, side):
+    def link(texts, first, forest, side):
         data, offsets = tk.string_buffers(pa.array(texts, pa.large_string()))
         sets, sizes = tk.shingle_sets(data, offsets, width)
-        n, own, size = len(ids), tk.rows_of(sizes), np.diff(sizes)
-        _, column, times = np.unique(sets, return_inverse=True, return_counts=True)
-        common = times[column] > 1
-        _, column = np.unique(column[common], return_inverse=True)
-        own = own[common]
-        order = np.argsort(column, kind="stable")
-        own, column = own[order], column[order]
-        inter = np.zeros((n, n), np.float32)
-        step = max(1, (1 << 21) // max(n, 1))
-        for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-            p, q = np.searchsorted(column, (low, low + step))
-            part = np.zeros((n, step), np.float32)
-            part[own[p:q], column[p:q] - low] = 1
-            inter += part @ part.T
-        inter = inter.astype(np.int64)
-        near = 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
-        near &= (size[:, None] > 0) & (size[None, :] > 0)
-        if side is not None:
-            near &= side[:, None] | side[None, :]
-        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-            forest.join(int(i), int(j))
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            near = _near(sets[sizes[a] : sizes[b]], sizes[a : b + 1] - sizes[a], percent)
+            if side is not None:
+                near &= side[a:b, None] | side[None, a:b]
+            for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+                forest.join(a + int(i), a + int(j))
 
     return link
 
 
+def _near(sets: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """For each pair of sets whether 100 * intersection >= percent * union."""
+    n, own, size = len(sizes) - 1, tk.rows_of(sizes), np.diff(sizes)
+    _, column, times = np.unique(sets, return_inverse=True, return_counts=True)
+    common = times[column] > 1
+    _, column = np.unique(column[common], return_inverse=True)
+    own = own[common]
+    order = np.argsort(column, kind="stable")
+    own, column = own[order], column[order]
+    inter = np.zeros((n, n), np.float32)
+    step = max(1, (1 << 21) // max(n, 1))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        p, q = np.searchsorted(column, (low, low + step))
+        part = np.zeros((n, min(step, int(column[-1]) + 1 - low)), np.float32)
+        part[own[p:q], column[p:q] - low] = 1
+        inter += part @ part.T
+    inter = inter.astype(np.int64)
+    near = 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
+    return near & (size[:, None] > 0) & (size[None, :] > 0)
+
+
 def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """(id, h, n, first): each row's id, text hash, set size and the first (missing, id, h) of its group; null without a set.
 
@@ -141,7 +147,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
     place = F.struct(F.col("id").isNull().alias("missing"), "id", "h")
     reps = sketch.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct(place.alias("at"), "bands")).alias("r"))
     reps = materialise(reps.select("d1", "d2", "n", "r.at", "r.bands", F.monotonically_increasing_id().alias("rep")))
-    member = materialise(families(reps.select(F.explode("bands").alias("key"), F.lit(0).alias("side"), F.col("rep").alias("id"))))
+    member = materialise(families(reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))))
     wanted = materialise(member.join(reps.select(F.col("rep").alias("id"), "at"), "id").select(F.col("id").alias("rep"), F.col("at.id").alias("rid"), F.col("at.h").alias("rh")))
     texts = only_ids(docs, wanted.select(F.col("rh").alias("id")), "h").join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("h") == F.col("rh")))
     texts = materialise(texts.groupBy(F.col("rep").alias("id")).agg(F.first("payload").alias("payload")))
