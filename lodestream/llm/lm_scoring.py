@@ -1,15 +1,19 @@
 """LM scoring by online logistic context mixing.
 
-A text is its words in lower case with single spaces between them, and an end
-byte.  Bytes are spelt in a Huffman code, so that common ones have few bits.
-Each bit is predicted by several hashed contexts: the last two bytes, the
-last four, and the word so far, each with the byte's bits before this one.  What each context has seen, over all training texts, gives a
-stretched probability; a gate (bit position, how well the last four bytes
-and the word are known) picks the weights that sum them.  The tables grow with the
-corpus' distinct words, up to a fixed size.  The weights start from a bounded
-sample, read against the counts of all other texts, and are refined within each text, after each block, so that a block is
-predicted by what came before it only.  The sum of the bits' costs is the
-text's cost.  Beside it: an add-one unigram base over all training words.
+A text is its words in lower case, and an end.  The ``SYMBOLS`` commonest words
+are symbols of a Huffman code; any other word is an escape and its bytes, in a
+Huffman code of bytes, with a space.  Each bit is predicted by four contexts.
+For a symbol: none (the counts of the code's nodes); the word before, if it is
+common, hashed with the node; and what most often followed the last two words,
+and the last word, of which one slot of a hashed table holds the symbol, a
+check and how often it came.  For a byte: none, the last two, the last three
+and all bytes of the word so far, each hashed with the node.  A context gives a
+stretched probability; a gate (place in the code, how well the contexts are
+known) picks the weights that sum them.  First weights are fitted on one
+training text in ``FOLD``, whole, against the counts of all others, and are
+then refined within each text: a block is predicted by what came before it
+only.  The sum of the bits' costs is the text's cost.  Beside it: an add-one
+unigram base over all training words.
 """
 
 from __future__ import annotations
@@ -24,394 +28,546 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import materialise, prepare
 
-#: Slots of the three contexts' tables, as powers of two: at most, and at least.
-TABLES, LEAST_TABLE = (18, 22, 23), 14
-#: Slots for each distinct word of the training texts.
-SLOTS_A_WORD = 24
-KINDS = len(TABLES)
-DEPTHS = 8  # places of a bit in its byte's code that gates tell apart
-LEVELS = 4  # of how well a slot is known
-GATES = DEPTHS * LEVELS * LEVELS
-#: Blocks after which weights are refined: the first, and the largest; each is twice the one before.
-FIRST_BLOCK, LAST_BLOCK, RATE = 64, 4096, 0.3
-#: Words whose counts are broadcast; the counts of all others are joined.
-HOT_WORDS = 1 << 18
-#: Texts, and characters of each, from which the weights start; at most one training text in SAMPLE_EVERY.
-SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_EVERY = 200, 2048, 8
-_END = 0xFF  # never a byte of UTF-8
-_CHUNK = 1 << 19
-_U = np.uint64
-
-
-def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words in lower case with single spaces between and an end byte: bytes and offsets of the texts."""
-    word = tk.NOT_SPACE[data]
-    starts, _, first = tk.spans(word, offsets)
-    keep = word.copy()
-    inner = np.ones(len(starts), bool)
-    inner[first[:-1][first[:-1] < first[1:]]] = False  # a text's first word has no space before it
-    keep[starts[inner] - 1] = True
-    out = np.where(word, tk.LOWER[data], 0x20).astype(np.uint8)[keep]
-    cut = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    n = len(offsets) - 1
-    full = np.empty(len(out) + n, np.uint8)
-    bounds = cut + np.arange(n + 1)
-    ends = bounds[1:] - 1
-    full[ends] = _END
-    rest = np.ones(len(full), bool)
-    rest[ends] = False
-    full[rest] = out
-    return full, bounds
-
-
-def contexts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the contexts of each byte."""
-    n = len(data)
-    place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))  # in the text
-    last = np.zeros(n, np.uint32)
-    for k in range(1, 5):
-        past = np.zeros(n, np.uint32)
-        past[k:] = data[:-k]
-        past[place < k] = _END  # before a text's start
-        last |= past << np.uint32(8 * (k - 1))
-    starts = (place == 0) | (np.concatenate([[0], data[:-1]]) == 0x20)
-    word = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    so_far = tk.substring_hash(tk.prefix_sums(data), word, np.arange(n))
-    found = (last & np.uint32(0xFFFF)).astype(np.uint64), last.astype(np.uint64) + (_U(1) << _U(32)), so_far
-    return [(tk.mix(x) >> _U(32)).astype(np.uint32) for x in found]
-
-
-def table_sizes(words: int) -> tuple[int, ...]:
-    """Powers of two of the tables' slots for so many distinct words."""
-    want = max(LEAST_TABLE, int(np.ceil(np.log2(max(1, words) * SLOTS_A_WORD))))
-    return tuple(min(t, want) for t in TABLES)
-
-
-class Spelling:
-    """A Huffman code of all byte values: for each, its length and at each place the tree's node and the bit."""
+#: Common words that are symbols; counts of all other words are joined, not broadcast.
+SYMBOLS = 1 << 17
+#: Symbols that are a context of their own.
+HEADS = 1 << 12
+#: Slots as powers of two: of the word before, the bytes' four contexts (largest), and what followed (least and largest).
+AFTER_BITS, BYTE_BITS, RUN_BITS = 23, (12, 18, 20, 22), (14, 24)
+#: One training text in so many is kept out of the first counts and fits the weights.
+FOLD = 16
+FIT_ROUNDS, RIDGE = 4, 20.0
+#: Tokens of a text after which its weights are refined: the first block and the largest; each is twice the one before.
+FIRST_BLOCK, LAST_BLOCK = 32, 2048
+#: A gate's weights move by its gradient over its bits and so many more.
+INERTIA = 300.0
+KINDS = 4
+_SYMBOL_GATES, _BYTE_GATES = 8 * 4 * 4 * 2, 8 * 4 * 4
+GATES = _SYMBOL_GATES + _BYTE_GATES
+#: Weights before any are fitted, and those that the fit is drawn to.
+_START = np.array([[0.5, 0.3, 0.6, 0.5]] * _SYMBOL_GATES + [[0.2, 0.2, 0.3, 0.5]] * _BYTE_GATES, np.float32)
+_END, _ESCAPE = 0, 1  # symbols
+_BEFORE = np.uint64(0x51)  # stands for the words before a text
+_CHUNK, _TOKENS_AT_ONCE = 1 << 19, 1 << 14
+_PACK = 12  # slots that travel as one block, as a power of two
+_FLUSH = 1 << 27
+_U, _W = np.uint64, np.uint32
+
+
+def huffman_lengths(counts: np.ndarray) -> np.ndarray:
+    """Code lengths for positive counts."""
+    n = len(counts)
+    up, heap = np.zeros(2 * n, np.int64), [(int(c), i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    made = n
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        up[a[1]] = up[b[1]] = made
+        heapq.heappush(heap, (a[0] + b[0], made))
+        made += 1
+    depth = np.zeros(made, np.int64)
+    for node in range(made - 2, -1, -1):
+        depth[node] = depth[up[node]] + 1
+    return np.maximum(depth[:n], 1)
+
+
+class Code:
+    """A canonical prefix code: each symbol's bits and length."""
 
     def __init__(self, counts: np.ndarray):
-        heap = [(int(c) * 256 + 1, i, i) for i, c in enumerate(counts)]
-        heapq.heapify(heap)
-        children, made = {}, 256
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            children[made] = (a[2], b[2])
-            heapq.heappush(heap, (a[0] + b[0], made, made))
-            made += 1
-        codes: list[list] = [[] for _ in range(256)]
-        stack = [(heap[0][2], [])]
-        while stack:
-            node, path = stack.pop()
-            if node < 256:
-                codes[node] = path
-            else:
-                stack += [(child, [*path, (node - 255, bit)]) for bit, child in enumerate(children[node])]
-        self.length = np.array([len(c) for c in codes], np.uint8)
-        self.node = np.zeros((int(self.length.max()), 256), np.uint32)
-        self.bit = np.zeros(self.node.shape, np.uint8)
-        for byte, path in enumerate(codes):
-            for k, (node, bit) in enumerate(path):
-                self.node[k, byte], self.bit[k, byte] = node, bit
-
-    def places(self, data: np.ndarray):
-        """(place, positions that have it or None for all, their nodes and bits)."""
-        length, at, least = self.length[data], None, int(self.length.min())
-        for k in range(len(self.node)):
-            if k >= least:
-                at = np.flatnonzero(length > k) if at is None else at[length[at] > k]
-                if not len(at):
-                    return
-            own = data if at is None else data[at]
-            yield k, at, self.node[k][own], self.bit[k][own]
-
-
-def _take(values: np.ndarray, at: np.ndarray | None) -> np.ndarray:
-    return values if at is None else values[at]
-
-
-def _slots(context: np.ndarray, table: int, node: np.ndarray) -> np.ndarray:
-    """Slots, in a table of 2 ** table, of a context with the bits that are known of the byte (node of its code)."""
-    # 32-bit products wrap
-    mixed = (context ^ (node * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)
-    mixed ^= mixed >> np.uint32(15)
-    return (mixed * np.uint32(0xC2B2AE35) >> np.uint32(32 - table)).astype(np.int32)
-
-
-#: Slots whose counts travel as one block, as a power of two; no table is smaller.
-_PACK = 12
-#: Bytes of text after which a task passes its counts on.
-_FLUSH = 1 << 30
-
-
-def _squeeze(counts: np.ndarray) -> bytes:
-    """uint32 counts by byte planes, compressed: most are small."""
-    return pa.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unsqueeze(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(raw, 8 << _PACK, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1, 2)
-
-
-def _values(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Stretched probabilities as int16 in units of 1 / 2048.
+        length = huffman_lengths(counts)
+        order = np.lexsort((np.arange(len(counts)), length))
+        step = np.left_shift(np.int64(1), np.int64(length.max()) - length[order])
+        start = np.concatenate([[0], np.cumsum(step)[:-1]])
+        self.order, self.start, self.deepest = order, start, int(length.max())
+        kind = np.int32 if self.deepest <= 30 else np.int64
+        self.code, self.length = np.zeros(len(counts), kind), length.astype(kind)
+        self.code[order] = start >> (length.max() - length[order])
+
+    def node_values(self, counts: np.ndarray) -> np.ndarray:
+        """(symbols, places): the stretched probability of each node on each symbol's path, that the bit is the symbol's."""
+        total = np.concatenate([[0.0], np.cumsum(counts[self.order].astype(float))])
+        out = np.zeros((len(counts), self.deepest), np.int16)
+        left = self.code.astype(np.int64) << (self.deepest - self.length.astype(np.int64))
+        for k in range(self.deepest):
+            shift = self.deepest - k
+            low = left >> shift << shift
+            bounds = [total[np.searchsorted(self.start, low + x)] for x in (0, 1 << (shift - 1), 1 << shift)]
+            n0, n1 = bounds[1] - bounds[0], bounds[2] - bounds[1]
+            sign = np.where(left >> (shift - 1) & 1, 1, -1)
+            out[:, k] = np.clip(np.log((n1 + 0.02) / (n0 + 0.02)), -12, 12) * sign * 2048
+        return out
+
+
+def _slots(context: np.ndarray, bits: int, node: np.ndarray) -> np.ndarray:
+    mixed = (context ^ (node.astype(_W) * _W(0x9E3779B1))) * _W(0x85EBCA6B)
+    mixed ^= mixed >> _W(15)
+    return (mixed * _W(0xC2B2AE35) >> _W(32 - bits)).astype(np.int64)
+
+
+def _values(counts: np.ndarray) -> np.ndarray:
+    """Stretched probabilities as int16 in units of 1 / 2048, of counts (slots, 2).
 
     The two low bits tell how well the slot is known: 0 never seen, 1 once or
     twice, 2 up to 23 times, 3 more often.
     """
+    n0, n1 = counts[:, 0].astype(float), counts[:, 1].astype(float)
     n = n0 + n1
-    value = (np.clip(np.log((n1 + 0.05) / (n0 + 0.05)), -12, 12) * 2048).astype(np.int16)
-    level = (n > 0).astype(np.int16) + (n >= 3) + (n >= 24)
-    return (value & ~np.int16(3)) | level.astype(np.int16)
-
-
-def count_bits(docs: DataFrame, text: str, spelling: Spelling, tables: tuple[int, ...], apart: Column) -> DataFrame:
-    """(block, raw, rest): the values of all slots that any context of any text falls in, in blocks of 2 ** _PACK.
-
-    raw is over all texts, rest over those that aren't ``apart``.
+    value = (np.clip(np.log((n1 + 0.1) / (n0 + 0.1)), -12, 12) * 2048).astype(np.int16)
+    return (value & ~np.int16(3)) | ((n > 0).astype(np.int16) + (n >= 3) + (n >= 24))
+
+
+class Tokens:
+    """The tokens of some texts: symbols, contexts, and where the words are."""
+
+    def __init__(self, words: np.ndarray, kind: np.ndarray, data: np.ndarray, offsets: np.ndarray):
+        """words: the hashes, ascending, of the symbols behind the end and the escape; kind: 0 rare, 1 common, 2 a context of its own."""
+        self.data = tk.LOWER[data]
+        hashes, starts, ends, first = tk.word_hashes(self.data, offsets)
+        n, texts = len(hashes), len(offsets) - 1
+        self.first = first + np.arange(texts + 1)
+        self.text = tk.rows_of(self.first)
+        at = np.arange(n) + tk.rows_of(first)  # the words' places among the tokens
+        self.symbol = np.zeros(n + texts, np.int64)
+        found = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
+        known = words[found] == hashes if len(words) else np.zeros(n, bool)
+        self.symbol[at] = np.where(known, found + 2, _ESCAPE)
+        self.place = np.arange(n + texts) - self.first[:-1][self.text]
+        own = np.zeros(n + texts, np.uint64)
+        own[at] = hashes
+        last, before = np.full(n + texts, _BEFORE), np.full(n + texts, _BEFORE)
+        last[1:], before[2:] = own[:-1], own[:-2]
+        last[self.place < 1] = _BEFORE
+        before[self.place < 2] = _BEFORE
+        previous = np.zeros(n + texts, np.int64)
+        previous[1:] = self.symbol[:-1]
+        # a common word is a context of its own, all others are one
+        head = np.where(self.place < 1, 2, np.where(kind[previous] == 2, previous + 3, 1))
+        self.after = (tk.mix(head.astype(np.uint64)) >> _U(32)).astype(_W)
+        self.runs = [tk.mix(last * _U(0xA0761D6478BD642F) + before), tk.mix(last + _U(0x2545F4914F6CDD1D))]
+        self.starts, self.ends = np.zeros(n + texts, np.int64), np.zeros(n + texts, np.int64)
+        self.starts[at], self.ends[at] = starts, ends
+        self.sums = tk.prefix_sums(self.data)
+        self.rare = kind[self.symbol] == 0
+
+    def spelt(self, tokens: np.ndarray):
+        """(token's index in tokens, byte, four contexts) of the bytes of some words and the space behind each."""
+        size = self.ends[tokens] - self.starts[tokens] + 1
+        who = np.repeat(np.arange(len(tokens)), size)
+        place = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size)
+        start = self.starts[tokens][who]
+        at = start + place
+        data = np.append(self.data, 0x20).astype(np.uint8)
+        byte = np.where(place == size[who] - 1, np.uint8(0x20), data[np.minimum(at, len(self.data))])
+        past = np.zeros(len(who), _W)
+        held = []
+        for k in range(1, 4):
+            back = np.where(place >= k, data[np.maximum(at - k, 0)], 0xFF).astype(_W)
+            past |= back << _W(8 * (k - 1))
+            held.append(past.copy())
+        so_far = tk.substring_hash(self.sums, start, np.minimum(at, len(self.data)))
+        contexts = [np.zeros(len(who), np.uint64), held[1].astype(np.uint64), held[2].astype(np.uint64) + (_U(1) << _U(40)), so_far]
+        return who, byte, [(tk.mix(x) >> _U(32)).astype(_W) for x in contexts]
+
+
+def _kinds(counts: np.ndarray) -> np.ndarray:
+    """For each symbol: 0 if its bytes are learned, as those of words that aren't symbols, 2 if it is a context of its own, else 1."""
+    kind = (counts > 2).astype(np.int8)
+    kind[_ESCAPE] = 0
+    head = np.argsort(-counts[2:], kind="stable")[:HEADS] + 2
+    kind[head[counts[head] > 2]] = 2
+    kind[_END] = 1
+    return kind
+
+
+def _paths(code: Code, symbol: np.ndarray):
+    """(index, place in the code, node, bit) of all bits of some symbols."""
+    length = code.length[symbol]
+    at = np.repeat(np.arange(len(symbol), dtype=np.int32), length)
+    place = np.arange(len(at), dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
+    word, left = code.code[symbol][at], length[at] - place
+    path = word >> (left - 1)
+    return at, place, path >> 1 | np.left_shift(code.code.dtype.type(1), place, dtype=code.code.dtype), path & 1
+
+
+class Model:
+    """All that a text is scored with."""
+
+    def __init__(self, words, kind, code: Code, byte_code: Code, nodes: np.ndarray, run_bits: int, tables: list[np.ndarray], runs: np.ndarray, weights: np.ndarray = _START):
+        self.words, self.kind, self.code, self.byte_code, self.nodes = words, kind, code, byte_code, nodes
+        self.run_bits, self.tables, self.runs, self.weights = run_bits, tables, runs, weights
+
+    def _follower(self, hashes: np.ndarray, symbol: np.ndarray):
+        """(places in the code that the symbol shares with the one that most often came after a context, strength, how well it is known)."""
+        found = self.runs[(hashes >> _U(64 - self.run_bits)).astype(np.int64)]
+        times = np.where((found >> _W(18) & _W(0xFF)) == (hashes & _U(0xFF)).astype(_W), found >> _W(26), _W(0)).astype(np.int32)
+        deep = np.int64(self.code.deepest)
+        left = lambda x: self.code.code[x].astype(np.int64) << (deep - self.code.length[x])
+        guess = (found & _W(0x3FFFF)).astype(np.int64)
+        differ = np.frexp((left(guess) ^ left(symbol)).astype(float))[1]  # bits from the first difference on
+        shared = np.where(guess == symbol, deep, deep - differ)
+        return shared.astype(np.int32), np.log(2.0 * times + 1).astype(np.float32) + np.float32(1), (times > 0).astype(np.int32) + (times > 1) + (times > 3)
+
+    def _bits(self, t: Tokens, at: np.ndarray):
+        """(token's index in at, gate, four stretched values) of all bits of some tokens; a value above 0 speaks for the bit."""
+        unit = np.float32(1 / 2048)
+        symbol = t.symbol[at]
+        token, place, node, bit = _paths(self.code, symbol)
+        sign = (2 * bit - 1).astype(np.float32)
+        raw = np.take(self.tables[0], _slots(t.after[at][token], AFTER_BITS, node))
+        st = np.empty((len(token), KINDS), np.float32)
+        st[:, 0] = self.nodes[symbol[token], place] * unit
+        st[:, 1] = raw * (sign * unit)
+        gate = np.minimum(place, 7) * 32 + ((raw & 3) > 1)
+        for k, hashes in enumerate(t.runs):
+            shared, strength, known = self._follower(hashes[at], symbol)
+            ahead = shared[token] - place
+            known = known[token] * (ahead >= 0)  # behind the first difference it says nothing
+            st[:, 2 + k] = np.where(known > 0, strength[token] * np.where(ahead > 0, 1, -1), 0)
+            gate += known * (8 if k == 0 else 2)
+        spelt = np.flatnonzero(symbol == _ESCAPE)
+        if not len(spelt):
+            return token, gate, st
+        who, byte, contexts = t.spelt(at[spelt])
+        own, place, node, bit = _paths(self.byte_code, byte.astype(np.int64))
+        sign = (2 * bit - 1).astype(np.float32) * unit
+        raw = [np.take(table, _slots(c[own], bits, node)) for table, bits, c in zip(self.tables[1:], BYTE_BITS, contexts)]
+        more = np.stack(raw, axis=1) * sign[:, None]
+        more_gate = _SYMBOL_GATES + (np.minimum(place, 7) * 4 + (raw[2] & 3)) * 4 + (raw[3] & 3)
+        return np.concatenate([token, spelt[who[own]]]), np.concatenate([gate, more_gate]), np.concatenate([st, more])
+
+    def score(self, data: np.ndarray, offsets: np.ndarray, fitted: list | None = None) -> np.ndarray:
+        """Cost in bits of each text; with ``fitted``, slopes and curvatures of the gates' weights are put there."""
+        t = Tokens(self.words, self.kind, data, offsets)
+        texts, total = len(offsets) - 1, np.zeros(len(offsets) - 1)
+        edges, block = [0], FIRST_BLOCK
+        while edges[-1] <= (t.place.max() if len(t.place) else -1):
+            edges.append(edges[-1] + block)
+            block = min(2 * block, LAST_BLOCK)
+        step = (np.searchsorted(edges, t.place, "right") - 1).astype(np.int32)
+        order = np.argsort(step, kind="stable")  # by block, then by text
+        cuts = np.searchsorted(step[order], np.arange(len(edges)))
+        size = np.diff(t.first)  # tokens
+        live = np.broadcast_to(self.weights, (texts, GATES, KINDS))
+        if fitted is None:
+            live = live.copy()
+        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            moves = []
+            for low in range(a, b, _TOKENS_AT_ONCE):
+                at = order[low : min(b, low + _TOKENS_AT_ONCE)]
+                token, gate, st = self._bits(t, at)
+                own = t.text[at]
+                new = np.append(True, own[1:] != own[:-1])
+                who, own = own[new], (np.cumsum(new) - 1)[token]
+                w = live[who].reshape(-1, KINDS)
+                cell = own * GATES + gate
+                z = np.einsum("nk,nk->n", st, np.take(w, cell, axis=0))
+                odds = np.exp(np.clip(-z, -14, 14)) + np.float32(1)  # 1 / probability of the bit
+                total[who] += np.bincount(own, np.log2(odds), len(who))
+                if fitted is None:
+                    more = size[who] > edges[k + 1]  # weights of a text that ends here serve no more
+                    if not more.any():
+                        continue
+                    if not more.all():
+                        keep = more[own]
+                        cell, odds, st = cell[keep], odds[keep], st[keep]
+                    err = np.float32(1) - np.float32(1) / odds
+                    grad = np.stack([np.bincount(cell, err * st[:, i], len(w)) for i in range(KINDS)], axis=1)
+                    grad /= (np.bincount(cell, minlength=len(w)) + INERTIA)[:, None]
+                    moves.append((who, grad.reshape(-1, GATES, KINDS)))
+                else:
+                    err = np.float32(1) - np.float32(1) / odds
+                    spread = (odds - 1) / odds**2
+                    sums = [np.bincount(gate, err * st[:, i], GATES) for i in range(KINDS)]
+                    sums += [np.bincount(gate, spread * st[:, i] * st[:, j], GATES) for i in range(KINDS) for j in range(i, KINDS)]
+                    fitted.append(np.stack(sums, axis=1))
+            for who, grad in moves:  # a block is predicted before any of it is learned from
+                live[who] += grad.astype(np.float32)
+        return total
 
-    A task counts into whole tables and sends one compressed row for each
-    block that it touched; these are added up over sorted rows, one block held
-    at a time, however many tasks there were.
+    def fit(self, apart: DataFrame) -> None:
+        """First weights: Newton steps over whole texts (text), summed up on the executors."""
+        names = [f"s{i}" for i in range(KINDS + KINDS * (KINDS + 1) // 2)]
+        for _ in range(FIT_ROUNDS):
+            held = apart.sparkSession.sparkContext.broadcast(self)
+
+            def run(batches, held=held):
+                sums = np.zeros((GATES, len(names)))
+                for batch in batches:
+                    for _, _, data, offsets in tk.chunks(batch.column(0), _CHUNK):
+                        found: list = []
+                        held.value.score(data, offsets, found)
+                        sums += sum(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES)), *[pa.array(c) for c in sums.T.copy()]], names=["gate", *names])
+
+            rows = apart.mapInArrow(run, "gate long, " + ", ".join(f"{n} double" for n in names)).groupBy("gate").agg(*[F.sum(n).alias(n) for n in names])
+            for row in rows.collect():  # one row a gate
+                sums = np.array(row[1:])
+                slope, curve, at = sums[:KINDS], np.zeros((KINDS, KINDS)), KINDS
+                for i in range(KINDS):
+                    for j in range(i, KINDS):
+                        curve[i, j] = curve[j, i] = sums[at]
+                        at += 1
+                now = self.weights[row[0]].astype(float)
+                move = np.linalg.solve(curve + RIDGE * np.eye(KINDS), slope - RIDGE * (now - _START[row[0]]))
+                self.weights[row[0]] = np.clip(now + np.clip(move, -0.5, 0.5), -1, 4)
+            held.unpersist()
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed."""
+    return pa.compress(values.reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueeze(raw: bytes, kind, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
+
+
+#: Tables of counted bits: of the word before, and of the bytes.
+_TABLES = (AFTER_BITS, *BYTE_BITS)
+_STARTS = np.cumsum([0, *(max(1, 1 << (bits - _PACK)) for bits in _TABLES)])  # in blocks
+
+
+def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
+    """(block, every, rest) of docs (text, apart): counts become values, and followers the slots that hold them.
+
+    rest leaves out what ``apart`` texts count.  A task counts into whole
+    tables, sorts what followed, and sends one compressed row for each block
+    that it touched; rows are added up by block, so the result is the same
+    however the texts are dealt out.
     """
-    starts = np.cumsum([0, *(1 << t for t in tables)])
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("raw", pa.binary())])
 
     def count(batches):
-        seen = [np.zeros(2 << t, np.uint32) for t in tables]
+        model = held.value
+        seen: dict[int, list[np.ndarray]] = {}
+        after: dict[int, list[np.ndarray]] = {0: [], 1: []}
         size = 0
 
         def out():
-            for kind in range(KINDS):
-                blocks = seen[kind].reshape(-1, 2 << _PACK)
-                own = np.flatnonzero(blocks.any(axis=1))
-                for a in range(0, len(own), 64):
-                    part = own[a : a + 64]
-                    raw = pa.array([_squeeze(blocks[i]) for i in part], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array((part + (starts[kind] >> _PACK)).astype(np.int32)), raw], names=["block", "raw"])
-                seen[kind][:] = 0
+            for part, tables in seen.items():
+                for start, bits, table in zip(_STARTS.tolist(), _TABLES, tables):
+                    rows = table.reshape(-1, 2 << min(bits, _PACK))
+                    own = np.flatnonzero(rows.any(axis=1))
+                    for a in range(0, len(own), 64):
+                        few = own[a : a + 64]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(few + start), pa.array([part] * len(few), pa.int32()), pa.array([rows.shape[1]] * len(few), pa.int64()), pa.array([b""] * len(few), pa.binary())]
+                            + [pa.array([_squeeze(rows[i]) for i in few], pa.binary())],
+                            schema=schema,
+                        )
+                    table[:] = 0
+            for part, keys in after.items():
+                if keys:
+                    key, times = np.unique(np.concatenate(keys), return_counts=True)
+                    block = (key >> _U(26 + _PACK)).astype(np.int64)
+                    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() + [len(key)]
+                    for a, b in zip(cuts, cuts[1:]):
+                        packed = np.diff(key[a:b], prepend=_U(block[a]) << _U(26 + _PACK))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([block[a] + _STARTS[-1]]), pa.array([part], pa.int32()), pa.array([b - a], pa.int64()), pa.array([_squeeze(packed)], pa.binary())]
+                            + [pa.array([_squeeze(np.minimum(times[a:b], 0xFFFF).astype(np.uint16))], pa.binary())],
+                            schema=schema,
+                        )
+                after[part] = []
 
         for batch in batches:
-            for _, _, data, offsets in tk.chunks(batch.column(0)):
-                data, offsets = normalise(data, offsets)
-                held = contexts(data, offsets)
-                for _, at, node, bit in spelling.places(data):
-                    for kind in range(KINDS):
-                        np.add.at(seen[kind], _slots(_take(held[kind], at), tables[kind], node) * 2 + bit, np.uint32(1))
-                size += len(data)
+            flags = batch.column(1).to_numpy(zero_copy_only=False)
+            for part in (0, 1):
+                texts = batch.column(0).filter(pa.array(flags == bool(part)))
+                for _, _, data, offsets in tk.chunks(texts, _CHUNK):
+                    t = Tokens(model.words, model.kind, data, offsets)
+                    if part not in seen:
+                        seen[part] = [np.zeros(2 << bits, np.uint32) for bits in _TABLES]
+                    tables = seen[part]
+                    for low in range(0, len(t.symbol), _TOKENS_AT_ONCE):
+                        part_ = slice(low, low + _TOKENS_AT_ONCE)
+                        at, _, node, bit = _paths(model.code, t.symbol[part_])
+                        np.add.at(tables[0], _slots(t.after[part_][at], AFTER_BITS, node) * 2 + bit, _W(1))
+                    rare = np.flatnonzero(t.rare)
+                    for low in range(0, len(rare), _TOKENS_AT_ONCE):
+                        _, byte, contexts = t.spelt(rare[low : low + _TOKENS_AT_ONCE])
+                        at, _, node, bit = _paths(model.byte_code, byte.astype(np.int64))
+                        for table, bits, c in zip(tables[1:], BYTE_BITS, contexts):
+                            np.add.at(table, _slots(c[at], bits, node) * 2 + bit, _W(1))
+                    for hashes in t.runs:
+                        after[part].append((hashes >> _U(64 - model.run_bits) << _U(26)) | ((hashes & _U(0xFF)) << _U(18)) | t.symbol.astype(np.uint64))
+                    size += len(data)
             if size > _FLUSH:
                 yield from out()
                 size = 0
         yield from out()
 
     def add(batches):
-        now, total = None, None
-        schema = pa.schema([("block", pa.int32()), ("raw", pa.binary()), ("rest", pa.binary())])
-
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+        now, parts = None, {}
+        schema = pa.schema([("block", pa.int64()), ("every", pa.binary()), ("rest", pa.binary())])
 
         def finished():
-            return now, _values(*(total[0] + total[1]).T).tobytes(), _values(*total[0].T).tobytes()
+            done = []
+            for own in ((0, 1), (0,)):
+                rows = [x for part in own for x in parts.get(part, [])]
+                if now < _STARTS[-1]:
+                    n = 2 << min(_TABLES[int(np.searchsorted(_STARTS, now, "right")) - 1], _PACK)
+                    done.append(_values(sum((_unsqueeze(raw, np.uint32, n).astype(np.int64) for _, _, raw in rows), np.zeros(n, np.int64)).reshape(-1, 2)).tobytes())
+                else:
+                    done.append(_best_followers(now - int(_STARTS[-1]), rows).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array(done[:1], pa.binary()), pa.array(done[1:], pa.binary())], schema=schema)
 
         for batch in batches:
-            found = []
-            for block, raw, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
                     if now is not None:
-                        found.append(finished())
-                    now, total = block, np.zeros((2, 1 << _PACK, 2))
-                total[part] += _unsqueeze(raw)
-            if found:
-                yield out(found)
+                        yield finished()
+                    now, parts = block, {}
+                parts.setdefault(part, []).append((row[0], row[1], row[2]))
         if now is not None:
-            yield out([finished()])
-
-    def counted(where: Column, part: int) -> DataFrame:
-        found = docs.filter(where).select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(count, "block int, raw binary")
-        return found.withColumn("part", F.lit(part))
-
-    parts = counted(~apart, 0).unionByName(counted(apart, 1))
-    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, raw binary, rest binary")
-
-
-def _normal(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [normalise(data, offsets) for _, _, data, offsets in tk.chunks(pa.array(texts, pa.large_string()), _CHUNK)]
-
-
-def collect_tables(blocks: DataFrame, tables: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """All slots' values on the driver, over all texts and without those apart: two bytes each, at most those of ``TABLES``."""
-    every, rest = (np.zeros(sum(1 << t for t in tables), np.int16) for _ in range(2))
+            yield finished()
+
+    counted = docs.mapInArrow(count, "block long, part int, n long, keys binary, raw binary")
+    return counted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, every binary, rest binary")
+
+
+def _best_followers(block: int, rows: list[tuple[int, bytes, bytes]]) -> np.ndarray:
+    """The slots of a block: for each the check, symbol and times of the context and follower that came most often."""
+    out = np.zeros(1 << _PACK, np.uint32)
+    if not rows:
+        return out
+    base = _U(block) << _U(26 + _PACK)
+    keys = np.concatenate([np.cumsum(_unsqueeze(k, np.uint64, n)) + base for n, k, _ in rows])
+    times = np.concatenate([_unsqueeze(raw, np.uint16, n) for n, _, raw in rows]).astype(np.int64)
+    key, at = np.unique(keys, return_inverse=True)
+    times = np.bincount(at, times, len(key)).astype(np.int64)
+    slot = ((key >> _U(26)) & _U((1 << _PACK) - 1)).astype(np.int64)
+    order = np.lexsort((-key.view(np.int64), times, slot))
+    last = np.flatnonzero(np.append(slot[order][1:] != slot[order][:-1], True))
+    best = order[last]
+    out[slot[best]] = (key[best] & _U(0x3FFFFFF)).astype(np.uint32) | (np.minimum(times[best], 63).astype(np.uint32) << _W(26))
+    return out
+
+
+def collect_tables(blocks: DataFrame, run_bits: int) -> list[tuple[list[np.ndarray], np.ndarray]]:
+    """The tables of all texts and of those that aren't apart, on the driver: at most those of AFTER_BITS, BYTE_BITS and RUN_BITS."""
+    done = [([np.zeros(1 << bits, np.int16) for bits in _TABLES], np.zeros(1 << run_bits, np.uint32)) for _ in range(2)]
     for row in materialise(blocks).toLocalIterator():
-        own = slice(row["block"] << _PACK, (row["block"] + 1) << _PACK)
-        every[own], rest[own] = np.frombuffer(bytes(row["raw"]), np.int16), np.frombuffer(bytes(row["rest"]), np.int16)
-    return every, rest
-
-
-class Mixer:
-    """Stretched probabilities of all slots, how well they are known, and the first weights."""
-
-    def __init__(self, table: np.ndarray, tables: tuple[int, ...], spelling: Spelling, weights: np.ndarray | None = None):
-        self.spelling, self.sizes = spelling, tables
-        starts = np.cumsum([0, *(1 << t for t in tables)])
-        self.tables = [table[p:q] for p, q in zip(starts, starts[1:])]
-        self.weights = np.full((GATES, KINDS), 1.0 / KINDS, np.float32) if weights is None else weights
-
-    def bits(self, data: np.ndarray, offsets: np.ndarray, fitted: list | None = None) -> np.ndarray:
-        """Cost in bits of each text; with ``fitted``, the gates' gradients are put there."""
-        size = np.diff(offsets)
-        n, total = len(size), np.zeros(len(size))
-        place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
-        edges, block = [0], FIRST_BLOCK
-        while edges[-1] < (size.max() if n else 0):
-            edges.append(edges[-1] + block)
-            block = min(2 * block, LAST_BLOCK)
-        step = (np.searchsorted(edges, place, "right") - 1).astype(np.int32)
-        order = np.argsort(step, kind="stable")  # by block, then by text
-        text = np.repeat(np.arange(n), size)[order]
-        held = [c[order] for c in contexts(data, offsets)]
-        data = data[order]
-        cuts = np.searchsorted(step[order], np.arange(len(edges)))
-        weights = np.broadcast_to(self.weights, (n, GATES, KINDS)).astype(np.float32)
-        slope = np.zeros((GATES, KINDS))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = text[a:b]
-            runs = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            who, length = own[runs], np.diff(np.append(runs, b - a))
-            base = np.repeat(np.arange(len(who), dtype=np.int32) * GATES, length)
-            live = np.ascontiguousarray(weights[who].reshape(-1, KINDS).T)
-            grad, cost = np.zeros(live.shape), np.zeros(b - a, np.float32)
-            for k, at, node, bit in self.spelling.places(data[a:b]):
-                raw = [np.take(self.tables[kind], _slots(_take(held[kind][a:b], at), self.sizes[kind], node)) for kind in range(KINDS)]
-                gate = _take(base, at) + np.int32(min(k, DEPTHS - 1) * LEVELS * LEVELS) + (raw[1] & 3) * np.int32(LEVELS) + (raw[2] & 3)
-                st = [r.astype(np.float32) * np.float32(1 / 2048) for r in raw]
-                z = np.take(live[0], gate) * st[0]
-                for kind in range(1, KINDS):
-                    z += np.take(live[kind], gate) * st[kind]
-                sign = bit.astype(np.float32) * np.float32(2) - np.float32(1)
-                odds = np.exp(np.clip(z * sign, -14, 14) * np.float32(-1)) + np.float32(1)  # 1 / probability of the bit
-                spent = np.log2(odds)
-                if at is None:
-                    cost += spent
-                else:
-                    cost[at] += spent
-                err = sign - sign / odds
-                for kind in range(KINDS):
-                    grad[kind] += np.bincount(gate, err * st[kind], live.shape[1])
-            total[who] += np.add.reduceat(cost.astype(np.float64), runs)
-            if fitted is None:
-                live += (grad * (RATE / np.repeat(length + 64.0, GATES))).astype(np.float32)
-                weights[who] = live.T.reshape(-1, GATES, KINDS)
+        for (tables, runs), raw in zip(done, row[1:]):
+            if row["block"] >= _STARTS[-1]:
+                at = (row["block"] - int(_STARTS[-1])) << _PACK
+                runs[at : at + (1 << _PACK)] = np.frombuffer(bytes(raw), np.uint32)
             else:
-                slope += grad.T.reshape(-1, GATES, KINDS).sum(axis=0)
-        if fitted is not None:
-            fitted.append(slope)
-        return total
-
-    def warm(self, texts: list[str], rounds: int = 24) -> None:
-        """First weights: normalised ascent over a bounded sample."""
-        parts = _normal(texts)
-        bits = max(1, int(sum(self.spelling.length[d].sum() for d, _ in parts)))
-        squares = np.zeros((GATES, KINDS))
-        for _ in range(rounds if parts else 0):
-            found: list = []
-            for data, offsets in parts:
-                self.bits(data, offsets, found)
-            slope = sum(found) / bits
-            squares += slope**2
-            self.weights += (0.1 * slope / (np.sqrt(squares) + 1e-9)).astype(np.float32)
+                k = int(np.searchsorted(_STARTS, row["block"], "right")) - 1
+                at, values = (row["block"] - int(_STARTS[k])) << _PACK, np.frombuffer(bytes(raw), np.int16)
+                tables[k][at : at + len(values)] = values
+    return done
 
 
-def count_words(docs: DataFrame, text: str) -> DataFrame:
-    """(h, c): how often each word, by its 64-bit hash, comes in all texts."""
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
+def count_words(docs: DataFrame) -> DataFrame:
+    """(kind, h, c, r) of docs (text, apart): how often each word, by its 64-bit hash (kind 0), and byte (kind 1) comes in all texts, and in those that aren't apart."""
+    schema = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("r", pa.int64())])
 
     def run(batches):
         held: list = []
+        bytes_ = np.zeros((2, 256), np.int64)
 
-        def out():
-            h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            return h, np.bincount(at, np.concatenate([c for _, c in held]), len(h)).astype(np.int64)
+        def merged():
+            h, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return h, *(np.bincount(at, np.concatenate([x[k] for x in held]), len(h)).astype(np.int64) for k in (1, 2))
+
+        def out(kind, h, c, r):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(c), pa.array(r)], schema=schema)
 
         for batch in batches:
-            for _, _, data, offsets in tk.chunks(batch.column(0), 1 << 21):
-                words, _, _, _ = tk.word_hashes(tk.LOWER[data], offsets)
-                held.append(np.unique(words, return_counts=True))
+            flags = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in tk.chunks(batch.column(0), 1 << 21):
+                data = tk.LOWER[data]
+                words, _, _, first = tk.word_hashes(data, offsets)
+                h, at = np.unique(words, return_inverse=True)
+                rest = ~flags[a:b][tk.rows_of(first)]
+                held.append((h, np.bincount(at, minlength=len(h)).astype(np.int64), np.bincount(at, rest, len(h)).astype(np.int64)))
+                bytes_[0] += np.bincount(data, minlength=256)
+                bytes_[1] += np.bincount(data[~flags[a:b][tk.rows_of(offsets)]], minlength=256)
             if len(held) > 8:
-                held = [out()]
+                held = [merged()]
                 if len(held[0][0]) > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], schema=schema)
+                    yield out(0, held[0][0].view(np.int64), *held[0][1:])
                     held = []
         if held:
-            h, c = out()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], schema=schema)
+            h, c, r = merged()
+            yield out(0, h.view(np.int64), c, r)
+        yield out(1, np.arange(256), *bytes_)
 
-    return docs.select(text).filter(F.col(text).isNotNull()).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "kind int, h long, c long, r long").groupBy("kind", "h").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
 
 
 def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, train, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row.
 
-    The rows for which ``train`` is true are learned from, all of them; all
-    rows are scored.  score is the mixer's log10 probability of the text's
-    normal form: lower case over A-Z, words with single spaces, an end.  Null,
-    empty and wordless texts are the end alone.  base_score sums
-    log10((c + 1) / (N + V + 1)) over words and the end.  Rows that repeat count
-    and are scored each for itself; a null doc_id stays null; other columns are
-    ignored; an empty table gives no rows, and without training rows N, V and
-    all counts are 0.
+    The rows for which ``train`` is true are learned from, all of them and
+    whole; all rows are scored.  score is the mixer's log10 probability of the
+    text's normal form: lower case over A-Z, words with single spaces, an end;
+    n_bytes is that form's size.  Null, empty and wordless texts are the end
+    alone.  base_score sums log10((c + 1) / (N + V + 1)) over words and the
+    end.  Rows that repeat count and are scored each for itself; a null doc_id
+    stays null; other columns are ignored, whatever their names; an empty table
+    gives no rows, and without training rows N, V and all counts are 0.
     """
     spark = prepare(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    learned = rows.filter("train")
-    vocabulary = materialise(count_words(learned, "text"))
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = learned.count()
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    # exact copies go the same way, or a text's copy would tell what it holds
+    rows = rows.withColumn("apart", F.col("train") & (F.pmod(F.xxhash64("text"), F.lit(FOLD)) == 0))
+    learned = rows.filter("train").select("text", "apart")
+    counts = materialise(count_words(learned))
+    vocabulary = counts.filter("kind = 0")
+    total, distinct, rest, once = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum("r"), F.lit(0)), F.count_if(F.col("r") == 1)).first()
+    ends, ends_rest = learned.agg(F.count("*"), F.count_if(~F.col("apart"))).first()
     n_train, n_distinct = total + ends, distinct + (1 if ends else 0)
-    hot = vocabulary.orderBy(F.desc("c"), "h").limit(HOT_WORDS)
-    hot = hot.toPandas().sort_values("h")
-    digest = F.xxhash64("id", "text")
-    sample = learned.filter("text is not null").select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), digest.alias("h"))
-    sample = sample.filter(F.pmod("h", F.lit(SAMPLE_EVERY)) == 0).orderBy("h").limit(SAMPLE_ROWS).collect()
-    apart = digest.isin([r["h"] for r in sample]) if sample else F.lit(False)
-    sample = [r["text"] for r in sample]
-    spelling = Spelling(sum((np.bincount(data, minlength=256) for data, _ in _normal(sample)), np.zeros(256, np.int64)))
-    tables = table_sizes(n_distinct)
-    every, rest = collect_tables(count_bits(learned, "text", spelling, tables, apart), tables)
-    # what a text has counted itself would look surer to the weights than it is for others
-    fitted = Mixer(rest, tables, spelling)
-    fitted.warm(sample)
-    mixer = Mixer(every, tables, spelling, fitted.weights)
-    del rest, fitted
-    held = spark.sparkContext.broadcast((mixer, hot["h"].to_numpy(), hot["c"].to_numpy()))
+    hot = vocabulary.filter("r > 0").orderBy(F.desc("r"), "h").limit(SYMBOLS).toPandas()
+    hot = hot.assign(u=hot["h"].to_numpy(np.int64).view(np.uint64)).sort_values("u")
+    words = hot["u"].to_numpy(np.uint64)
+    # words that were seen once tell how likely a new one is
+    first = np.array([max(1, ends_rest), max(1, rest - int(hot["r"].sum()) + once), *hot["r"]], np.int64)
+    every = np.array([max(1, ends), max(1, total - int(hot["c"].sum()) + once), *hot["c"]], np.int64)
+    spelt = counts.filter("kind = 1").select("h", "r").toPandas().set_index("h")["r"].reindex(range(256), fill_value=0).to_numpy(np.int64)
+    code, byte_code = Code(first), Code(spelt + 1)
+    run_bits = int(np.clip(np.ceil(np.log2(1.5 * max(1, n_train))), *RUN_BITS))
+    kind = _kinds(first)
+    empty = Model(words, kind, code, byte_code, np.zeros((0, 0), np.int16), run_bits, [], np.zeros(0, np.uint32))
+    (all_tables, all_runs), (tables, runs) = collect_tables(count_contexts(learned, empty), run_bits)
+    fitted = Model(words, kind, code, byte_code, code.node_values(first), run_bits, tables, runs, _START.copy())
+    fitted.fit(learned.filter("apart").select("text"))
+    model = Model(words, kind, code, byte_code, code.node_values(every), run_bits, all_tables, all_runs, fitted.weights)
+    del tables, runs, fitted
+    held = spark.sparkContext.broadcast((model, np.log10(every[2:] + 1.0)))
     schema = pa.schema(
         [("id", pa.int64()), ("train", pa.bool_()), ("rid", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64()), ("bits", pa.float64())]
         + [("known", pa.int64()), ("logs", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
     )
 
     def run(batches):
-        mixer, hot_words, hot_counts = held.value
+        model, hot_logs = held.value
         for batch in batches:
             for a, b, data, offsets in tk.chunks(batch.column(1), _CHUNK):
-                words, _, _, first = tk.word_hashes(tk.LOWER[data], offsets)
-                words = words.view(np.int64)
-                at = np.minimum(np.searchsorted(hot_words, words), max(len(hot_words) - 1, 0))
-                is_hot = hot_words[at] == words if len(hot_words) else np.zeros(len(words), bool)
-                logs = np.where(is_hot, np.log10(hot_counts[at] + 1.0), 0.0) if len(hot_words) else np.zeros(len(words))
+                hashes, starts, stops, first = tk.word_hashes(tk.LOWER[data], offsets)
+                at = np.minimum(np.searchsorted(model.words, hashes), max(len(model.words) - 1, 0))
+                is_hot = model.words[at] == hashes if len(model.words) else np.zeros(len(hashes), bool)
+                logs = np.where(is_hot, hot_logs[at], 0.0) if len(model.words) else np.zeros(len(hashes))
                 rare, times = [], []
                 for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    h, n = np.unique(words[p:q][~is_hot[p:q]], return_counts=True)
+                    h, n = np.unique(hashes[p:q][~is_hot[p:q]].view(np.int64), return_counts=True)
                     rare.append(h)
                     times.append(n.astype(np.int32))
-                plain, bounds = normalise(data, offsets)
+                n_words = np.diff(first)
+                size = tk.segment_sum(stops - starts, first) + np.maximum(n_words, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], batch.column(2)[a:b], batch.column(3)[a:b], pa.array(np.diff(bounds)), pa.array(np.diff(first)), pa.array(mixer.bits(plain, bounds))]
+                    [batch.column(0)[a:b], batch.column(2)[a:b], batch.column(3)[a:b], pa.array(size), pa.array(n_words), pa.array(model.score(data, offsets))]
                     + [pa.array(tk.segment_sum(is_hot.astype(np.int64), first)), pa.array(tk.segment_sum(logs, first)), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
                     schema=schema,
                 )
 
-    kind = "id long, train boolean, rid long, n_bytes long, n_words long, bits double, known long, logs double, rare array<long>, times array<int>"
-    scored = materialise(rows.select("id", "text", "train", F.monotonically_increasing_id().alias("rid")).mapInArrow(run, kind))
+    columns = "id long, train boolean, rid long, n_bytes long, n_words long, bits double, known long, logs double, rare array<long>, times array<int>"
+    scored = materialise(rows.select("id", "text", "train", F.monotonically_increasing_id().alias("rid")).mapInArrow(run, columns))
     rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("rid", F.col("w.rare").alias("h"), F.col("w.times").alias("n"))
     found = rare.join(vocabulary, "h").groupBy("rid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
     end = float(np.log10(ends + 1.0))

@@ -203,21 +203,48 @@ def test_lm_base_and_probabilities(spark):
 
 
 def test_lm_counts_are_the_same_however_dealt(spark):
-    counts = np.random.default_rng(4).integers(0, 1 << 20, (4096, 2)).astype(np.uint32)
-    assert (lm_scoring._unsqueeze(lm_scoring._squeeze(counts)) == counts).all()
+    counts = np.random.default_rng(4).integers(0, 1 << 20, 8192).astype(np.uint32)
+    assert (lm_scoring._unsqueeze(lm_scoring._squeeze(counts), np.uint32, 8192) == counts).all()
     rng = random.Random(12)
-    docs = spark.createDataFrame([(k, " ".join(words(rng, 20, 50))) for k in range(40)], "doc_id long, text string")
-    spelling, tables = lm_scoring.Spelling(np.zeros(256, np.int64)), lm_scoring.table_sizes(50)
+    docs = spark.createDataFrame([(" ".join(words(rng, 20, 50)), k < 8) for k in range(40)], "text string, apart boolean")
+    vocabulary = np.unique(tk.word_hashes(*tk.string_buffers(pa.array([f"w{k}" for k in range(0, 50, 2)])))[0])
+    first = np.arange(len(vocabulary) + 2) + 1
+    model = lm_scoring.Model(vocabulary, lm_scoring._kinds(first), lm_scoring.Code(first), lm_scoring.Code(np.ones(256)), None, 14, [], None)
 
-    def values(rows, apart):
-        return lm_scoring.collect_tables(lm_scoring.count_bits(rows, "text", spelling, tables, apart), tables)
+    def values(rows):
+        return [np.concatenate([*tables, runs.view(np.int32)]) for tables, runs in lm_scoring.collect_tables(lm_scoring.count_contexts(rows, model), 14)]
 
-    every, rest = values(docs.repartition(5), F.col("doc_id") < 8)
-    again, same = values(docs.coalesce(1), F.lit(False))
-    without, _ = values(docs.filter("doc_id >= 8"), F.lit(False))
+    every, rest = values(docs.repartition(5))
+    again, same = values(docs.coalesce(1).withColumn("apart", F.lit(False)))
+    _, without = values(docs.filter("not apart"))
     assert (every == again).all() and (again == same).all() and (rest == without).all() and (every != rest).any()
 
 
+def test_lm_codes_and_probabilities(spark):
+    counts = np.random.default_rng(5).integers(1, 1000, 300)
+    code = lm_scoring.Code(counts)
+    assert abs((0.5 ** code.length).sum() - 1) < 1e-12
+    at, place, node, bit = lm_scoring._paths(code, np.arange(300))
+    again = np.zeros(300, np.int64)
+    np.add.at(again, at, bit.astype(np.int64) << (code.length[at] - 1 - place))
+    assert (again == code.code).all() and (np.bincount(at) == code.length).all()
+    spent = np.bincount(at, np.log2(1 + np.exp(-code.node_values(counts)[at, place] / 2048)))
+    assert np.abs(spent + np.log2(counts / counts.sum())).max() < 0.05
+    # all texts of "w0 w1 " and one word more: their probabilities add up to less than the start's
+    rng = random.Random(13)
+    docs = [(k, " ".join(words(rng, 30, 40))) for k in range(80)] + [(1000 + k, f"w0 w1 w{k}") for k in range(40)] + [(2000, "w0 w1")]
+    rows = lm_scores(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") < 80).collect()
+    assert sum(10**r.score for r in rows if r.doc_id >= 1000) < 1
+    assert all(r.score < 0 for r in rows)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_lm_is_better_than_its_base(spark, sf):
+    rows = lm_scores(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), remainder("doc_id", 7) != 2).filter("not train")
+    row = rows.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert row[0] > row[1] and row[2] > 50_000
+
+
 def test_classifiers_learn(spark):
     rng = random.Random(9)
     texts = [" ".join(words(rng, 60)) + "." + (" you idiot." if k % 3 == 0 else " fine.") for k in range(400)]
