@@ -32,6 +32,8 @@ CLASSES = ((8, 4), (12, 6), (16, 8), (24, 12), (32, 10), (48, 12), (112, 14), (5
 #: Words from which segments may lie anywhere, since the places that edits allow outnumber the words.
 ANYWHERE = 512
 FILTER_BITS = 23
+#: Lines of a block of a large family: they are short, and only those that share a bucket are compared.
+BLOCK = 2048
 _U = np.uint64
 
 
@@ -263,7 +265,7 @@ def edit_linker(distance: int):
         def near(i, j):
             most = min(edits[0][i], edits[0][j])
             # an edit changes one word, a byte edit two at most: all other words are in both lines
-            if min(edits[2][i], edits[2][j]) - len(bags[i] & bags[j]) > max(most, 2 * distance):
+            if abs(edits[1][i] - edits[1][j]) > max(most, 2 * distance) or min(edits[2][i], edits[2][j]) - len(bags[i] & bags[j]) > max(most, 2 * distance):
                 return False
             return most and edit_distance_within(own[i], own[j], most) or edit_distance_within(texts[i], texts[j], distance)
 
@@ -343,7 +345,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     firsts = materialise(lines.groupBy("h", "g").agg(F.min(place).alias("at"), F.count("*").alias("n")))
     bare = docs.select("text")
     member = materialise(families(bare, _keys(distance)))
-    found = materialise(resolve(member, materialise(_texts_of(bare, member)), edit_linker(distance)))
+    found = materialise(resolve(member, materialise(_texts_of(bare, member)), edit_linker(distance), BLOCK))
     near = materialise(firsts.join(found, firsts.h == found.id).select("h", "g", "at", F.col("component").alias("class")))
     least = materialise(near.groupBy("class").agg(F.min("at").alias("first")))
     moved = near.join(least, "class").filter("first <> at").select(F.col("h").alias("nh"), F.col("g").alias("ng"), "first")
