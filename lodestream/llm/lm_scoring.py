@@ -19,6 +19,7 @@ unigram base over all training words.
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ SYMBOLS = 1 << 17
 #: Symbols that are a context of their own.
 HEADS = 1 << 12
 #: Slots as powers of two: of the word before, the bytes' four contexts (largest), and what followed (least and largest).
-AFTER_BITS, BYTE_BITS, RUN_BITS = 23, (12, 18, 20, 22), (14, 24)
+AFTER_BITS, BYTE_BITS, RUN_BITS = 22, (12, 18, 20, 22), (14, 24)
 #: One training text in so many is kept out of the first counts and fits the weights.
 FOLD = 16
 FIT_ROUNDS, RIDGE = 4, 20.0
@@ -49,7 +50,7 @@ _START = np.array([[0.5, 0.3, 0.6, 0.5]] * _SYMBOL_GATES + [[0.2, 0.2, 0.3, 0.5]
 _END, _ESCAPE = 0, 1  # symbols
 _BEFORE = np.uint64(0x51)  # stands for the words before a text
 _CHUNK, _TOKENS_AT_ONCE = 1 << 19, 1 << 14
-_PACK = 12  # slots that travel as one block, as a power of two
+_PACK = 14  # slots that travel as one block, as a power of two
 _FLUSH = 1 << 27
 _U, _W = np.uint64, np.uint32
 
@@ -288,11 +289,12 @@ class Model:
     def fit(self, apart: DataFrame) -> None:
         """First weights: Newton steps over whole texts (text), summed up on the executors."""
         names = [f"s{i}" for i in range(KINDS + KINDS * (KINDS + 1) // 2)]
+        held = apart.sparkSession.sparkContext.broadcast(self)
         for _ in range(FIT_ROUNDS):
-            held = apart.sparkSession.sparkContext.broadcast(self)
 
-            def run(batches, held=held):
+            def run(batches, weights=self.weights.copy()):
                 sums = np.zeros((GATES, len(names)))
+                held.value.weights = weights
                 for batch in batches:
                     for _, _, data, offsets in tk.chunks(batch.column(0), _CHUNK):
                         found: list = []
@@ -311,7 +313,7 @@ class Model:
                 now = self.weights[row[0]].astype(float)
                 move = np.linalg.solve(curve + RIDGE * np.eye(KINDS), slope - RIDGE * (now - _START[row[0]]))
                 self.weights[row[0]] = np.clip(now + np.clip(move, -0.5, 0.5), -1, 4)
-            held.unpersist()
+        held.destroy()
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -327,7 +329,7 @@ def _unsqueeze(raw: bytes, kind, n: int) -> np.ndarray:
 
 #: Tables of counted bits: of the word before, and of the bytes.
 _TABLES = (AFTER_BITS, *BYTE_BITS)
-_STARTS = np.cumsum([0, *(max(1, 1 << (bits - _PACK)) for bits in _TABLES)])  # in blocks
+_STARTS = np.cumsum([0, *(1 << max(0, bits - _PACK) for bits in _TABLES)])  # in blocks
 
 
 def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
@@ -347,18 +349,12 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
         after: dict[int, list[np.ndarray]] = {0: [], 1: []}
         size = 0
 
-        def out():
+        def rows():
             for part, tables in seen.items():
                 for start, bits, table in zip(_STARTS.tolist(), _TABLES, tables):
-                    rows = table.reshape(-1, 2 << min(bits, _PACK))
-                    own = np.flatnonzero(rows.any(axis=1))
-                    for a in range(0, len(own), 64):
-                        few = own[a : a + 64]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(few + start), pa.array([part] * len(few), pa.int32()), pa.array([rows.shape[1]] * len(few), pa.int64()), pa.array([b""] * len(few), pa.binary())]
-                            + [pa.array([_squeeze(rows[i]) for i in few], pa.binary())],
-                            schema=schema,
-                        )
+                    blocks = table.reshape(-1, 2 << min(bits, _PACK))
+                    for i in np.flatnonzero(blocks.any(axis=1)).tolist():
+                        yield start + i, part, blocks.shape[1], b"", _squeeze(blocks[i])
                     table[:] = 0
             for part, keys in after.items():
                 if keys:
@@ -367,13 +363,14 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
                     cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() + [len(key)]
                     for a, b in zip(cuts, cuts[1:]):
                         packed = np.diff(key[a:b], prepend=_U(block[a]) << _U(26 + _PACK))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([block[a] + _STARTS[-1]]), pa.array([part], pa.int32()), pa.array([b - a], pa.int64()), pa.array([_squeeze(packed)], pa.binary())]
-                            + [pa.array([_squeeze(np.minimum(times[a:b], 0xFFFF).astype(np.uint16))], pa.binary())],
-                            schema=schema,
-                        )
+                        yield int(block[a] + _STARTS[-1]), part, b - a, _squeeze(packed), _squeeze(np.minimum(times[a:b], 0xFFFF).astype(np.uint16))
                 after[part] = []
 
+        def out():
+            made = rows()
+            while found := list(itertools.islice(made, 64)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
         for batch in batches:
             flags = batch.column(1).to_numpy(zero_copy_only=False)
             for part in (0, 1):
@@ -402,27 +399,31 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
         yield from out()
 
     def add(batches):
-        now, parts = None, {}
+        now, sums = None, {}
         schema = pa.schema([("block", pa.int64()), ("every", pa.binary()), ("rest", pa.binary())])
 
         def finished():
-            done = []
-            for own in ((0, 1), (0,)):
-                rows = [x for part in own for x in parts.get(part, [])]
-                if now < _STARTS[-1]:
-                    n = 2 << min(_TABLES[int(np.searchsorted(_STARTS, now, "right")) - 1], _PACK)
-                    done.append(_values(sum((_unsqueeze(raw, np.uint32, n).astype(np.int64) for _, _, raw in rows), np.zeros(n, np.int64)).reshape(-1, 2)).tobytes())
-                else:
-                    done.append(_best_followers(now - int(_STARTS[-1]), rows).tobytes())
+            if now < _STARTS[-1]:
+                done = [_values(x.reshape(-1, 2)).tobytes() for x in (sum(sums.values()), sums.get(0, 0 * sum(sums.values())))]
+            else:
+                base = _U(now - int(_STARTS[-1])) << _U(26 + _PACK)
+                done = [_best_followers(base, [x for part in own for x in sums.get(part, [])]).tobytes() for own in ((0, 1), (0,))]
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array(done[:1], pa.binary()), pa.array(done[1:], pa.binary())], schema=schema)
 
         for batch in batches:
-            for block, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, part, n, keys, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
                     if now is not None:
                         yield finished()
-                    now, parts = block, {}
-                parts.setdefault(part, []).append((row[0], row[1], row[2]))
+                    now, sums = block, {}
+                if block < _STARTS[-1]:
+                    sums[part] = sums.get(part, 0) + _unsqueeze(raw, np.uint32, n).astype(np.int64)
+                else:
+                    held = sums.setdefault(part, [])
+                    base = _U(block - int(_STARTS[-1])) << _U(26 + _PACK)
+                    held.append((np.cumsum(_unsqueeze(keys, np.uint64, n)) + base, _unsqueeze(raw, np.uint16, n).astype(np.int64)))
+                    if len(held) > 1 and sum(len(k) for k, _ in held[1:]) > max(1 << 20, len(held[0][0])):
+                        sums[part] = [_merged(held)]
         if now is not None:
             yield finished()
 
@@ -430,20 +431,21 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
     return counted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, every binary, rest binary")
 
 
-def _best_followers(block: int, rows: list[tuple[int, bytes, bytes]]) -> np.ndarray:
+def _merged(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their times."""
+    key, at = np.unique(np.concatenate([k for k, _ in rows]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([t for _, t in rows]), len(key)).astype(np.int64)
+
+
+def _best_followers(base: np.uint64, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The slots of a block: for each the check, symbol and times of the context and follower that came most often."""
     out = np.zeros(1 << _PACK, np.uint32)
     if not rows:
         return out
-    base = _U(block) << _U(26 + _PACK)
-    keys = np.concatenate([np.cumsum(_unsqueeze(k, np.uint64, n)) + base for n, k, _ in rows])
-    times = np.concatenate([_unsqueeze(raw, np.uint16, n) for n, _, raw in rows]).astype(np.int64)
-    key, at = np.unique(keys, return_inverse=True)
-    times = np.bincount(at, times, len(key)).astype(np.int64)
-    slot = ((key >> _U(26)) & _U((1 << _PACK) - 1)).astype(np.int64)
+    key, times = _merged(rows)
+    slot = ((key - base) >> _U(26)).astype(np.int64)
     order = np.lexsort((-key.view(np.int64), times, slot))
-    last = np.flatnonzero(np.append(slot[order][1:] != slot[order][:-1], True))
-    best = order[last]
+    best = order[np.flatnonzero(np.append(slot[order][1:] != slot[order][:-1], True))]
     out[slot[best]] = (key[best] & _U(0x3FFFFFF)).astype(np.uint32) | (np.minimum(times[best], 63).astype(np.uint32) << _W(26))
     return out
 
@@ -531,7 +533,7 @@ def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     every = np.array([max(1, ends), max(1, total - int(hot["c"].sum()) + once), *hot["c"]], np.int64)
     spelt = counts.filter("kind = 1").select("h", "r").toPandas().set_index("h")["r"].reindex(range(256), fill_value=0).to_numpy(np.int64)
     code, byte_code = Code(first), Code(spelt + 1)
-    run_bits = int(np.clip(np.ceil(np.log2(1.5 * max(1, n_train))), *RUN_BITS))
+    run_bits = int(np.clip(np.round(np.log2(max(1, n_train) / 2)), *RUN_BITS))
     kind = _kinds(first)
     empty = Model(words, kind, code, byte_code, np.zeros((0, 0), np.int16), run_bits, [], np.zeros(0, np.uint32))
     (all_tables, all_runs), (tables, runs) = collect_tables(count_contexts(learned, empty), run_bits)
