@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import cut
+from ..plans.fixpoint import cut, cut_counted
 
 # The damping factor, and the error below which ranks have converged.
 DAMPING, MAX_ERROR = 0.85, 0.001
@@ -38,8 +38,10 @@ class LinkGraph:
     """Pages, live links with multiplicity, and out-degrees, written once."""
 
     def __init__(self, links: DataFrame, pages: DataFrame):
-        live = live_links(links, pages).groupBy("src", "dst").agg(F.count("*").alias("times"))
-        self.edges = cut(live.join(outdegree(live_links(links, pages)), "src").select("src", "dst", (F.col("times") / F.col("outdeg")).alias("share")))
+        pages = cut(pages)
+        live = cut(live_links(links, pages).groupBy("src", "dst").agg(F.count("*").alias("times")))
+        degree = live.groupBy("src").agg(F.sum("times").alias("outdeg"))
+        self.edges = cut(live.join(degree, "src").select("src", "dst", (F.col("times") / F.col("outdeg")).alias("share")))
         self.pages = cut(pages.join(self.edges.select(F.col("src").alias("page")).distinct().withColumn("linked", F.lit(True)), "page", "left").select("page", F.coalesce("linked", F.lit(False)).alias("linked")))
         self.n, self.dangling = self.pages.agg(F.count("*"), F.count_if(~F.col("linked"))).first()
 
@@ -94,18 +96,22 @@ def relax(dist: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, vertices: DataFrame, source: int = 0, unreachable: int | None = None) -> DataFrame:
-    """(v, d) for all vertices; only vertices that came nearer are relaxed again, until none does."""
+    """(v, d) for all vertices; only vertices that came nearer are relaxed again, until none does.
+
+    A round is one job: known distances and those over one more edge are
+    merged by vertex, written, and the vertices that came nearer are counted
+    while they are written.
+    """
     spark = edges.sparkSession
     edges = cut(edges.select("src", "dst", F.col("w").cast("long").alias("w")))
-    known = cut(spark.createDataFrame([(source, 0)], "v long, d long"))
-    front = known
-    while True:
-        nearer = relax(front, edges).join(known.withColumnRenamed("d", "old"), "v", "left").filter("old is null or d < old").select("v", "d")
-        front = cut(nearer)
-        if front.isEmpty():
-            break
-        known = cut(known.unionByName(front).groupBy("v").agg(F.min("d").alias("d")))
-    out = vertices.select(F.col("v").cast("long").alias("v")).join(known, "v", "left")
+    state, fresh = spark.createDataFrame([(source, 0, True)], "v long, d long, fresh boolean"), 1
+    while fresh:
+        step = relax(state.filter("fresh").select("v", "d"), edges)
+        both = state.select("v", F.col("d").alias("old"), F.lit(None).cast("long").alias("new")).unionByName(step.select("v", F.lit(None).cast("long").alias("old"), F.col("d").alias("new")))
+        merged = both.groupBy("v").agg(F.min("old").alias("old"), F.min("new").alias("new"))
+        nearer = F.coalesce(F.col("new") < F.col("old"), F.col("old").isNull())
+        state, fresh = cut_counted(merged.select("v", F.least("old", "new").alias("d"), nearer.alias("fresh")), F.count_if("fresh"))
+    out = vertices.select(F.col("v").cast("long").alias("v")).join(state.select("v", "d"), "v", "left")
     return out.select("v", F.coalesce("d", F.lit(unreachable).cast("long")).alias("d"))
 
 
@@ -128,7 +134,7 @@ def _product(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
     return out
 
 
-def all_pairs(edges: DataFrame, n: int, size: int = 256) -> DataFrame:
+def all_pairs(edges: DataFrame, n: int, size: int = 512) -> DataFrame:
     """(i, j, d) of all reachable pairs: blocked Floyd-Warshall over tiles.
 
     Each round closes the pivot tile, brings the tiles of its row and column up
@@ -152,26 +158,27 @@ def all_pairs(edges: DataFrame, n: int, size: int = 256) -> DataFrame:
     put = places.join(put.withColumn("bi", F.expr(f"src div {size}")).withColumn("bj", F.expr(f"dst div {size}")), ["bi", "bj"], "left")
     tiles = cut(put.groupBy("bi", "bj").applyInPandas(fill, "bi long, bj long, tile binary"))
     for r in range(blocks):
-        pivot = _tile(tiles.filter(f"bi = {r} and bj = {r}").first()["tile"], size)
-        for k in range(size):
-            np.minimum(pivot, pivot[:, k : k + 1] + pivot[k], out=pivot)
-        held = spark.sparkContext.broadcast(pivot.tobytes())
+        pivot = tiles.filter(f"bi = {r} and bj = {r}").select(F.col("tile").alias("pivot"))  # one row of a fixed size
 
-        def cross(batches, r=r, held=held):
-            pivot = _tile(held.value, size)
+        def cross(batches, r=r):
+            pivot = None
             for frame in batches:
                 done = []
-                for bi, bj, raw in zip(frame["bi"], frame["bj"], frame["tile"], strict=True):
+                for bi, bj, raw, first in zip(frame["bi"], frame["bj"], frame["tile"], frame["pivot"], strict=True):
+                    if pivot is None:
+                        pivot = _tile(first, size)
+                        for k in range(size):
+                            np.minimum(pivot, pivot[:, k : k + 1] + pivot[k], out=pivot)
                     tile = _tile(raw, size)
                     done.append((pivot if bi == bj else _product(pivot, tile, tile.copy()) if bi == r else _product(tile, pivot, tile.copy())).tobytes())
-                yield frame.assign(tile=done)
+                yield frame[["bi", "bj"]].assign(tile=done)
 
         def rest(batches):
             for frame in batches:
                 done = [_product(_tile(a, size), _tile(b, size), _tile(t, size)).tobytes() for t, a, b in zip(frame["tile"], frame["a"], frame["b"], strict=True)]
                 yield frame[["bi", "bj"]].assign(tile=done)
 
-        crossed = cut(tiles.filter(f"bi = {r} or bj = {r}").mapInPandas(cross, tiles.schema))
+        crossed = cut(tiles.filter(f"bi = {r} or bj = {r}").join(F.broadcast(pivot)).mapInPandas(cross, tiles.schema))
         if blocks == 1:
             tiles = crossed
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: list[str] = []
 
@@ -24,3 +24,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/fixpoint/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, total: Column) -> tuple[DataFrame, int]:
+    """As ``cut``, with an aggregate over all rows that the same job makes."""
+    seen = Observation()
+    out = cut(df.observe(seen, total.alias("total")))
+    return out, seen.get["total"] or 0

@@ -84,7 +84,8 @@ def minplus_once(spark, sf):
 
 
 def apsp(spark, sf):
-    return graph.all_pairs(_last(spark, sf), fx.vertices(spark, sf).count())
+    n = fx.vertices(spark, sf).count()
+    return graph.all_pairs(_last(spark, sf), n, max(1, min(512, -(-n // 2))))  # two blocks at least, so that all phases run
 
 
 def sort_f32(spark, sf):
@@ -92,9 +93,28 @@ def sort_f32(spark, sf):
 
 
 def sort_check(spark, sf):
+    """Of the sorted values, every seventh of them lowered: that makes inversions."""
+    return sorting.inversions(sort_f32(spark, sf).select("pos", F.when(F.col("pos") % 7 == 0, F.col("x") - 1000).otherwise(F.col("x")).alias("x")), "x")
+
+
+def sort_check_clean(spark, sf):
     return sorting.inversions(sort_f32(spark, sf), "x")
 
 
+def pagerank(spark, sf):
+    """To convergence, with the errors of all rounds beside the ranks."""
+    ranks, errors = graph.pagerank(_links(spark, sf), _pages(spark, sf))
+    last = [F.lit(len(errors)).alias("rounds"), *[F.lit(round(e, 6)).alias(f"error_{k + 1}") for k, e in enumerate(errors[:4])]]
+    return _rounded(ranks).select("page", "rank_ppm", *last)
+
+
+def sobel_rgb(spark, sf):
+    """Three channels: the image, its negative, and its half."""
+    height = fx.table(spark, sf, "embeddings").count()
+    pixels = fx.image(spark, sf).select("y", "x", F.col("v").alias("r"), (255 - F.col("v")).alias("g"), F.expr("v div 2").cast("int").alias("b"))
+    return grid.sobel(pixels, WIDTH, height, ["r", "g", "b"])
+
+
 def diff_count(spark, sf):
     x = sort_f32(spark, sf)
     return sorting.differences(x, x.select("pos", F.when(F.col("pos") % 7 == 0, F.col("x") + 1).otherwise(F.col("x")).alias("x")), "x")
@@ -193,6 +213,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "apsp": apsp,
         "sort_f32": sort_f32,
         "sort_check": sort_check,
+        "sort_check_clean": sort_check_clean,
+        "pagerank": pagerank,
+        "sobel_rgb": sobel_rgb,
         "diff_count": diff_count,
         "part_first_char": part_first_char,
         "part_cyclic": part_cyclic,
@@ -248,17 +271,29 @@ m AS (SELECT y, x, CAST(max(n) AS INT) AS n FROM z GROUP BY y, x)"""
 _SORTED = "s AS (SELECT row_number() OVER (ORDER BY x) - 1 AS pos, x FROM (SELECT CAST(l_extendedprice AS FLOAT) AS x FROM lineitem))"
 
 
-def _sobel_sql() -> str:
+def _sobel_sql(values=("v",), names=("v",)) -> str:
     rows = ", ".join(f"({dy}, {dx}, {a}, {b})" for dy, dx, a, b in grid.STENCIL)
+    sums = ", ".join(f"sum({v.replace('v', 'p.v')} * a) AS a_{n}, sum({v.replace('v', 'p.v')} * b) AS b_{n}" for v, n in zip(values, names))
+    out = ", ".join(f"CAST(floor(least(255.0, sqrt(CAST(a_{n} * a_{n} + b_{n} * b_{n} AS DOUBLE)) / 8.0)) AS INT) AS {n}" for n in names)
     return f"""WITH {fx.SQL_IMAGE}, m(dy, dx, a, b) AS (VALUES {rows}),
-t AS (SELECT c.y, c.x, sum(p.v * a) AS a, sum(p.v * b) AS b FROM image c, m JOIN image p ON p.y = c.y + dy AND p.x = c.x + dx GROUP BY c.y, c.x)
-SELECT y, x, CAST(floor(least(255.0, sqrt(CAST(a * a + b * b AS DOUBLE)) / 8.0)) AS INT) AS v FROM t"""
+t AS (SELECT c.y, c.x, {sums} FROM image c, m JOIN image p ON p.y = c.y + dy AND p.x = c.x + dx GROUP BY c.y, c.x)
+SELECT y, x, {out} FROM t"""
+
+
+def _converged_sql() -> str:
+    """The ranks after four rounds, that the tables converge in, with each round's error."""
+    errors = ", ".join(f"(SELECT round(sum(abs(a.rank - b.rank)), 6) FROM r{k + 1} a JOIN r{k} b USING (page)) AS error_{k + 1}" for k in range(4))
+    return _pagerank_sql(4).rpartition("\nSELECT")[0] + f"\nSELECT page, round(rank * 1e6, 3) AS rank_ppm, 4 AS rounds, {errors} FROM r4"
 
 
 def oracle_sql() -> dict[str, str]:
     wiki, edges = f"WITH {fx.SQL_WIKI}\n", f"WITH {fx.SQL_EDGES}\n"
     degree = f"deg AS (SELECT s_suppkey AS v, CAST(count(src) AS BIGINT) AS degree FROM supplier LEFT JOIN edges ON src = s_suppkey GROUP BY s_suppkey)"
     shade = "CAST(n % 16 * 16 AS INT)"
+    palette_sql = (
+        _MANDELBROT
+        + f" SELECT y, x, CASE WHEN n = {MAX_ITER} THEN 0 WHEN n & 16 <> 0 THEN 240 ELSE {shade} END AS r, CASE WHEN n = {MAX_ITER} THEN 0 WHEN n & 16 <> 0 THEN {shade} ELSE 0 END AS g, CASE WHEN n = {MAX_ITER} THEN 0 WHEN n & 16 <> 0 THEN {shade} ELSE 0 END AS b FROM m"
+    )
     return {
         "title_extract": wiki + "SELECT page FROM wiki UNION ALL SELECT regexp_extract(h, '<title>(.+?)</title>', 1) FROM (SELECT "
         + _unescape_sql("html")
@@ -280,7 +315,10 @@ def oracle_sql() -> dict[str, str]:
         "minplus_once": _apsp_sql(1) + " SELECT i, j, d FROM d1",
         "apsp": _apsp_sql() + " SELECT i, j, d FROM d7",
         "sort_f32": f"WITH {_SORTED} SELECT pos, x FROM s",
-        "sort_check": "SELECT CAST(0 AS BIGINT) AS inversions, count(*) AS n, true AS is_sorted FROM lineitem",
+        "sort_check": f"WITH {_SORTED}, t AS (SELECT pos, CASE WHEN pos % 7 = 0 THEN x - 1000 ELSE x END AS x FROM s), u AS (SELECT x, lead(x) OVER (ORDER BY pos) AS y FROM t) SELECT count(*) FILTER (x > y) AS inversions, count(*) AS n, count(*) FILTER (x > y) = 0 AS is_sorted FROM u",
+        "sort_check_clean": f"WITH {_SORTED}, u AS (SELECT x, lead(x) OVER (ORDER BY pos) AS y FROM s) SELECT count(*) FILTER (x > y) AS inversions, count(*) AS n, count(*) FILTER (x > y) = 0 AS is_sorted FROM u",
+        "pagerank": _converged_sql(),
+        "sobel_rgb": _sobel_sql(("v", "(255 - v)", "(v // 2)"), ("r", "g", "b")),
         "diff_count": f"WITH {_SORTED} SELECT count(*) FILTER (pos % 7 = 0) AS differ, count(*) AS n FROM s",
         "part_first_char": f"SELECT CAST(ascii(p_name) % {PARTS} AS INT) AS part, count(*) AS n FROM part GROUP BY 1",
         "part_cyclic": f"SELECT s_suppkey AS v, CAST(s_suppkey % {PARTS} AS INT) AS part FROM supplier",
@@ -288,10 +326,12 @@ def oracle_sql() -> dict[str, str]:
         "part_balanced": edges[:-1]
         + f", {degree} SELECT v, CAST(least(floor((sum(degree) OVER (ORDER BY v) - degree) * {PARTS}::DOUBLE / greatest((SELECT sum(degree) FROM deg), 1)), {PARTS - 1}) AS INT) AS part FROM deg",
         "mandelbrot": _MANDELBROT + " SELECT y, x, n FROM m",
-        "mandelbrot_palette": _MANDELBROT
-        + f" SELECT y, x, CASE WHEN n = {MAX_ITER} THEN 0 WHEN n & 16 <> 0 THEN 240 ELSE {shade} END AS r, CASE WHEN n = {MAX_ITER} THEN 0 WHEN n & 16 <> 0 THEN {shade} ELSE 0 END AS g, CASE WHEN n = {MAX_ITER} THEN 0 WHEN n & 16 <> 0 THEN {shade} ELSE 0 END AS b FROM m",
+        "mandelbrot_palette": palette_sql,
         "sobel": _sobel_sql(),
         "pi": "SELECT round(sum(sqrt(1.0::DOUBLE - (i / 100000.0::DOUBLE) * (i / 100000.0::DOUBLE)) / 100000.0::DOUBLE) * 4.0, 6) AS pi FROM (SELECT unnest(range(0, 100000))::DOUBLE AS i)",
         "timing_variance": "SELECT event_type, round(var_pop(value) * count(value), 4) AS ssd FROM events GROUP BY event_type",
+        "edges_roundtrip": edges + "SELECT src, dst, w, row_number() OVER (ORDER BY src, dst) - 1 AS ord FROM edges",
+        "bmp_roundtrip": palette_sql,
+        "png_roundtrip": palette_sql,
         "f32_roundtrip": "SELECT CAST(0 AS BIGINT) AS differ, count(*) AS n FROM lineitem",
     }

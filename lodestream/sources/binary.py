@@ -169,3 +169,30 @@ def sink_image(pixels: DataFrame, path: str, flip: bool = False) -> None:
 def sink_text_kv(rows: DataFrame, path: str, key: str, value: str) -> None:
     """key TAB value, by value, largest first, in one file."""
     rows.orderBy(F.desc(value), F.asc(key)).select(key, F.col(value).cast("string")).coalesce(1).write.option("sep", "\t").csv(path)
+
+
+def sink_int_matrix(rows: DataFrame, n: int, path: str, unreachable: int) -> None:
+    """All n * n values (i, j, d) by rows as int32; pairs that aren't there as the sentinel."""
+    cells = rows.sparkSession.range(n * n).select(F.expr(f"id div {n}").alias("i"), (F.col("id") % n).alias("j"))
+    sink_int_vector(cells.join(rows.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "d"), ["i", "j"], "left"), path, ["i", "j"], "d", unreachable)
+
+
+def sink_partition_map(rows: DataFrame, path: str) -> None:
+    """One owner a line, by vertex (v, part), in one file of the folder."""
+    rows.orderBy("v").select(F.col("part").cast("string")).coalesce(1).write.text(path)
+
+
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the lines of text files, read in splits; the input of titles and links."""
+    return spark.read.text(path)
+
+
+def scan_kv_text(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """(key, value) of lines, split at the first separator; a line without one is a key with an empty value."""
+    parts = F.split(F.col("value"), f"\\Q{sep}\\E", 2)
+    return scan_lines(spark, path).select(parts[0].alias("key"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("value"))
+
+
+def random_f32(spark: SparkSession, n: int = 100, top: int = 10_000_000, seed: int = 0) -> DataFrame:
+    """(pos, x): n whole numbers from 0 to top as float32, the same for the same seed and number of partitions."""
+    return spark.range(n).select(F.col("id").alias("pos"), F.floor(F.rand(seed) * (top + 1)).cast("float").alias("x"))

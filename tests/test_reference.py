@@ -96,6 +96,26 @@ def test_files(spark, tmp_path):
     assert [r.part for r in binary.scan_partition_map(spark, str(tmp_path / "p")).orderBy("v").collect()] == [0, 0, 1]
 
 
+def test_text_and_matrix_files(spark, tmp_path):
+    binary.sink_partition_map(spark.createDataFrame([(2, 1), (0, 5), (1, 7)], "v int, part int"), str(tmp_path / "m"))
+    assert [r.value for r in binary.scan_lines(spark, str(tmp_path / "m")).collect()] == ["5", "7", "1"]
+    binary.sink_int_matrix(spark.createDataFrame([(0, 1, 4), (1, 0, 9)], "i long, j long, d long"), 2, str(tmp_path / "d"), 99)
+    assert np.fromfile(tmp_path / "d", "<i4").tolist() == [99, 4, 9, 99]
+    binary.sink_int_vector(spark.createDataFrame([(1, None), (0, 3)], "v int, d long"), str(tmp_path / "v"), ["v"], "d", 7)
+    assert np.fromfile(tmp_path / "v", "<i4").tolist() == [3, 7]
+    (tmp_path / "kv").write_text("a\tb\tc\nd\n")
+    assert sorted(binary.scan_kv_text(spark, str(tmp_path / "kv")).collect()) == [("a", "b\tc"), ("d", "")]
+    x = binary.random_f32(spark, 50, seed=3)
+    assert x.collect() == binary.random_f32(spark, 50, seed=3).collect() and x.filter("x < 0 or x > 10000000").count() == 0
+
+
+def test_inversions_of_unsorted_rows(spark):
+    values = [3.0, 1.0, None, 2.0, float("nan"), 5.0, 5.0, 4.0]
+    rows = spark.createDataFrame(list(enumerate(values)), "pos long, x double").repartition(3, "x")
+    assert tuple(sorting.inversions(rows, "x").first()) == (3, 8, False)
+    assert tuple(sorting.inversions(rows.limit(0), "x").first()) == (0, 0, True)
+
+
 def test_entry(spark):
     import __spark_entry__ as engine
 
