@@ -330,7 +330,7 @@ def oracle_sql() -> dict[str, str]:
         "sobel": _sobel_sql(),
         "pi": "SELECT round(sum(sqrt(1.0::DOUBLE - (i / 100000.0::DOUBLE) * (i / 100000.0::DOUBLE)) / 100000.0::DOUBLE) * 4.0, 6) AS pi FROM (SELECT unnest(range(0, 100000))::DOUBLE AS i)",
         "timing_variance": "SELECT event_type, round(var_pop(value) * count(value), 4) AS ssd FROM events GROUP BY event_type",
-        "edges_roundtrip": edges + "SELECT src, dst, w, row_number() OVER (ORDER BY src, dst) - 1 AS ord FROM edges",
+        "edges_roundtrip": edges + "SELECT CAST(src AS INT) AS src, CAST(dst AS INT) AS dst, w, row_number() OVER (ORDER BY src, dst) - 1 AS ord FROM edges",
         "bmp_roundtrip": palette_sql,
         "png_roundtrip": palette_sql,
         "f32_roundtrip": "SELECT CAST(0 AS BIGINT) AS differ, count(*) AS n FROM lineitem",
