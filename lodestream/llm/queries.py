@@ -84,5 +84,35 @@ def queries() -> dict:
     }
 
 
+#: Reachability over links (a, b) among ids: (id, component), the smallest id reachable.
+_REACH = """reach(id, r) AS (SELECT id, id FROM ids UNION SELECT reach.id, l.b FROM reach JOIN links l ON l.a = reach.r),
+component AS (SELECT id, min(r) AS component FROM reach GROUP BY id)"""
+
+
+def _embedding_sql() -> str:
+    """All pairs of usable vectors."""
+    return f"""WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) AND list_cosine_similarity(p.e, q.e) >= 0.95),
+{_REACH}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component AS component_id, id = component AS kept FROM component"""
+
+
+def _near_duplicate_sql(width: int = 3, percent: int = 85) -> str:
+    """All pairs of documents that share a shingle."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {width} THEN list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width} - 1], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+{_REACH}
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component AS component_id, id = component AS kept FROM component LEFT JOIN n ON n.doc_id = id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the exact result: op2 and op4 by all pairs."""
+    return {"op2_embedding_duplicates": _embedding_sql(), "op4_near_duplicates": _near_duplicate_sql()}

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_duplicates, quality, toxicity
+from lodestream.llm import decontamination, labelled, language_id, line_dedup, lm_scoring, mixing, near_duplicates, quality, queries, toxicity
 from lodestream.llm import textkit as tk
 from lodestream.llm.clusters import components
 from lodestream.llm.embedding_duplicates import embedding_duplicates
@@ -307,3 +307,53 @@ def test_pipeline_stages(spark):
         assert kept.columns == docs.columns, name
         assert 0 < kept.count() <= docs.count()
     assert cp.mix_sources(spark, docs, sf).count() > 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(21)
+    x, y, z = (" ".join(words(rng, 60, 5000)) for _ in range(3))
+    near = lambda t: t + " end"
+    rows = [(5, x), (5, y), (9, near(x)), (10, near(y)), (7, z), (7, z), (None, z), (None, near(z)), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, __id int")
+    got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in near_duplicates.near_duplicates(docs).collect())
+    assert got == sorted([(5, 5, True), (5, 5, True), (9, 5, False), (10, 5, False), (7, 7, True), (7, 7, True), (0, 7, False), (0, 7, False), (8, 8, True), (8, 8, True)])
+    left = near_duplicates.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == sorted([(5, x), (5, y), (7, z), (8, ""), (8, "")])
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    a, b, c = "the first line that both rows have in common", "a second line that only one of the rows has", "and here is a line which nobody else holds"
+    docs = spark.createDataFrame([(7, f"{a}\n{b}"), (7, f"{a}\n{c}"), (None, f"{c}\n{a}"), (3, a)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.drop_lines(docs).collect())
+    assert len(got) == 3 and got[0] == (3, a) and sorted(t for _, t in got[1:]) == sorted([b, c])
+
+
+def test_stages_judge_rows_whatever_their_ids_and_columns(spark):
+    rng = random.Random(22)
+    item = " ".join(words(rng, 20, 5000))
+    docs = spark.createDataFrame([(None, item), (4, item), (4, "some other text of its own")], "doc_id long, text string").selectExpr("*", "1 as score", "'q' as lang_pred", "'en' as lang")
+    clean = decontamination.drop_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [tuple(r) for r in clean.collect()] == [(4, "some other text of its own", 1, "q", "en")]
+    kept = language_id.drop_unidentified(docs, language_id.fit(docs), 0.0)
+    assert kept.columns == docs.columns and kept.count() == 3
+
+
+def test_labelled_sample_skips_a_text_that_does_not_fit(spark):
+    docs = spark.createDataFrame([(k, "x" * (5000 if k % 5 == 0 else 10)) for k in range(50)] + [(99, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)] + [(1, 0), (99, 1), (None, 1)], "doc_id long, toxic int")
+    texts, y = labelled.sample(docs, labels, "toxic", F.col("doc_id") != 3, max_bytes=1000)
+    assert len(texts) == len(y) == 38 and {len(t) for t in texts} == {10}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = con.execute(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, sf).toPandas()[want.columns.tolist()]
+    key = want.columns[0]
+    assert got.sort_values(key).reset_index(drop=True).astype(str).equals(want.sort_values(key).reset_index(drop=True).astype(str))
