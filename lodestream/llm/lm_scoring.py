@@ -34,7 +34,7 @@ SYMBOLS = 1 << 17
 #: Symbols that are a context of their own.
 HEADS = 1 << 12
 #: Slots as powers of two: of the word before, the bytes' four contexts (largest), and what followed (least and largest).
-AFTER_BITS, BYTE_BITS, RUN_BITS = 22, (12, 18, 20, 22), (14, 24)
+AFTER_BITS, BYTE_BITS, RUN_BITS = 22, (12, 18, 20, 22), (22, 24)
 #: One training text in so many is kept out of the first counts and fits the weights.
 FOLD = 16
 FIT_ROUNDS, RIDGE = 4, 20.0
