@@ -166,12 +166,38 @@ def test_decontamination_finds_edited_items(spark):
     assert decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_cut_long_and_short_items(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [words(rng, n, 9000) for n in [9, 25, 40, 59, 130] * 3 + [400]]
+    docs, want = [], set()
+    for k, item in enumerate(items):
+        n, most = len(item), int(len(item) * decontamination.MAX_EDITS)
+        head, gone = words(rng, 70, 9000), set(rng.sample(range(n), most))
+        less = [w for i, w in enumerate(item) if i not in gone]
+        for j, text in enumerate((less, head + less, item[most:], item[: n - most], head + item[: n - most], item[most:] + head)):
+            docs.append((10 * k + j, " ".join(text)))
+            want.add((10 * k + j, k))
+        docs.append((10 * k + 9, " ".join(item[: n - most - 1])))  # one more than the edits allow
+    short = [["ab", "cd", "ab", "cd", "ef"], ["yes", "sir"], ["...", "!"]]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items + short)], "item_id long, text string")
+    at = len(items)
+    docs += [(5000, "it is ab cd ab cd ef, said he"), (5001, "it is ab cd ab cd, ef? xy"), (5002, "it is ab cd ab xy cd ef"), (5003, "Yes, sir!"), (5004, "yes sir no"), (5005, "! ...")]
+    want |= {(5000, at), (5001, at), (5003, at + 1)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontamination.leaks(frame, bench).collect()}
+    assert not set(got) - want and len(set(got) & want) >= 0.98 * len(want)
+    assert {x for x in got if x[0] >= 5000} == {x for x in want if x[0] >= 5000}
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 4000)
+    assert {(r.doc_id, r.item_id): r.distance for r in decontamination.leaks(frame, bench).collect()} == got
+    assert {r.doc_id for r in decontamination.drop_leaks(frame, bench).collect()} == {i for i, _ in docs} - {i for i, _ in got}
+
+
 def test_token_counts_against_the_library(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
-    texts = ["", "don't we'll 's !'s ''s", "a  b\n\n c \t", "日本語 ½² １２", "x<|endoftext|>y", "ab" * 3000, "q" * 700, " ", "'", "end  "]
+    texts = ["", "don't we'll 's !'s ''s", "a  b\n\n c \t", "日本語 ½² １２", "x<|endoftext|>y", "ab" * 3000, "q" * 700, " ", "'", "end  ", *(f"x'll{chr(c)} 1{chr(c)}a" for c in (0x1C89, 0xA7CB, 0x105C0, 0x13460, 0x10D40, 0x1CCF0, 0x1E5F1))]
     want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     with open(path, "rb") as file:
         assert TokenCounter(file.read()).count(pa.array(texts)).tolist() == want
