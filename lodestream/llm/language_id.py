@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import prepare
+from .shared import materialise, prepare
 
 GRAM = 4  # bytes
 HASHES = 3
@@ -146,8 +146,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageFilt
     1 / MIN_SHARE n-grams for each language.
     """
     prepare(docs.sparkSession)
-    counts = count_grams(docs, text, lang)
-    share = counts.join(F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("all"))), "lang").withColumn("share", F.col("n") / F.col("all"))
+    counts = materialise(count_grams(docs, text, lang))
+    # a written table has a size, by which Spark broadcasts it or not
+    totals = materialise(counts.groupBy("lang").agg(F.sum("n").alias("all")))
+    share = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("all"))
     share = share.filter(F.col("share") >= MIN_SHARE)
     best = share.groupBy("gram").agg(F.collect_list(F.struct("lang", "share")).alias("own"), F.max("share").alias("most"))
     kept = best.select("gram", F.expr(f"transform(filter(own, x -> x.share >= {MIN_RATIO} * most), x -> x.lang)").alias("langs"))
