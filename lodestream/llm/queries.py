@@ -1,4 +1,10 @@
-"""The queries opN_* over the tables, and their SQL where SQL can express them."""
+"""The queries opN_* over the tables, and their SQL where SQL can express them.
+
+Each takes whole tables and whole texts, whatever their length.  Unless a
+query says otherwise: a null text counts as an empty one, rows that repeat
+(also a doc_id alone) give a row each, a null doc_id stays null, columns that
+aren't named are ignored, and an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -16,35 +22,43 @@ from .token_counts import token_counts
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document; a null source is the last one."""
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op2_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors; null, zero and non-finite ones link with nothing, equal ones are linked."""
     return embedding_duplicates(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores, and (start, end, score) in bytes of the sentences that reach 0.3; without labels of both kinds all texts score alike."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     texts, y = labelled.sample(docs, labels, "toxic", remainder("doc_id", 4) != 2)
-    out = toxicity.score(docs, toxicity.fit(texts, y), offending=None)
-    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    out = toxicity.score(docs, toxicity.fit(texts, y))
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", predicted, F.col("sentences").alias("offending"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets, components and representatives; texts without words link with nothing, ties go to the smallest doc_id."""
     return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, distance, start, end) of the benchmark items found; documents without one, or with a null doc_id, have no row."""
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base's and the model's log10 probability; a null or empty text is its end alone, no training text gives the base of V = 0."""
     out = lm_scores(documents(spark, sf_dir), remainder("doc_id", 7) != 2)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores; without labels of both kinds all texts have the same score."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     texts, y = labelled.sample(docs, labels, "quality", remainder("doc_id", 5) != 0, quality.MAX_ROWS, quality.MAX_BYTES)
@@ -53,16 +67,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_removed, removed): the first occurrence by (doc_id, line) stays; see line_report."""
     return line_report(documents(spark, sf_dir), short=True)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-8 bytes and tokens of each text; null texts have none of either."""
     import public_tokenizers
 
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best language; texts that are null or have no letter are und with score 0, ties go to the first by name."""
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs.filter(remainder("doc_id", 5) != 0))
     out = language_id.predict(docs, model, keep=["doc_id"])
