@@ -90,7 +90,8 @@ def _word_windows(n: np.ndarray, probe: bool):
     """(lines, salt, start, end in words) of the index entries, or the probes, of lines of n words.
 
     An entry belongs to the class of its line; a line probes its own class and
-    those that a shorter near copy may be in.
+    those that a shorter near copy may be in.  Where a line's probe would be
+    its own entry, it is left out.
     """
     for c, (least, size) in enumerate(CLASSES):
         most = CLASSES[c + 1][0] - 1 if c + 1 < len(CLASSES) else None
@@ -113,6 +114,8 @@ def _word_windows(n: np.ndarray, probe: bool):
             i = np.sqrt(place).astype(np.int64) if probe else place
             at = (n[who] - (i + 1) * size if side else i * size) + (place - i * i - i if probe else 0)
             ok = (at >= 0) & (at + size <= n[who])
+            if probe:
+                ok &= (place != i * i + i) | ((n[who] > most) if most else False)
             yield who[ok], (c << 20 | side << 19) + i[ok] + 1, at[ok], at[ok] + size
 
 
@@ -222,19 +225,24 @@ def edit_distance_within(a: bytes | np.ndarray, b: bytes | np.ndarray, most: int
     a, b = x[head : len(a) - tail].tolist(), y[head : n - tail].tolist()
     if not b:
         return len(a) <= most
-    where: dict[int, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
     width = 2 * most + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
     plus = full & ~((1 << (most + 1)) - 1)  # rows that are one more than the row above
     minus = full & ~plus
     watch, score = 1 << (most + apart), apart
+    # each value's rows within the band, and the column that they were last counted from
+    where: dict[int, tuple[int, int]] = {}
+    none = 0, 0
+    for i, c in enumerate(a[:most]):
+        where[c] = where.get(c, none)[0] | 1 << (i + most), 0
     for j, c in enumerate(b):
         plus, minus = plus >> 1 | top, minus >> 1
-        at = j - most
-        same = where.get(c, 0)
-        same = (same >> at if at >= 0 else same << -at) & full
+        if j + most < len(a):
+            new = a[j + most]
+            rows, since = where.get(new, none)
+            where[new] = rows >> (j - since) | top, j
+        rows, since = where.get(c, none)
+        same = rows >> (j - since)
         hit = same | minus
         diagonal = (((plus + (hit & plus)) ^ plus) | hit) & full
         right_plus = (minus | ~(diagonal | plus)) & full
@@ -253,23 +261,32 @@ def edit_linker(distance: int):
     """Links near copies, by words or at most ``distance`` bytes apart; the same segment indexes find them inside a task."""
 
     def link(texts, group, forest, side):
-        ends = np.cumsum([len(t) for t in texts])
-        starts = ends - [len(t) for t in texts]
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        words, first = line_words(data, starts, ends)
-        n_words = np.diff(first)
-        own = [words[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        own, keys, lines = [], [], []
+        chunk = np.cumsum([len(t) for t in texts]) // tk.CHUNK_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(texts)]
+        for low, high in zip(cuts, cuts[1:]):
+            size = np.array([len(t) for t in texts[low:high]], np.int64)
+            ends = np.cumsum(size)
+            data = np.frombuffer(b"".join(texts[low:high]), np.uint8)
+            words, first = line_words(data, ends - size, ends)
+            own += [words[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            key, line = _made(data, ends - size, ends, words, first[:-1], np.diff(first), distance)
+            keys.append(key)
+            lines.append(line + low)
+        key, line, n_words = np.concatenate(keys), np.concatenate(lines), np.array([len(w) for w in own], np.int64)
         bags = [set(w.tolist()) for w in own]
         edits = [word_edits(n_words).tolist(), n_words.tolist(), [len(b) for b in bags]]
+        few = _few_words(distance)
 
         def near(i, j):
             most = min(edits[0][i], edits[0][j])
             # an edit changes one word, a byte edit two at most: all other words are in both lines
             if abs(edits[1][i] - edits[1][j]) > max(most, 2 * distance) or min(edits[2][i], edits[2][j]) - len(bags[i] & bags[j]) > max(most, 2 * distance):
                 return False
-            return most and edit_distance_within(own[i], own[j], most) or edit_distance_within(texts[i], texts[j], distance)
+            if most and edit_distance_within(own[i], own[j], most):
+                return True
+            return min(edits[1][i], edits[1][j]) < few and edit_distance_within(texts[i], texts[j], distance)
 
-        key, line = _made(data, starts, ends, words, first[:-1], n_words, distance)
         # buckets of one group only
         number = np.repeat(np.arange(len(group) - 1), np.diff(group))[line]
         order = np.lexsort((key, number))
