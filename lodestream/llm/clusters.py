@@ -29,6 +29,9 @@ from .textkit import mix
 MAX_ROUNDS = 60
 #: Rows that a task holds at once before it condenses them.
 _HELD = 1 << 20
+#: Bits of a bucket's key that don't travel, those behind its range, and rows of whole ranges that a task ties at once.
+_DROPPED, _REST = np.uint64(13), np.uint64(40)
+_TIED = 1 << 18
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("forks", pa.int64())])
 
 
@@ -139,7 +142,7 @@ def _heads(key: np.ndarray) -> np.ndarray:
 def _tie_here(batches):
     """What a partition can tie itself becomes buckets of two, and one row of the bucket itself travels."""
     for key, id_ in gathered(batches):
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, id_ = key[order], id_[order]
         head = _heads(key)
         tied = (head < np.arange(len(key))) & (key[head] & 1 == 0)
@@ -149,15 +152,57 @@ def _tie_here(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[~tied], own, own])), pa.array(np.concatenate([id_[~tied], a, b]))], names=["key", "id"])
 
 
+def _packed(batches):
+    """Rows (key, id) as one row for each range of keys that a part of them touches: its keys, sorted, of 5 bytes, and the ids.
+
+    Of a key the side and the first 51 bits of the hash go on; a row takes 13
+    bytes, of which the sorted first one compresses.
+    """
+    for key, id_ in gathered(batches):
+        key = key.view(np.uint64)
+        key = key >> _DROPPED << np.uint64(1) | key & np.uint64(1)
+        order = np.argsort(key)
+        key, id_ = key[order], id_[order]
+        at = key >> _REST
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        ends = np.append(first, len(key)).astype(np.int32)
+        columns = [(key >> np.uint64(32)).astype(np.uint8), key.astype(np.uint32), id_]
+        blobs = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * np.int32(c.itemsize)), pa.py_buffer(c)]) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int32)), *blobs], names=["range", "high", "low", "ids"])
+
+
+def _unpacked(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of 52 bits, and ids, of a batch of ranges."""
+    out = []
+    for column, kind in zip(batch.columns[1:], (np.uint8, np.uint32, np.int64)):
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        out.append(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
+    high, low, id_ = out
+    key = np.repeat(batch.column(0).to_numpy().astype(np.uint64), np.diff(ends) // 8) << _REST
+    return key | high.astype(np.uint64) << np.uint64(32) | low, id_
+
+
 def _tie_rows(batches):
-    """Edges of rows sorted by key: all rows of a bucket go to its first one, if that has side 0."""
-    held = None  # the bucket that the last rows belong to, as its first row
-    for key, id_ in gathered(batches, 1 << 17):
-        if held is not None:
-            key, id_ = np.append(held[0], key), np.append(held[1], id_)
+    """Edges of ranges in ascending order: all rows of a bucket go to its first one, if that has side 0."""
+    held, size = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(_unpacked(batch))
+            size += len(held[-1][0])
+            if size < _TIED:
+                continue
+        if not size:
+            continue
+        key, id_ = (np.concatenate(c) for c in zip(*held))
+        held, size = [], 0
+        if batch is not None:  # the last range may go on
+            last = np.searchsorted(key >> _REST, key[-1] >> _REST)
+            held, size = [(key[last:], id_[last:])], len(key) - int(last)
+            key, id_ = key[:last], id_[:last]
+        order = np.argsort(key)
+        key, id_ = key[order].view(np.int64), id_[order]
         head = _heads(key)
         edge = (key[head] & 1 == 0) & (id_ != id_[head])
-        held = key[head[-1]], id_[head[-1]]
         yield pa.RecordBatch.from_arrays([pa.array(id_[edge]), pa.array(id_[head][edge])], names=["a", "b"])
 
 
@@ -165,10 +210,12 @@ def ties(rows: DataFrame, made: Callable | None = None) -> DataFrame:
     """Edges (a, b) of rows (key, id), none null: all ids of a bucket that has an id of side 0 hang together.
 
     Keys are made by ``bucket_key``; an id of side 1 alone ties nothing.  With
-    ``made``, a function of Arrow batches makes these rows from rows.
+    ``made``, a function of Arrow batches makes these rows from rows.  Rows
+    travel packed by range of keys, and a task holds one range at a time or
+    ``_TIED`` rows of small ones.
     """
-    here = rows.mapInArrow(lambda batches: _tie_here(made(batches) if made else batches), "key long, id long")
-    return here.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(_tie_rows, "a long, b long")
+    here = rows.mapInArrow(lambda batches: _packed(_tie_here(made(batches) if made else batches)), "range int, high binary, low binary, ids binary")
+    return here.repartition("range").sortWithinPartitions("range").mapInArrow(_tie_rows, "a long, b long")
 
 
 def families(rows: DataFrame, made: Callable | None = None) -> DataFrame:

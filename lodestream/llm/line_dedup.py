@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .clusters import bucket_key, families, resolve
-from .shared import materialise, only_ids, prepare
+from .shared import materialise, only_ids, prepare, scratch
 
 #: Edits (insert, delete or replace a byte) between near copies of any length; lines below MIN_BYTES have none.
 DISTANCE, MIN_BYTES = 2, 24
@@ -59,8 +59,8 @@ def _windows(n: np.ndarray, distance: int):
                     yield length, i, at, at + end - start, (at >= 0) & (at + end - start <= n)
 
 
-def line_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lines' words, and each line's first word; lines in order, ending at line feeds or before the next start.
+def line_words(data: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines' words, from the prefix sums of data, and each line's first word; lines in order, ending at line feeds or before the next start.
 
     Words are runs of bytes other than white space, and in them each character
     of three bytes or more is a word of its own.
@@ -78,7 +78,7 @@ def line_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     last = ends[ends > starts] - 1
     stops[last] = word[last]
     at = np.flatnonzero(begins)
-    return tk.substring_hash(tk.prefix_sums(data), at, np.flatnonzero(stops) + 1), np.append(np.searchsorted(at, starts), len(at))
+    return tk.substring_hash(sums, at, np.flatnonzero(stops) + 1), np.append(np.searchsorted(at, starts), len(at))
 
 
 def word_edits(n: np.ndarray) -> np.ndarray:
@@ -164,7 +164,7 @@ def _few_words(distance: int) -> int:
     return 2 * distance * (WORDS_AN_EDIT + 1)
 
 
-def _made(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, first: np.ndarray, n_words: np.ndarray, distance: int):
+def _made(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, first: np.ndarray, n_words: np.ndarray, distance: int):
     """(key, line) of all index entries, side 0 of their bucket, and probes, side 1, of some lines."""
     keys, lines = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
@@ -176,7 +176,7 @@ def _made(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndar
         line, key = _word_keys(words, first, n_words, side == 1)
         put(key, side, line)
     few = np.flatnonzero(n_words < _few_words(distance))
-    sums, at_, n = tk.prefix_sums(data), starts[few], (ends - starts)[few]
+    at_, n = starts[few], (ends - starts)[few]
     for k, (length, i, at, end, ok) in enumerate(_windows(n, distance)):
         part = tk.substring_hash(sums, (at_ + at)[ok], (at_ + end)[ok])
         put(tk.mix(part + (length[ok] * (distance + 1) + i).astype(np.uint64) * _U(0x9FB21C651E98DF25)), int(k > distance), few[ok])
@@ -190,13 +190,14 @@ def _keys(distance: int):
         for batch in batches:
             for _, _, data, offsets in tk.chunks(batch.column(0)):
                 starts, ends, _ = line_spans(data, offsets)
-                words, first = line_words(data, starts, ends)
+                sums = tk.prefix_sums(data)
+                words, first = line_words(data, sums, starts, ends)
                 n_words = np.diff(first)
-                h = tk.substring_hash(tk.prefix_sums(data), starts, ends)
+                h = tk.substring_hash(sums, starts, ends)
                 long = np.flatnonzero(ends - starts >= MIN_BYTES)
                 h, once = np.unique(h[long], return_index=True)
                 once = long[once]
-                key, line = _made(data, starts[once], ends[once], words, first[once], n_words[once], distance)
+                key, line = _made(sums, starts[once], ends[once], words, first[once], n_words[once], distance)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[line].view(np.int64))], names=["key", "id"])
 
     return run
@@ -268,9 +269,10 @@ def edit_linker(distance: int):
             size = np.array([len(t) for t in texts[low:high]], np.int64)
             ends = np.cumsum(size)
             data = np.frombuffer(b"".join(texts[low:high]), np.uint8)
-            words, first = line_words(data, ends - size, ends)
+            sums = tk.prefix_sums(data)
+            words, first = line_words(data, sums, ends - size, ends)
             own += [words[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            key, line = _made(data, ends - size, ends, words, first[:-1], np.diff(first), distance)
+            key, line = _made(sums, ends - size, ends, words, first[:-1], np.diff(first), distance)
             keys.append(key)
             lines.append(line + low)
         key, line, n_words = np.concatenate(keys), np.concatenate(lines), np.array([len(w) for w in own], np.int64)
@@ -356,22 +358,23 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     documents of their own; rows that repeat both are one, so they lose the same lines.
     """
     prepare(docs.sparkSession)
-    docs = _named(docs, doc_id, text).filter("text is not null")
-    lines = materialise(docs.mapInArrow(_lines(short), "id long, doc long, line int, h long, g long"))
-    place = F.struct(F.col("id").isNull().alias("missing"), "id", "doc", "line")
-    firsts = materialise(lines.groupBy("h", "g").agg(F.min(place).alias("at"), F.count("*").alias("n")))
-    bare = docs.select("text")
-    member = materialise(families(bare, _keys(distance)))
-    found = materialise(resolve(member, materialise(_texts_of(bare, member)), edit_linker(distance), BLOCK))
-    near = materialise(firsts.join(found, firsts.h == found.id).select("h", "g", "at", F.col("component").alias("class")))
-    least = materialise(near.groupBy("class").agg(F.min("at").alias("first")))
-    moved = near.join(least, "class").filter("first <> at").select(F.col("h").alias("nh"), F.col("g").alias("ng"), "first")
-    # only lines that come more than once, or have a near copy before them, can go
-    again = firsts.join(materialise(moved), (F.col("h") == F.col("nh")) & (F.col("g") == F.col("ng")), "left").filter("n > 1 or first is not null")
-    again = materialise(again.select(F.col("h").alias("ch"), F.col("g").alias("cg"), F.coalesce("first", "at").alias("first")))
-    rest = only_ids(lines, again.select(F.col("ch").alias("id")), "h").join(again, (F.col("h") == F.col("ch")) & (F.col("g") == F.col("cg")))
-    rest = rest.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("doc") == F.col("first.doc")) & (F.col("line") == F.col("first.line"))))
-    return materialise(rest.groupBy("id", "doc").agg(F.sort_array(F.collect_set("line")).alias("lines")))
+    with scratch(docs.sparkSession):
+        docs = _named(docs, doc_id, text).filter("text is not null")
+        lines = materialise(docs.mapInArrow(_lines(short), "id long, doc long, line int, h long, g long"))
+        place = F.struct(F.col("id").isNull().alias("missing"), "id", "doc", "line")
+        firsts = materialise(lines.groupBy("h", "g").agg(F.min(place).alias("at"), F.count("*").alias("n")))
+        bare = docs.select("text")
+        member = materialise(families(bare, _keys(distance)))
+        found = materialise(resolve(member, materialise(_texts_of(bare, member)), edit_linker(distance), BLOCK))
+        near = materialise(firsts.join(found, firsts.h == found.id).select("h", "g", "at", F.col("component").alias("class")))
+        least = materialise(near.groupBy("class").agg(F.min("at").alias("first")))
+        moved = near.join(least, "class").filter("first <> at").select(F.col("h").alias("nh"), F.col("g").alias("ng"), "first")
+        # only lines that come more than once, or have a near copy before them, can go
+        again = firsts.join(materialise(moved), (F.col("h") == F.col("nh")) & (F.col("g") == F.col("ng")), "left").filter("n > 1 or first is not null")
+        again = materialise(again.select(F.col("h").alias("ch"), F.col("g").alias("cg"), F.coalesce("first", "at").alias("first")))
+        rest = only_ids(lines, again.select(F.col("ch").alias("id")), "h").join(again, (F.col("h") == F.col("ch")) & (F.col("g") == F.col("cg")))
+        rest = rest.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("doc") == F.col("first.doc")) & (F.col("line") == F.col("first.line"))))
+        return materialise(rest.groupBy("id", "doc").agg(F.sort_array(F.collect_set("line")).alias("lines")), keep=True)
 
 
 def _with_removed(docs: DataFrame, doc_id: str, text: str, gone: DataFrame) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import without_shuffles
+
 #: Rows in an Arrow batch; texts are long, and a batch is held twice.
 BATCH_ROWS = "1000"
 
@@ -34,11 +37,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write as Parquet to the shared folder and read again: lineage ends here."""
+#: Folders of the tables written since each open ``scratch`` began.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are materialised inside are deleted at the end; those with ``keep`` belong to the scratch around it, if any."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write as Parquet to the shared folder and read again: lineage ends here, and the job's shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestream/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
+    with without_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -19,10 +20,26 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+#: Whether Spark deletes a query's shuffle files when it ends; else they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def without_shuffles(spark: SparkSession):
+    """Queries that write a table inside leave no shuffle files behind."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Written and read again: survives lost executors, and the plan starts anew."""
+    """Written and read again: survives lost executors, the plan starts anew, and the job's shuffle files go."""
     path = f"{shared_folder(df.sparkSession)}/fixpoint/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with without_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

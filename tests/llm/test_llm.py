@@ -1,4 +1,7 @@
+import os
 import random
+import re
+import shutil
 import zlib
 
 import numpy as np
@@ -6,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontamination, labelled, language_id, line_dedup, lm_scoring, mixing, near_duplicates, quality, queries, toxicity
+from lodestream.llm import clusters, decontamination, labelled, language_id, line_dedup, lm_scoring, mixing, near_duplicates, quality, queries, shared, toxicity
 from lodestream.llm import textkit as tk
 from lodestream.llm.clusters import components
 from lodestream.llm.embedding_duplicates import embedding_duplicates
@@ -150,6 +153,39 @@ def test_lines_with_edited_words_against_brute_force(spark):
     assert {r.doc_id for r in line_dedup.line_report(docs).collect() if r.removed} == want and len(want) > len(lines) // 2
 
 
+def test_line_dedup_leaves_one_table_and_materialise_no_shuffle_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_folder", lambda _: str(tmp_path))
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = set(re.findall(r"shuffle_\d+", blocks.getAllBlocks().mkString(" ")))
+    shared.materialise(spark.range(1000).repartition(3, "id").groupBy("id").count(), keep=True)
+    assert set(re.findall(r"shuffle_\d+", blocks.getAllBlocks().mkString(" "))) <= before
+    shutil.rmtree(tmp_path / "lodestream")
+    docs = spark.createDataFrame([(i, f"a line that is long enough, the {i % 7}th\nanother one that repeats") for i in range(40)], "doc_id long, text string")
+    gone = line_dedup.removed_lines(docs)
+    assert sum(len(r.lines) for r in gone.collect()) == 78
+    assert len(os.listdir(tmp_path / "lodestream")) == 1
+
+
+def test_buckets_travel_in_14_bytes_a_row_and_tie_as_rows_do(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    key = clusters.bucket_key(clusters.mix(rng.integers(0, 20_000, 60_000).astype(np.uint64)), rng.integers(0, 2, 60_000))
+    id_ = rng.integers(0, 30_000, 60_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(id_)], names=["key", "id"])
+    packed = list(clusters._packed([batch]))
+    held = sum(c.get_total_buffer_size() for b in packed for c in b.columns)
+    assert held - 4 * 4 * 4097 <= 14 * 60_000  # but for the ranges' numbers and offsets
+    monkeypatch.setattr(clusters, "_TIED", 1000)
+    want, first = set(), {}
+    for b, s, i in sorted(zip((key >> 1).tolist(), (key & 1).tolist(), id_.tolist())):
+        first.setdefault(b, (s, i))
+        if first[b][0] == 0 and first[b][1] != i:
+            want.add((i, first[b][1]))
+    got = [e for b in clusters._tie_rows(list(clusters._packed([batch]))[0].slice(a, 500) for a in range(0, packed[0].num_rows, 500)) for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    a, b = (np.array(x) for x in zip(*got))
+    c, d = (np.array(x) for x in zip(*want))
+    assert dict(zip(*(x.tolist() for x in clusters.to_roots(a, b)))) == dict(zip(*(x.tolist() for x in clusters.to_roots(c, d))))
+
+
 def test_decontamination_finds_edited_items(spark):
     rng = random.Random(5)
     items = [" ".join(words(rng, rng.randint(12, 40), 5000)) for _ in range(10)]
