@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import decontamination, language_id, line_dedup, mixing, near_duplicates
-from lodestream.llm.shared import documents, materialise, prepare
+from lodestream.llm.shared import documents, materialise, prepare, scratch
 
 #: A text is rejected when its best language contains less than this part of its n-grams.
 MIN_LANGUAGE_SCORE = 0.3
@@ -59,7 +59,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), keep=True)
     return docs
 
 
