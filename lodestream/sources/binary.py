@@ -1,79 +1,109 @@
 """Binary formats: float32 vectors, edge lists, BMP and PNG images; their readers and writers.
 
 Readers go through Spark's binaryFile source, so any store that Spark reads
-will do.  Writers encode on the driver what one file holds.
+will do.  Vectors, matrices and edge lists are encoded on the executors, and the
+driver writes their bytes part by part; images are encoded on the driver.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import cut
+
+
+#: Rows in a frame that a reader makes at once, and in a part that the driver holds of a file to write.
+FRAME, PART = 1 << 18, 1 << 20
+
 
 def _read(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
+    """The frames that decode makes of each file's bytes."""
+
     def run(batches):
         for frame in batches:
             for raw in frame["content"]:
-                yield decode(bytes(raw))
+                yield from decode(memoryview(raw))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
+def _write(rows: DataFrame, order: list[str], values: list[str], kind: str, path: str, head: Callable[[int], bytes] = lambda n: b"") -> None:
+    """One file of the values by order, behind a head made of their rows' number.
+
+    Executors sort and encode; the driver fetches one partition of bytes after
+    the other, and holds no more than that.
+    """
+    # written first, or the ranges' bounds and each partition would make the rows anew
+    rows = cut(rows.select(*order, *values))
+    n = rows.count()
+
+    def encode(batches):
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).astype(kind) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array([np.stack(columns, axis=1).tobytes()], pa.binary())], names=["raw"])
+
+    parts = rows.repartitionByRange(max(1, -(-n // PART)), *order).sortWithinPartitions(*order).select(*values)
+    with open(path, "wb") as file:
+        file.write(head(n))
+        for row in parts.mapInArrow(encode, "raw binary").toLocalIterator():
+            file.write(row["raw"])
+
+
 def scan_f32(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """(pos, x); a file shorter than n is refused."""
 
-    def decode(raw: bytes) -> pd.DataFrame:
+    def decode(raw: bytes) -> Iterator[pd.DataFrame]:
         x = np.frombuffer(raw, "<f4", len(raw) // 4 if n is None else n)
-        return pd.DataFrame({"pos": np.arange(len(x)), "x": x})
+        for at in range(0, max(1, len(x)), FRAME):
+            yield pd.DataFrame({"pos": np.arange(at, min(at + FRAME, len(x))), "x": x[at : at + FRAME]})
 
     return _read(spark, path, decode, "pos long, x float")
 
 
 def sink_f32(rows: DataFrame, path: str, value: str = "x") -> None:
-    x = rows.select("pos", value).toPandas().sort_values("pos")[value].to_numpy("<f4")
-    with open(path, "wb") as file:
-        file.write(x.tobytes())
+    _write(rows, ["pos"], [value], "<f4", path)
 
 
 def scan_edges(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst, w, ord) after a header of V and E."""
 
-    def decode(raw: bytes) -> pd.DataFrame:
+    def decode(raw: bytes) -> Iterator[pd.DataFrame]:
         e = struct.unpack_from("<ii", raw)[1]
-        rows = np.frombuffer(raw, "<i4", 3 * e, 8).reshape(e, 3)
-        return pd.DataFrame({"src": rows[:, 0], "dst": rows[:, 1], "w": rows[:, 2], "ord": np.arange(e)})
+        edges = np.frombuffer(raw, "<i4", 3 * e, 8).reshape(e, 3)
+        for at in range(0, max(1, e), FRAME):
+            rows = edges[at : at + FRAME]
+            yield pd.DataFrame({"src": rows[:, 0], "dst": rows[:, 1], "w": rows[:, 2], "ord": np.arange(at, at + len(rows))})
 
     return _read(spark, path, decode, "src int, dst int, w int, ord long")
 
 
 def edge_header(spark: SparkSession, path: str) -> tuple[int, int]:
-    return struct.unpack_from("<ii", bytes(spark.read.format("binaryFile").load(path).first()["content"]))
+    return struct.unpack("<ii", bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 8)).first()[0]))
 
 
 def sink_edges(edges: DataFrame, vertices: int, path: str) -> None:
-    rows = edges.select("src", "dst", "w", "ord").toPandas().sort_values("ord")[["src", "dst", "w"]].to_numpy("<i4")
-    with open(path, "wb") as file:
-        file.write(struct.pack("<ii", vertices, len(rows)) + rows.tobytes())
+    _write(edges, ["ord"], ["src", "dst", "w"], "<i4", path, lambda n: struct.pack("<ii", vertices, n))
 
 
 def sink_int_vector(rows: DataFrame, path: str, order: list[str], value: str, unreachable: int) -> None:
     """Values by the order's columns as int32; null as the sentinel."""
-    x = rows.select(*order, F.coalesce(value, F.lit(unreachable)).alias(value)).toPandas().sort_values(order)[value].to_numpy("<i4")
-    with open(path, "wb") as file:
-        file.write(x.tobytes())
+    _write(rows.select(*order, F.coalesce(value, F.lit(unreachable)).alias(value)), order, [value], "<i4", path)
 
 
 def scan_partition_map(spark: SparkSession, path: str) -> DataFrame:
     """(v, part): line i holds the owner of vertex i."""
 
-    def decode(raw: bytes) -> pd.DataFrame:
-        parts = [int(x) for x in raw.split()]
-        return pd.DataFrame({"v": np.arange(len(parts)), "part": parts})
+    def decode(raw: bytes) -> Iterator[pd.DataFrame]:
+        parts = [int(x) for x in bytes(raw).split()]
+        yield pd.DataFrame({"v": np.arange(len(parts)), "part": parts})
 
     return _read(spark, path, decode, "v int, part int")
 
@@ -152,11 +182,11 @@ def decode_png(raw: bytes) -> np.ndarray:
 
 
 def scan_bmp(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, lambda raw: _pixels(decode_bmp(raw)), PIXELS)
+    return _read(spark, path, lambda raw: [_pixels(decode_bmp(bytes(raw)))], PIXELS)
 
 
 def scan_png(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, lambda raw: _pixels(decode_png(raw)), PIXELS)
+    return _read(spark, path, lambda raw: [_pixels(decode_png(bytes(raw)))], PIXELS)
 
 
 def sink_image(pixels: DataFrame, path: str, flip: bool = False) -> None:
