@@ -96,6 +96,22 @@ def test_files(spark, tmp_path):
     assert [r.part for r in binary.scan_partition_map(spark, str(tmp_path / "p")).orderBy("v").collect()] == [0, 0, 1]
 
 
+def test_files_are_written_and_read_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "PART", 100)
+    monkeypatch.setattr(binary, "FRAME", 64)
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", None)  # the driver never holds all rows
+    x = spark.range(1000).selectExpr("999 - id AS pos", "cast(id * 0.5 AS float) AS x").repartition(3, "x")
+    binary.sink_f32(x, str(tmp_path / "x"))
+    assert np.fromfile(tmp_path / "x", "<f4").tolist() == [0.5 * (999 - k) for k in range(1000)]
+    assert binary.scan_f32(spark, str(tmp_path / "x")).join(x.withColumnRenamed("x", "y"), "pos").filter("x = y").count() == 1000
+    edges = spark.range(300).selectExpr("cast(id AS int) AS src", "cast(id + 1 AS int) AS dst", "7 AS w", "-id AS ord").repartition(3, "src")
+    binary.sink_edges(edges, 301, str(tmp_path / "g"))
+    assert binary.edge_header(spark, str(tmp_path / "g")) == (301, 300)
+    assert sorted(tuple(r) for r in binary.scan_edges(spark, str(tmp_path / "g")).collect()) == sorted((299 - k, 300 - k, 7, k) for k in range(300))
+    binary.sink_f32(x.limit(0), str(tmp_path / "e"))
+    assert binary.scan_f32(spark, str(tmp_path / "e")).count() == 0
+
+
 def test_text_and_matrix_files(spark, tmp_path):
     binary.sink_partition_map(spark.createDataFrame([(2, 1), (0, 5), (1, 7)], "v int, part int"), str(tmp_path / "m"))
     assert [r.value for r in binary.scan_lines(spark, str(tmp_path / "m")).collect()] == ["5", "7", "1"]
