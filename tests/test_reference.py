@@ -9,6 +9,7 @@ import pytest
 from lodestream.functions import grid, text
 from lodestream.operators import graph, sorting
 from lodestream.plans import registry
+from lodestream.plans.fixpoint import cut
 from lodestream.sources import binary
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +60,24 @@ def test_shortest_paths_against_numpy(spark):
     assert {(r.i, r.j): r.d for r in graph.all_pairs(edges, n, size=8).collect()} == want
 
 
+def test_minplus_meets_by_tiles_whatever_the_keys(spark, monkeypatch):
+    rng = random.Random(8)
+    cells = [[(rng.randrange(40) * 1000 - 7, rng.randrange(40) * 1000 - 7, rng.randrange(-20, 50)) for _ in range(300)] for _ in range(2)]
+    want: dict = {}
+    for i, k, d in cells[0]:
+        for l, j, e in cells[1]:
+            if k == l:
+                want[i, j] = min(want.get((i, j), 1 << 40), d + e)
+    a, b = (spark.createDataFrame(c, "i long, j long, d long") for c in cells)
+    done = graph.minplus(a, b, 16)
+    assert {(r.i, r.j): r.d for r in done.collect()} == want and done.count() == len(want)
+    dense = [spark.range(200 * 200).selectExpr(f"id % 200 AS {x}", f"id div 200 AS {y}", "id % 17 AS d") for x, y in (("i", "j"), ("j", "i"))]
+    met = []
+    monkeypatch.setattr(graph, "cut", lambda df: met.append(cut(df)) or met[-1])
+    assert graph.minplus(*dense).count() == 200 * 200 and met[0].count() == 1  # one tile, no row for each path
+    assert graph.minplus(a.limit(0), b).count() == 0
+
+
 def test_pagerank_sums_to_one_and_converges(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "x")], "src string, dst string")
     pages = spark.createDataFrame([("a",), ("b",), ("c",)], "page string")
