@@ -323,6 +323,21 @@ def test_classifiers_learn(spark):
     assert np.mean([(r.score >= 0.5) == (r.doc_id % 2 == 0) for r in out]) > 0.95
 
 
+def test_toxicity_of_stems_in_new_forms_among_rare_words(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = lambda n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n))
+    form = lambda: "Lowei" + "".join(rng.choices(letters, k=5))
+    y = np.array([float(k % 5 == 0) for k in range(600)])
+    texts = [f"{rare(400)}. {rare(5)} {form() if toxic else rare(1)} {rare(5)}. {rare(400)}" for toxic in y]
+    model = toxicity.fit(texts[:400], y[:400])
+    rows = sorted(toxicity.score(spark.createDataFrame(list(enumerate(texts[400:])), "doc_id long, text string"), model).collect())
+    got = np.array([r.score >= 0.3 for r in rows])
+    assert got[y[400:] > 0].mean() > 0.95 and (~got[y[400:] == 0]).mean() > 0.95
+    spans = [texts[400 + r.doc_id][s.start : s.end] for r in rows if y[400 + r.doc_id] for s in r.sentences]
+    assert sum("Lowei" in s for s in spans) >= 0.95 * len(spans) > 0
+
+
 def test_languages(spark):
     rng = random.Random(10)
     pool = {"aa": ["tion", "ing", "the"], "bb": ["keit", "ung", "der"]}
