@@ -51,7 +51,8 @@ _END, _ESCAPE = 0, 1  # symbols
 _BEFORE = np.uint64(0x51)  # stands for the words before a text
 _CHUNK, _TOKENS_AT_ONCE = 1 << 19, 1 << 14
 _PACK = 14  # slots that travel as one block, as a power of two
-_FLUSH = 1 << 27
+#: Bytes of text that a task counts before it sends its tables, and followers that it holds before it sends them.
+_FLUSH, _FOLLOWERS = 1 << 27, 1 << 21
 _U, _W = np.uint64, np.uint32
 
 
@@ -336,8 +337,8 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
     """(block, every, rest) of docs (text, apart): counts become values, and followers the slots that hold them.
 
     rest leaves out what ``apart`` texts count.  A task counts into whole
-    tables, sorts what followed, and sends one compressed row for each block
-    that it touched; rows are added up by block, so the result is the same
+    tables, sorts what followed, some at a time, and sends one compressed row
+    for each block that it touched; rows are added up by block, so the result is the same
     however the texts are dealt out.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -349,25 +350,30 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
         after: dict[int, list[np.ndarray]] = {0: [], 1: []}
         size = 0
 
-        def rows():
+        def tables_():
             for part, tables in seen.items():
                 for start, bits, table in zip(_STARTS.tolist(), _TABLES, tables):
                     blocks = table.reshape(-1, 2 << min(bits, _PACK))
                     for i in np.flatnonzero(blocks.any(axis=1)).tolist():
                         yield start + i, part, blocks.shape[1], b"", _squeeze(blocks[i])
                     table[:] = 0
-            for part, keys in after.items():
-                if keys:
-                    key, times = np.unique(np.concatenate(keys), return_counts=True)
-                    block = (key >> _U(26 + _PACK)).astype(np.int64)
-                    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() + [len(key)]
-                    for a, b in zip(cuts, cuts[1:]):
-                        packed = np.diff(key[a:b], prepend=_U(block[a]) << _U(26 + _PACK))
-                        yield int(block[a] + _STARTS[-1]), part, b - a, _squeeze(packed), _squeeze(np.minimum(times[a:b], 0xFFFF).astype(np.uint16))
-                after[part] = []
-
-        def out():
-            made = rows()
+
+        def followers(part):
+            if not after[part]:
+                return
+            keys = np.concatenate(after[part])
+            after[part] = []
+            keys.sort()
+            new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            key, times = keys[new], np.diff(np.append(new, len(keys))).astype(np.uint32)
+            del keys, new
+            block = (key >> _U(26 + _PACK)).astype(np.int64)
+            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() + [len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                packed = np.diff(key[a:b], prepend=_U(block[a]) << _U(26 + _PACK))
+                yield int(block[a] + _STARTS[-1]), part, b - a, _squeeze(packed), _squeeze(times[a:b])
+
+        def out(made):
             while found := list(itertools.islice(made, 64)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
@@ -392,14 +398,16 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
                             np.add.at(table, _slots(c[at], bits, node) * 2 + bit, _W(1))
                     for hashes in t.runs:
                         after[part].append((hashes >> _U(64 - model.run_bits) << _U(26)) | ((hashes & _U(0xFF)) << _U(18)) | t.symbol.astype(np.uint64))
+                    if sum(len(k) for k in after[part]) >= _FOLLOWERS:
+                        yield from out(followers(part))
                     size += len(data)
             if size > _FLUSH:
-                yield from out()
+                yield from out(tables_())
                 size = 0
-        yield from out()
+        yield from out(itertools.chain(tables_(), followers(0), followers(1)))
 
     def add(batches):
-        now, sums = None, {}
+        now, sums, fresh = None, {}, {}
         schema = pa.schema([("block", pa.int64()), ("every", pa.binary()), ("rest", pa.binary())])
 
         def finished():
@@ -415,15 +423,16 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
                 if block != now:
                     if now is not None:
                         yield finished()
-                    now, sums = block, {}
+                    now, sums, fresh = block, {}, {}
                 if block < _STARTS[-1]:
                     sums[part] = sums.get(part, 0) + _unsqueeze(raw, np.uint32, n).astype(np.int64)
                 else:
                     held = sums.setdefault(part, [])
                     base = _U(block - int(_STARTS[-1])) << _U(26 + _PACK)
-                    held.append((np.cumsum(_unsqueeze(keys, np.uint64, n)) + base, _unsqueeze(raw, np.uint16, n).astype(np.int64)))
-                    if len(held) > 1 and sum(len(k) for k, _ in held[1:]) > max(1 << 20, len(held[0][0])):
-                        sums[part] = [_merged(held)]
+                    held.append((np.cumsum(_unsqueeze(keys, np.uint64, n)) + base, _unsqueeze(raw, np.uint32, n).astype(np.int64)))
+                    fresh[part] = fresh.get(part, 0) + n  # since the last merge
+                    if len(held) > 1 and fresh[part] > max(1 << 20, len(held[0][0])):
+                        sums[part], fresh[part] = [_merged(held)], 0
         if now is not None:
             yield finished()
 

@@ -282,6 +282,23 @@ def test_lm_counts_are_the_same_however_dealt(spark):
     assert (every == again).all() and (again == same).all() and (rest == without).all() and (every != rest).any()
 
 
+@pytest.mark.parametrize("often", [4, 6])
+def test_lm_followers_are_sent_in_parts_and_counted_whole(spark, monkeypatch, often):
+    vocabulary = np.unique(tk.word_hashes(*tk.string_buffers(pa.array([f"w{k}" for k in range(0, 20, 2)])))[0])
+    first = np.arange(len(vocabulary) + 2) + 1
+    model = lm_scoring.Model(vocabulary, lm_scoring._kinds(first), lm_scoring.Code(first), lm_scoring.Code(np.ones(256)), None, 14, [], None)
+    # w2 is followed more than 2^16 times by either word, a little more by one
+    docs = spark.createDataFrame([(f"w2 w{k} " * (6700 if k == often else 6600), False) for k in (4, 6) for _ in range(10)], "text string, apart boolean")
+
+    def followers(rows):
+        return lm_scoring.collect_tables(lm_scoring.count_contexts(rows, model), 14)[0][1]
+
+    whole = followers(docs.coalesce(1))
+    assert (whole == followers(docs.repartition(20))).all()
+    monkeypatch.setattr(lm_scoring, "_FOLLOWERS", 30_000)
+    assert (whole == followers(docs.coalesce(1))).all()
+
+
 def test_lm_codes_and_probabilities(spark):
     counts = np.random.default_rng(5).integers(1, 1000, 300)
     code = lm_scoring.Code(counts)
