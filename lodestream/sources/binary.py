@@ -1,12 +1,14 @@
 """Binary formats: float32 vectors, edge lists, BMP and PNG images; their readers and writers.
 
 Readers go through Spark's binaryFile source, so any store that Spark reads
-will do.  Vectors, matrices and edge lists are encoded on the executors, and the
+will do; of vectors and edge lists on a local or shared disk each task reads a
+range.  Vectors, matrices and edge lists are encoded on the executors, and the
 driver writes their bytes part by part; images are encoded on the driver.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -35,6 +37,39 @@ def _read(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
+def _on_disk(spark: SparkSession, path: str) -> str | None:
+    """The path as Python opens it, if Spark too takes it for one file of a disk."""
+    scheme = path.partition(":/")[0] if ":/" in path else spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:").partition(":")[0]
+    place = path.removeprefix("file://").removeprefix("file:")
+    return place if scheme == "file" and os.path.isfile(place) else None
+
+
+def _read_items(spark: SparkSession, path: str, width: int, head: int, count: Callable[[bytes, int], int], frame: Callable[[int, bytes], pd.DataFrame], schema: str) -> DataFrame:
+    """The frames of a file's items of so many bytes behind a head; count tells their number by the head and the file's size, and refuses short files."""
+    place = _on_disk(spark, path)
+    if place is None:
+
+        def decode(raw: bytes) -> Iterator[pd.DataFrame]:
+            n = count(bytes(raw[:head]), len(raw))
+            for at in range(0, n, FRAME):
+                yield frame(at, raw[head + at * width : head + min(at + FRAME, n) * width])
+
+        return _read(spark, path, decode, schema)
+    size = os.path.getsize(place)
+    starts = range(0, max(1, (size - head) // width), PART)  # one at least, that refuses a short file
+
+    def run(batches):
+        for batch in batches:
+            for start in batch["id"].tolist():
+                with open(place, "rb") as file:
+                    end = min(start + PART, count(file.read(head), size))
+                    for at in range(start, end, FRAME):
+                        file.seek(head + at * width)
+                        yield frame(at, file.read((min(at + FRAME, end) - at) * width))
+
+    return spark.range(0, starts.stop, PART, len(starts)).mapInPandas(run, schema)
+
+
 def _write(rows: DataFrame, order: list[str], values: list[str], kind: str, path: str, head: Callable[[int], bytes] = lambda n: b"") -> None:
     """One file of the values by order, behind a head made of their rows' number.
 
@@ -60,12 +95,16 @@ def _write(rows: DataFrame, order: list[str], values: list[str], kind: str, path
 def scan_f32(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """(pos, x); a file shorter than n is refused."""
 
-    def decode(raw: bytes) -> Iterator[pd.DataFrame]:
-        x = np.frombuffer(raw, "<f4", len(raw) // 4 if n is None else n)
-        for at in range(0, max(1, len(x)), FRAME):
-            yield pd.DataFrame({"pos": np.arange(at, min(at + FRAME, len(x))), "x": x[at : at + FRAME]})
+    def count(_: bytes, size: int) -> int:
+        if n is not None and size < 4 * n:
+            raise ValueError(f"{size} bytes hold no {n} floats")
+        return size // 4 if n is None else n
 
-    return _read(spark, path, decode, "pos long, x float")
+    def frame(at: int, raw: bytes) -> pd.DataFrame:
+        x = np.frombuffer(raw, "<f4")
+        return pd.DataFrame({"pos": np.arange(at, at + len(x)), "x": x})
+
+    return _read_items(spark, path, 4, 0, count, frame, "pos long, x float")
 
 
 def sink_f32(rows: DataFrame, path: str, value: str = "x") -> None:
@@ -75,14 +114,17 @@ def sink_f32(rows: DataFrame, path: str, value: str = "x") -> None:
 def scan_edges(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst, w, ord) after a header of V and E."""
 
-    def decode(raw: bytes) -> Iterator[pd.DataFrame]:
-        e = struct.unpack_from("<ii", raw)[1]
-        edges = np.frombuffer(raw, "<i4", 3 * e, 8).reshape(e, 3)
-        for at in range(0, max(1, e), FRAME):
-            rows = edges[at : at + FRAME]
-            yield pd.DataFrame({"src": rows[:, 0], "dst": rows[:, 1], "w": rows[:, 2], "ord": np.arange(at, at + len(rows))})
+    def count(head: bytes, size: int) -> int:
+        e = struct.unpack("<ii", head)[1]
+        if size < 8 + 12 * e:
+            raise ValueError(f"{size} bytes hold no {e} edges")
+        return e
+
+    def frame(at: int, raw: bytes) -> pd.DataFrame:
+        rows = np.frombuffer(raw, "<i4").reshape(-1, 3)
+        return pd.DataFrame({"src": rows[:, 0], "dst": rows[:, 1], "w": rows[:, 2], "ord": np.arange(at, at + len(rows))})
 
-    return _read(spark, path, decode, "src int, dst int, w int, ord long")
+    return _read_items(spark, path, 12, 8, count, frame, "src int, dst int, w int, ord long")
 
 
 def edge_header(spark: SparkSession, path: str) -> tuple[int, int]:

@@ -131,6 +131,28 @@ def test_files_are_written_and_read_in_parts(spark, tmp_path, monkeypatch):
     assert binary.scan_f32(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_ranges_of_a_file_are_read_by_different_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "PART", 100)
+    monkeypatch.setattr(binary, "FRAME", 64)
+    edges = spark.range(300).selectExpr("cast(id AS int) AS src", "cast(id + 1 AS int) AS dst", "7 AS w", "id AS ord")
+    path = str(tmp_path / "g")
+    binary.sink_edges(edges, 301, path)
+    want = [(k, k + 1, 7, k) for k in range(300)]
+    for name in (path, f"file://{path}", f"file:{path}"):
+        rows = binary.scan_edges(spark, name)
+        assert rows.rdd.glom().map(len).collect() == [100, 100, 100]
+        assert sorted(tuple(r) for r in rows.collect()) == want
+    # what isn't one file of a disk goes through Spark's source, whole
+    assert sorted(tuple(r) for r in binary.scan_edges(spark, f"{path}*").collect()) == want
+    np.arange(250, dtype="<f4").tofile(tmp_path / "x")
+    for name in ("x", "x*"):
+        path = str(tmp_path / name)
+        assert sorted((r.pos, r.x) for r in binary.scan_f32(spark, path).collect()) == [(k, float(k)) for k in range(250)]
+        assert binary.scan_f32(spark, path, 120).count() == 120
+        with pytest.raises(Exception, match="hold no 251 floats"):
+            binary.scan_f32(spark, path, 251).count()
+
+
 def test_text_and_matrix_files(spark, tmp_path):
     binary.sink_partition_map(spark.createDataFrame([(2, 1), (0, 5), (1, 7)], "v int, part int"), str(tmp_path / "m"))
     assert [r.value for r in binary.scan_lines(spark, str(tmp_path / "m")).collect()] == ["5", "7", "1"]
