@@ -43,17 +43,23 @@ FIRST_BLOCK, LAST_BLOCK = 32, 2048
 #: A gate's weights move by its gradient over its bits and so many more.
 INERTIA = 300.0
 KINDS = 4
+_ROW = np.dtype(np.complex128)  # as wide as the weights of a gate, which are read at once
 _SYMBOL_GATES, _BYTE_GATES = 8 * 4 * 4 * 2, 8 * 4 * 4
 GATES = _SYMBOL_GATES + _BYTE_GATES
 #: Weights before any are fitted, and those that the fit is drawn to.
 _START = np.array([[0.5, 0.3, 0.6, 0.5]] * _SYMBOL_GATES + [[0.2, 0.2, 0.3, 0.5]] * _BYTE_GATES, np.float32)
 _END, _ESCAPE = 0, 1  # symbols
 _BEFORE = np.uint64(0x51)  # stands for the words before a text
-_CHUNK, _TOKENS_AT_ONCE = 1 << 19, 1 << 14
+_BEFORE_WORD = np.array([0xFFFFFF, 0xFFFF00, 0xFF0000, 0], np.uint32)  # and for the bytes before a word
+_LIKELY_BITS = 20
+_CHUNK, _SCORED, _TOKENS_AT_ONCE = 1 << 19, 1 << 20, 1 << 15
 _PACK = 14  # slots that travel as one block, as a power of two
 #: Bytes of text that a task counts before it sends its tables, and followers that it holds before it sends them.
 _FLUSH, _FOLLOWERS = 1 << 27, 1 << 21
 _U, _W = np.uint64, np.uint32
+#: What a follower that came so often speaks with, and how well it is known.
+_STRENGTH = np.where(np.arange(64) > 0, np.log(2.0 * np.arange(64) + 1) + 1, 0).astype(np.float32)
+_KNOWN = (np.arange(64)[:, None] > [0, 1, 3]).sum(axis=1)
 
 
 def huffman_lengths(counts: np.ndarray) -> np.ndarray:
@@ -85,6 +91,24 @@ class Code:
         kind = np.int32 if self.deepest <= 30 else np.int64
         self.code, self.length = np.zeros(len(counts), kind), length.astype(kind)
         self.code[order] = start >> (length.max() - length[order])
+        self.left = self.code << (self.deepest - self.length)  # a symbol's bits, from the deepest place on
+
+    def by_length(self, symbol: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """An order of some symbols, longest codes first, and for each place how many have a bit there."""
+        length = self.length[symbol]
+        have = np.cumsum(np.bincount(length, minlength=self.deepest + 1)[::-1])[::-1]
+        return np.argsort((self.deepest - length).astype(np.uint8), kind="stable"), have[1:][have[1:] > 0].tolist()
+
+    def nodes_at(self, left: np.ndarray, place: int) -> np.ndarray:
+        """The nodes from which the bits at one place go."""
+        return left >> (self.deepest - place) | self.code.dtype.type(1 << place)
+
+    def signs_at(self, left: np.ndarray, place: int) -> np.ndarray:
+        """1 / 2048 for each bit set at one place, else -1 / 2048."""
+        sign = (left >> (self.deepest - place - 1) & 1).astype(np.float32)
+        sign *= np.float32(1 / 1024)
+        sign -= np.float32(1 / 2048)
+        return sign
 
     def node_values(self, counts: np.ndarray) -> np.ndarray:
         """(symbols, places): the stretched probability of each node on each symbol's path, that the bit is the symbol's."""
@@ -102,9 +126,12 @@ class Code:
 
 
 def _slots(context: np.ndarray, bits: int, node: np.ndarray) -> np.ndarray:
-    mixed = (context ^ (node.astype(_W) * _W(0x9E3779B1))) * _W(0x85EBCA6B)
-    mixed ^= mixed >> _W(15)
-    return (mixed * _W(0xC2B2AE35) >> _W(32 - bits)).astype(np.int64)
+    """The slots of nodes in a context, which is a mixed hash: one of its own for each node, as it is turned by it."""
+    mixed = node.astype(_W)
+    mixed *= _W(0x9E3779B1)
+    mixed += context
+    mixed >>= _W(32 - bits)
+    return mixed.astype(np.int64)
 
 
 def _values(counts: np.ndarray) -> np.ndarray:
@@ -119,21 +146,40 @@ def _values(counts: np.ndarray) -> np.ndarray:
     return (value & ~np.int16(3)) | ((n > 0).astype(np.int16) + (n >= 3) + (n >= 24))
 
 
+class Words:
+    """The symbols behind the end and the escape: words by their hashes, ascending, and a table by the first bits of a hash of one word that it may be."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.likely = hashes, np.zeros(1 << _LIKELY_BITS, np.int32)
+        self.likely[(hashes >> _U(64 - _LIKELY_BITS)).astype(np.int64)] = np.arange(len(hashes))
+
+    def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), _ESCAPE)
+        found = np.take(self.likely, (hashes >> _U(64 - _LIKELY_BITS)).astype(np.int64)).astype(np.int64)
+        other = np.flatnonzero(np.take(self.hashes, found) != hashes)
+        place = np.minimum(np.searchsorted(self.hashes, hashes[other]), len(self.hashes) - 1)
+        found += 2
+        found[other] = np.where(self.hashes[place] == hashes[other], place + 2, _ESCAPE)
+        return found
+
+
 class Tokens:
     """The tokens of some texts: symbols, contexts, and where the words are."""
 
-    def __init__(self, words: np.ndarray, kind: np.ndarray, data: np.ndarray, offsets: np.ndarray):
-        """words: the hashes, ascending, of the symbols behind the end and the escape; kind: 0 rare, 1 common, 2 a context of its own."""
+    def __init__(self, words: Words, kind: np.ndarray, data: np.ndarray, offsets: np.ndarray):
+        """kind: 0 rare, 1 common, 2 a context of its own."""
         self.data = tk.LOWER[data]
-        hashes, starts, ends, first = tk.word_hashes(self.data, offsets)
+        self.sums = tk.prefix_sums(self.data)
+        starts, ends, first = tk.spans(tk.NOT_SPACE[data], offsets)
+        hashes = tk.substring_hash(self.sums, starts, ends)
         n, texts = len(hashes), len(offsets) - 1
         self.first = first + np.arange(texts + 1)
         self.text = tk.rows_of(self.first)
-        at = np.arange(n) + tk.rows_of(first)  # the words' places among the tokens
+        self.words, self.word_text = hashes, tk.rows_of(first)
+        self.word_at = at = np.arange(n) + self.word_text  # the words' places among the tokens
         self.symbol = np.zeros(n + texts, np.int64)
-        found = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
-        known = words[found] == hashes if len(words) else np.zeros(n, bool)
-        self.symbol[at] = np.where(known, found + 2, _ESCAPE)
+        self.symbol[at] = words.symbols(hashes)
         self.place = np.arange(n + texts) - self.first[:-1][self.text]
         own = np.zeros(n + texts, np.uint64)
         own[at] = hashes
@@ -149,27 +195,24 @@ class Tokens:
         self.runs = [tk.mix(last * _U(0xA0761D6478BD642F) + before), tk.mix(last + _U(0x2545F4914F6CDD1D))]
         self.starts, self.ends = np.zeros(n + texts, np.int64), np.zeros(n + texts, np.int64)
         self.starts[at], self.ends[at] = starts, ends
-        self.sums = tk.prefix_sums(self.data)
         self.rare = kind[self.symbol] == 0
+        # for each byte, and the place behind the last, the three before it, the nearest one lowest
+        wide = np.concatenate([np.zeros(3, np.uint8), self.data]).astype(_W)
+        self.past = wide[2:] | wide[1:-1] << _W(8) | wide[:-2] << _W(16)
 
     def spelt(self, tokens: np.ndarray):
         """(token's index in tokens, byte, four contexts) of the bytes of some words and the space behind each."""
-        size = self.ends[tokens] - self.starts[tokens] + 1
+        start, size = self.starts[tokens], self.ends[tokens] - self.starts[tokens] + 1
         who = np.repeat(np.arange(len(tokens)), size)
-        place = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size)
-        start = self.starts[tokens][who]
-        at = start + place
-        data = np.append(self.data, 0x20).astype(np.uint8)
-        byte = np.where(place == size[who] - 1, np.uint8(0x20), data[np.minimum(at, len(self.data))])
-        past = np.zeros(len(who), _W)
-        held = []
-        for k in range(1, 4):
-            back = np.where(place >= k, data[np.maximum(at - k, 0)], 0xFF).astype(_W)
-            past |= back << _W(8 * (k - 1))
-            held.append(past.copy())
-        so_far = tk.substring_hash(self.sums, start, np.minimum(at, len(self.data)))
-        contexts = [np.zeros(len(who), np.uint64), held[1].astype(np.uint64), held[2].astype(np.uint64) + (_U(1) << _U(40)), so_far]
-        return who, byte, [(tk.mix(x) >> _U(32)).astype(_W) for x in contexts]
+        last = np.cumsum(size)
+        place = np.arange(len(who)) - (last - size)[who]
+        at = start[who] + place
+        byte = np.take(self.data, at, mode="clip") if len(self.data) else np.zeros(0, np.uint8)
+        byte[last - 1] = 0x20
+        past = self.past[at] | _BEFORE_WORD[np.minimum(place, 3)]
+        so_far = tk.substring_hash(self.sums, start[who], at)
+        contexts = [(past & _W(0xFFFF)).astype(np.uint64), past.astype(np.uint64) + (_U(1) << _U(40)), so_far]
+        return who, byte, [np.zeros(len(who), _W), *((tk.mix(x) >> _U(32)).astype(_W) for x in contexts)]
 
 
 def _kinds(counts: np.ndarray) -> np.ndarray:
@@ -192,101 +235,163 @@ def _paths(code: Code, symbol: np.ndarray):
     return at, place, path >> 1 | np.left_shift(code.code.dtype.type(1), place, dtype=code.code.dtype), path & 1
 
 
+def _whole_texts(text: np.ndarray, at: np.ndarray):
+    """Some tokens, in the order of their texts, in parts of about _TOKENS_AT_ONCE; a text's lie in one part, so that its cost doesn't depend on others."""
+    new = np.flatnonzero(np.append(True, text[at][1:] != text[at][:-1])) if len(at) else np.zeros(0, np.int64)
+    cuts = np.unique(new[np.searchsorted(new, np.arange(0, len(at), _TOKENS_AT_ONCE), "right") - 1])
+    yield from np.split(at, cuts[1:])
+
+
 class Model:
     """All that a text is scored with."""
 
     def __init__(self, words, kind, code: Code, byte_code: Code, nodes: np.ndarray, run_bits: int, tables: list[np.ndarray], runs: np.ndarray, weights: np.ndarray = _START):
-        self.words, self.kind, self.code, self.byte_code, self.nodes = words, kind, code, byte_code, nodes
+        """words: their hashes, ascending; nodes: the values of the code's nodes, (places, symbols)."""
+        self.words, self.kind, self.code, self.byte_code, self.nodes = Words(words), kind, code, byte_code, nodes
         self.run_bits, self.tables, self.runs, self.weights = run_bits, tables, runs, weights
+        # the bytes' values without a context, by place as well
+        self.bytes = [np.take(tables[1], _slots(_W(0), BYTE_BITS[0], byte_code.nodes_at(byte_code.left, k))) for k in range(byte_code.deepest)] if tables else []
 
     def _follower(self, hashes: np.ndarray, symbol: np.ndarray):
         """(places in the code that the symbol shares with the one that most often came after a context, strength, how well it is known)."""
-        found = self.runs[(hashes >> _U(64 - self.run_bits)).astype(np.int64)]
-        times = np.where((found >> _W(18) & _W(0xFF)) == (hashes & _U(0xFF)).astype(_W), found >> _W(26), _W(0)).astype(np.int32)
-        deep = np.int64(self.code.deepest)
-        left = lambda x: self.code.code[x].astype(np.int64) << (deep - self.code.length[x])
+        found = np.take(self.runs, (hashes >> _U(64 - self.run_bits)).astype(np.int64))
+        times = np.where((found >> _W(18) & _W(0xFF)) == (hashes & _U(0xFF)).astype(_W), found >> _W(26), _W(0))
         guess = (found & _W(0x3FFFF)).astype(np.int64)
-        differ = np.frexp((left(guess) ^ left(symbol)).astype(float))[1]  # bits from the first difference on
-        shared = np.where(guess == symbol, deep, deep - differ)
-        return shared.astype(np.int32), np.log(2.0 * times + 1).astype(np.float32) + np.float32(1), (times > 0).astype(np.int32) + (times > 1) + (times > 3)
-
-    def _bits(self, t: Tokens, at: np.ndarray):
-        """(token's index in at, gate, four stretched values) of all bits of some tokens; a value above 0 speaks for the bit."""
-        unit = np.float32(1 / 2048)
-        symbol = t.symbol[at]
-        token, place, node, bit = _paths(self.code, symbol)
-        sign = (2 * bit - 1).astype(np.float32)
-        raw = np.take(self.tables[0], _slots(t.after[at][token], AFTER_BITS, node))
-        st = np.empty((len(token), KINDS), np.float32)
-        st[:, 0] = self.nodes[symbol[token], place] * unit
-        st[:, 1] = raw * (sign * unit)
-        gate = np.minimum(place, 7) * 32 + ((raw & 3) > 1)
-        for k, hashes in enumerate(t.runs):
+        differ = np.frexp((self.code.left[guess] ^ self.code.left[symbol]).astype(float))[1]  # bits from the first difference on
+        shared = np.where(guess == symbol, self.code.deepest, self.code.deepest - differ)
+        return shared.astype(np.int32), _STRENGTH[times], _KNOWN[times]
+
+    def _symbol_bits(self, t: Tokens, at: np.ndarray):
+        """The order of some tokens by length of code, and place by place the (gate, four stretched values) of the first of them, that have a bit there.
+
+        A value above 0 speaks for the bit.  Places come one after the other,
+        so that all that belongs to a token is read in order.
+        """
+        unit, code = np.float32(1 / 2048), self.code
+        order, have = code.by_length(t.symbol[at])
+        at = at[order]
+        symbol, after = t.symbol[at], t.after[at]
+        left = code.left[symbol]
+        gates, values, ends = np.zeros(len(at), np.int64), [], []
+        for hashes, step in zip(t.runs, (8, 2)):
             shared, strength, known = self._follower(hashes[at], symbol)
-            ahead = shared[token] - place
-            known = known[token] * (ahead >= 0)  # behind the first difference it says nothing
-            st[:, 2 + k] = np.where(known > 0, strength[token] * np.where(ahead > 0, 1, -1), 0)
-            gate += known * (8 if k == 0 else 2)
-        spelt = np.flatnonzero(symbol == _ESCAPE)
-        if not len(spelt):
-            return token, gate, st
-        who, byte, contexts = t.spelt(at[spelt])
-        own, place, node, bit = _paths(self.byte_code, byte.astype(np.int64))
-        sign = (2 * bit - 1).astype(np.float32) * unit
-        raw = [np.take(table, _slots(c[own], bits, node)) for table, bits, c in zip(self.tables[1:], BYTE_BITS, contexts)]
-        more = np.stack(raw, axis=1) * sign[:, None]
-        more_gate = _SYMBOL_GATES + (np.minimum(place, 7) * 4 + (raw[2] & 3)) * 4 + (raw[3] & 3)
-        return np.concatenate([token, spelt[who[own]]]), np.concatenate([gate, more_gate]), np.concatenate([st, more])
-
-    def score(self, data: np.ndarray, offsets: np.ndarray, fitted: list | None = None) -> np.ndarray:
+            values.append(strength)
+            known *= step
+            gates += known
+            ends.append((shared, known))
+
+        def places():
+            for place, n in enumerate(have):
+                own = left[:n]
+                sign = code.signs_at(own, place)
+                raw = np.take(self.tables[0], _slots(after[:n], AFTER_BITS, code.nodes_at(own, place)))
+                gate = gates[:n] + 32 * min(place, 7)
+                gate += raw >> 1 & 1
+                past = []
+                for value, (shared, known) in zip(values, ends):
+                    differ = np.flatnonzero(shared[:n] == place)
+                    value[differ] *= -1
+                    past.append((value, known, differ))
+                yield gate, [np.take(self.nodes[place], symbol[:n]) * unit, raw * sign, values[0][:n], values[1][:n]]
+                for value, known, differ in past:  # behind the first difference a follower says nothing
+                    value[differ] = 0
+                    gates[differ] -= known[differ]
+
+        return order, places()
+
+    def _byte_bits(self, t: Tokens, at: np.ndarray):
+        """As _symbol_bits, of the bytes of some spelt words; the order names the bytes' words."""
+        code = self.byte_code
+        who, byte, contexts = t.spelt(at)
+        order, have = code.by_length(byte)
+        byte, contexts = byte[order], [c[order] for c in contexts[1:]]
+        left = code.left[byte]
+
+        def places():
+            for place, n in enumerate(have):
+                own = left[:n]
+                sign = code.signs_at(own, place)
+                node = code.nodes_at(own, place)
+                raw = [np.take(self.bytes[place], byte[:n])]
+                raw += [np.take(table, _slots(c[:n], bits, node)) for table, bits, c in zip(self.tables[2:], BYTE_BITS[1:], contexts)]
+                gate = ((raw[2] & 3) * np.int16(4) + (raw[3] & 3)).astype(np.int64)
+                gate += _SYMBOL_GATES + 16 * min(place, 7)
+                yield gate, [r * sign for r in raw]
+
+        return who[order], places()
+
+    def score(self, t: Tokens, fitted: list | None = None) -> np.ndarray:
         """Cost in bits of each text; with ``fitted``, slopes and curvatures of the gates' weights are put there."""
-        t = Tokens(self.words, self.kind, data, offsets)
-        texts, total = len(offsets) - 1, np.zeros(len(offsets) - 1)
+        texts = len(t.first) - 1
+        total = np.zeros(texts)
         edges, block = [0], FIRST_BLOCK
         while edges[-1] <= (t.place.max() if len(t.place) else -1):
             edges.append(edges[-1] + block)
             block = min(2 * block, LAST_BLOCK)
-        step = (np.searchsorted(edges, t.place, "right") - 1).astype(np.int32)
+        step = (np.searchsorted(edges, t.place, "right") - 1).astype(np.uint16 if len(edges) < 1 << 16 else np.int32)
         order = np.argsort(step, kind="stable")  # by block, then by text
         cuts = np.searchsorted(step[order], np.arange(len(edges)))
         size = np.diff(t.first)  # tokens
-        live = np.broadcast_to(self.weights, (texts, GATES, KINDS))
-        if fitted is None:
-            live = live.copy()
+        live = self.weights if fitted is not None else np.repeat(self.weights[None], texts, axis=0)
         for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             moves = []
-            for low in range(a, b, _TOKENS_AT_ONCE):
-                at = order[low : min(b, low + _TOKENS_AT_ONCE)]
-                token, gate, st = self._bits(t, at)
-                own = t.text[at]
-                new = np.append(True, own[1:] != own[:-1])
-                who, own = own[new], (np.cumsum(new) - 1)[token]
-                w = live[who].reshape(-1, KINDS)
-                cell = own * GATES + gate
-                z = np.einsum("nk,nk->n", st, np.take(w, cell, axis=0))
-                odds = np.exp(np.clip(-z, -14, 14)) + np.float32(1)  # 1 / probability of the bit
-                total[who] += np.bincount(own, np.log2(odds), len(who))
-                if fitted is None:
-                    more = size[who] > edges[k + 1]  # weights of a text that ends here serve no more
-                    if not more.any():
-                        continue
-                    if not more.all():
-                        keep = more[own]
-                        cell, odds, st = cell[keep], odds[keep], st[keep]
-                    err = np.float32(1) - np.float32(1) / odds
-                    grad = np.stack([np.bincount(cell, err * st[:, i], len(w)) for i in range(KINDS)], axis=1)
-                    grad /= (np.bincount(cell, minlength=len(w)) + INERTIA)[:, None]
-                    moves.append((who, grad.reshape(-1, GATES, KINDS)))
-                else:
-                    err = np.float32(1) - np.float32(1) / odds
-                    spread = (odds - 1) / odds**2
-                    sums = [np.bincount(gate, err * st[:, i], GATES) for i in range(KINDS)]
-                    sums += [np.bincount(gate, spread * st[:, i] * st[:, j], GATES) for i in range(KINDS) for j in range(i, KINDS)]
-                    fitted.append(np.stack(sums, axis=1))
+            for at in _whole_texts(t.text, order[a:b]):
+                if fitted is not None:
+                    self._cost(t, at, live, total, fitted)
+                    continue
+                more = size[t.text[at]] > edges[k + 1]  # weights of a text that ends here serve no more
+                if not more.all():
+                    self._cost(t, at[~more], live, total)
+                if more.any():
+                    moves.append(self._cost(t, at[more], live, total, refine=True))
             for who, grad in moves:  # a block is predicted before any of it is learned from
-                live[who] += grad.astype(np.float32)
+                live[who] += grad
         return total
 
+    def _cost(self, t: Tokens, at: np.ndarray, live: np.ndarray, total: np.ndarray, fitted: list | None = None, refine: bool = False):
+        """Adds the costs of some tokens, by text, to total; returns the texts and what to add to their weights, if asked to ``refine`` them."""
+        own = t.text[at]
+        new = np.append(True, own[1:] != own[:-1])
+        who, own = own[new], np.cumsum(new) - 1
+        w = (live if fitted is not None else live[who]).reshape(-1, KINDS).view(_ROW).reshape(-1)
+        parts = [self._symbol_bits(t, at)]
+        spelt = np.flatnonzero(t.symbol[at] == _ESCAPE)
+        if len(spelt):
+            token, places = self._byte_bits(t, at[spelt])
+            parts.append((spelt[token], places))
+        cells, grads, one = [], [], np.float32(1)
+        for token, places in parts:
+            text = own[token]
+            first = text * GATES
+            spent = np.zeros(len(token), np.float32)
+            for gate, st in places:
+                n = len(gate)
+                cell = gate if fitted is not None else np.add(gate, first[:n], out=gate)
+                weights = np.take(w, cell).view(np.float32).reshape(n, KINDS)
+                z = st[0] * weights[:, 0]
+                for i in range(1, KINDS):
+                    z += st[i] * weights[:, i]
+                odds = np.clip(z, -14, 14, out=z)
+                np.exp(np.negative(z, out=z), out=odds)
+                odds += one  # 1 / probability of the bit
+                spent[:n] += np.log2(odds)
+                if refine or fitted is not None:
+                    err = one - one / odds
+                    cells.append(cell)
+                    grads.append([err * x for x in st])
+                    if fitted is not None:
+                        err /= odds
+                        grads[-1] += [x * st[j] for i, x in enumerate([err * x for x in st]) for j in range(i, KINDS)]
+            total[who] += np.bincount(text, spent, len(who))
+        if fitted is not None:
+            fitted.append(np.stack([np.bincount(np.concatenate(cells), np.concatenate(x), GATES) for x in zip(*grads)], axis=1))
+        if refine:
+            cell = np.concatenate(cells)
+            grad, times = np.empty((len(w), KINDS), np.float32), np.bincount(cell, minlength=len(w)) + INERTIA
+            for i, x in enumerate(zip(*grads)):
+                np.divide(np.bincount(cell, np.concatenate(x), len(w)), times, out=grad[:, i], casting="same_kind")
+            return who, grad.reshape(-1, GATES, KINDS)
+
     def fit(self, apart: DataFrame) -> None:
         """First weights: Newton steps over whole texts (text), summed up on the executors."""
         names = [f"s{i}" for i in range(KINDS + KINDS * (KINDS + 1) // 2)]
@@ -297,9 +402,9 @@ class Model:
                 sums = np.zeros((GATES, len(names)))
                 held.value.weights = weights
                 for batch in batches:
-                    for _, _, data, offsets in tk.chunks(batch.column(0), _CHUNK):
+                    for _, _, data, offsets in tk.chunks(batch.column(0), _SCORED):
                         found: list = []
-                        held.value.score(data, offsets, found)
+                        held.value.score(Tokens(held.value.words, held.value.kind, data, offsets), found)
                         sums += sum(found)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES)), *[pa.array(c) for c in sums.T.copy()]], names=["gate", *names])
 
@@ -333,6 +438,19 @@ _TABLES = (AFTER_BITS, *BYTE_BITS)
 _STARTS = np.cumsum([0, *(1 << max(0, bits - _PACK) for bits in _TABLES)])  # in blocks
 
 
+def _count_bits(code: Code, symbol: np.ndarray, contexts: list[np.ndarray], tables: list[np.ndarray], bits: tuple[int, ...]) -> None:
+    """Counts the bits of some symbols in the slots of their contexts."""
+    order, have = code.by_length(symbol)
+    left, contexts = code.left[symbol[order]], [c[order] for c in contexts]
+    for place, n in enumerate(have):
+        node, bit = code.nodes_at(left[:n], place), code.signs_at(left[:n], place) > 0
+        for table, width, c in zip(tables, bits, contexts):
+            slot = _slots(c[:n], width, node)
+            slot <<= 1
+            slot += bit
+            np.add.at(table, slot, _W(1))
+
+
 def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
     """(block, every, rest) of docs (text, apart): counts become values, and followers the slots that hold them.
 
@@ -348,10 +466,14 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
         model = held.value
         seen: dict[int, list[np.ndarray]] = {}
         after: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        bytes_ = np.zeros((2, 256), np.int64)  # of spelt words, which stand for their first table
         size = 0
 
         def tables_():
             for part, tables in seen.items():
+                at, _, node, bit = _paths(model.byte_code, np.arange(256))
+                np.add.at(tables[1], _slots(np.zeros(len(at), _W), BYTE_BITS[0], node) * 2 + bit, bytes_[part][at].astype(_W))
+                bytes_[part] = 0
                 for start, bits, table in zip(_STARTS.tolist(), _TABLES, tables):
                     blocks = table.reshape(-1, 2 << min(bits, _PACK))
                     for i in np.flatnonzero(blocks.any(axis=1)).tolist():
@@ -388,14 +510,12 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
                     tables = seen[part]
                     for low in range(0, len(t.symbol), _TOKENS_AT_ONCE):
                         part_ = slice(low, low + _TOKENS_AT_ONCE)
-                        at, _, node, bit = _paths(model.code, t.symbol[part_])
-                        np.add.at(tables[0], _slots(t.after[part_][at], AFTER_BITS, node) * 2 + bit, _W(1))
+                        _count_bits(model.code, t.symbol[part_], [t.after[part_]], tables[:1], (AFTER_BITS,))
                     rare = np.flatnonzero(t.rare)
                     for low in range(0, len(rare), _TOKENS_AT_ONCE):
                         _, byte, contexts = t.spelt(rare[low : low + _TOKENS_AT_ONCE])
-                        at, _, node, bit = _paths(model.byte_code, byte.astype(np.int64))
-                        for table, bits, c in zip(tables[1:], BYTE_BITS, contexts):
-                            np.add.at(table, _slots(c[at], bits, node) * 2 + bit, _W(1))
+                        _count_bits(model.byte_code, byte, contexts[1:], tables[2:], BYTE_BITS[1:])
+                        bytes_[part] += np.bincount(byte, minlength=256)
                     for hashes in t.runs:
                         after[part].append((hashes >> _U(64 - model.run_bits) << _U(26)) | ((hashes & _U(0xFF)) << _U(18)) | t.symbol.astype(np.uint64))
                     if sum(len(k) for k in after[part]) >= _FOLLOWERS:
@@ -475,12 +595,12 @@ def collect_tables(blocks: DataFrame, run_bits: int) -> list[tuple[list[np.ndarr
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(kind, h, c, r) of docs (text, apart): how often each word, by its 64-bit hash (kind 0), and byte (kind 1) comes in all texts, and in those that aren't apart."""
+    """(kind, h, c, r) of docs (text, apart): how often each word, by its 64-bit hash (kind 0), byte (kind 1) and end (kind 2) comes in all texts, and in those that aren't apart."""
     schema = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("r", pa.int64())])
 
     def run(batches):
         held: list = []
-        bytes_ = np.zeros((2, 256), np.int64)
+        bytes_, texts = np.zeros((2, 256), np.int64), np.zeros((2, 1), np.int64)
 
         def merged():
             h, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
@@ -491,6 +611,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             flags = batch.column(1).to_numpy(zero_copy_only=False)
+            texts += [[len(flags)], [(~flags).sum()]]
             for a, b, data, offsets in tk.chunks(batch.column(0), 1 << 21):
                 data = tk.LOWER[data]
                 words, _, _, first = tk.word_hashes(data, offsets)
@@ -508,10 +629,17 @@ def count_words(docs: DataFrame) -> DataFrame:
             h, c, r = merged()
             yield out(0, h.view(np.int64), c, r)
         yield out(1, np.arange(256), *bytes_)
+        yield out(2, np.zeros(1, np.int64), *texts)
 
     return docs.mapInArrow(run, "kind int, h long, c long, r long").groupBy("kind", "h").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
 
 
+def _in_fewer_tasks(docs: DataFrame) -> DataFrame:
+    """docs in a quarter of their partitions, but two for each core at least: each task that counts sends and costs whole tables."""
+    have = docs.rdd.getNumPartitions()
+    return docs.coalesce(max(have // 4, min(have, 2 * docs.sparkSession.sparkContext.defaultParallelism), 1))
+
+
 def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, train, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row.
 
@@ -529,10 +657,12 @@ def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     # exact copies go the same way, or a text's copy would tell what it holds
     rows = rows.withColumn("apart", F.col("train") & (F.pmod(F.xxhash64("text"), F.lit(FOLD)) == 0))
     learned = rows.filter("train").select("text", "apart")
+    learned = _in_fewer_tasks(learned)
+    apart = materialise(learned.filter("apart").select("text"))
     counts = materialise(count_words(learned))
     vocabulary = counts.filter("kind = 0")
     total, distinct, rest, once = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum("r"), F.lit(0)), F.count_if(F.col("r") == 1)).first()
-    ends, ends_rest = learned.agg(F.count("*"), F.count_if(~F.col("apart"))).first()
+    ends, ends_rest = counts.filter("kind = 2").agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first()
     n_train, n_distinct = total + ends, distinct + (1 if ends else 0)
     hot = vocabulary.filter("r > 0").orderBy(F.desc("r"), "h").limit(SYMBOLS).toPandas()
     hot = hot.assign(u=hot["h"].to_numpy(np.int64).view(np.uint64)).sort_values("u")
@@ -546,9 +676,9 @@ def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     kind = _kinds(first)
     empty = Model(words, kind, code, byte_code, np.zeros((0, 0), np.int16), run_bits, [], np.zeros(0, np.uint32))
     (all_tables, all_runs), (tables, runs) = collect_tables(count_contexts(learned, empty), run_bits)
-    fitted = Model(words, kind, code, byte_code, code.node_values(first), run_bits, tables, runs, _START.copy())
-    fitted.fit(learned.filter("apart").select("text"))
-    model = Model(words, kind, code, byte_code, code.node_values(every), run_bits, all_tables, all_runs, fitted.weights)
+    fitted = Model(words, kind, code, byte_code, np.ascontiguousarray(code.node_values(first).T), run_bits, tables, runs, _START.copy())
+    fitted.fit(apart)
+    model = Model(words, kind, code, byte_code, np.ascontiguousarray(code.node_values(every).T), run_bits, all_tables, all_runs, fitted.weights)
     del tables, runs, fitted
     held = spark.sparkContext.broadcast((model, np.log10(every[2:] + 1.0)))
     schema = pa.schema(
@@ -559,21 +689,23 @@ def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     def run(batches):
         model, hot_logs = held.value
         for batch in batches:
-            for a, b, data, offsets in tk.chunks(batch.column(1), _CHUNK):
-                hashes, starts, stops, first = tk.word_hashes(tk.LOWER[data], offsets)
-                at = np.minimum(np.searchsorted(model.words, hashes), max(len(model.words) - 1, 0))
-                is_hot = model.words[at] == hashes if len(model.words) else np.zeros(len(hashes), bool)
-                logs = np.where(is_hot, hot_logs[at], 0.0) if len(model.words) else np.zeros(len(hashes))
-                rare, times = [], []
-                for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    h, n = np.unique(hashes[p:q][~is_hot[p:q]].view(np.int64), return_counts=True)
-                    rare.append(h)
-                    times.append(n.astype(np.int32))
+            for a, b, data, offsets in tk.chunks(batch.column(1), _SCORED):
+                t = Tokens(model.words, model.kind, data, offsets)
+                symbol = t.symbol[t.word_at]
+                is_hot = symbol != _ESCAPE
+                logs = np.where(is_hot, hot_logs[symbol - 2], 0.0) if len(hot_logs) else np.zeros(len(symbol))
+                first = t.first - np.arange(len(t.first))
                 n_words = np.diff(first)
-                size = tk.segment_sum(stops - starts, first) + np.maximum(n_words, 1)
+                size = tk.segment_sum((t.ends - t.starts)[t.word_at], first) + np.maximum(n_words, 1)
+                h, own = t.words[~is_hot].view(np.int64), t.word_text[~is_hot]
+                sort = np.lexsort((h, own))
+                h, own = h[sort], own[sort]
+                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1]))) if len(h) else np.zeros(0, np.int64)
+                cuts = pa.array(np.searchsorted(own[new], np.arange(len(first))).astype(np.int32))
+                rare, times = (pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (h[new], np.diff(np.append(new, len(h))).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], batch.column(2)[a:b], batch.column(3)[a:b], pa.array(size), pa.array(n_words), pa.array(model.score(data, offsets))]
-                    + [pa.array(tk.segment_sum(is_hot.astype(np.int64), first)), pa.array(tk.segment_sum(logs, first)), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
+                    [batch.column(0)[a:b], batch.column(2)[a:b], batch.column(3)[a:b], pa.array(size), pa.array(n_words), pa.array(model.score(t))]
+                    + [pa.array(tk.segment_sum(is_hot.astype(np.int64), first)), pa.array(tk.segment_sum(logs, first)), rare, times],
                     schema=schema,
                 )
 

@@ -317,6 +317,13 @@ def test_lm_codes_and_probabilities(spark):
     assert all(r.score < 0 for r in rows)
 
 
+def test_lm_a_text_costs_the_same_whatever_it_is_scored_with(spark):
+    rng = random.Random(14)
+    docs = spark.createDataFrame([(k, " ".join(words(rng, 2500 if k % 3 else 1000 + 7 * k, 60 + 20 * k))) for k in range(30)], "doc_id long, text string")
+    together, alone = ({r.doc_id: r.score for r in lm_scores(d, F.col("doc_id") > 0).collect()} for d in (docs.coalesce(1), docs.repartition(30)))
+    assert all(abs(together[k] / alone[k] - 1) < 1e-6 for k in range(30))
+
+
 @pytest.mark.parametrize("sf", ["sf0.01"])
 def test_lm_is_better_than_its_base(spark, sf):
     rows = lm_scores(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), remainder("doc_id", 7) != 2).filter("not train")
