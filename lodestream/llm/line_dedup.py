@@ -67,7 +67,10 @@ def line_words(data: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.
     """
     n = len(data)
     lead = (data & 0xC0) != 0x80
-    wide = data[np.maximum.accumulate(np.where(lead, np.arange(n), 0))] >= 0xE0
+    wide = data >= 0xE0
+    if wide.any():
+        for _ in range(3):  # the bytes behind a first one
+            wide[1:] |= wide[:-1] & ~lead[1:]
     word = tk.NOT_SPACE[data]
     begins = word & lead
     begins[1:] &= ~word[:-1] | wide[1:] | wide[:-1]
@@ -148,8 +151,16 @@ def _lines(short: bool):
             for a, b, data, offsets in tk.chunks(batch.column(2)):
                 starts, ends, first = line_spans(data, offsets)
                 own = tk.rows_of(first)
-                count = np.concatenate([[0], np.cumsum(tk.NOT_SPACE[data])])
-                keep = np.flatnonzero(count[ends] > count[starts] if short else ends - starts >= MIN_BYTES)
+                if short:
+                    # a line is blank if no run that isn't space begins in it
+                    word = np.append(tk.NOT_SPACE[data], False)
+                    begins = word[:-1].copy()
+                    begins[1:] &= ~word[:-2]
+                    begins[starts[starts < len(data)]] = word[starts[starts < len(data)]]
+                    at = np.flatnonzero(begins)
+                    keep = np.flatnonzero(np.searchsorted(at, ends) > np.searchsorted(at, starts))
+                else:
+                    keep = np.flatnonzero(ends - starts >= MIN_BYTES)
                 h, g = (tk.substring_hash(tk.prefix_sums(data, half), starts[keep], ends[keep], half).view(np.int64) for half in (0, 1))
                 doc = pa.array(own[keep] + a)
                 yield pa.RecordBatch.from_arrays(

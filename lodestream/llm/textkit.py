@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+_SUMMED = 1 << 15
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -107,7 +108,13 @@ def prefix_sums(data: np.ndarray, half: int = 0) -> np.ndarray:
     """Sums from which ``substring_hash`` takes the hash of any substring; half 1 is a second, independent hash."""
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(_CODES[half][data] * _power(_BASES[half], len(data)), out=out[1:])
+    powers = _power(_BASES[half], len(data))
+    for a in range(0, len(data), _SUMMED):  # parts that stay in the cache
+        b = min(a + _SUMMED, len(data))
+        part = np.take(_CODES[half], data[a:b])
+        part *= powers[a:b]
+        part[:1] += out[a : a + 1]
+        np.cumsum(part, out=out[a + 1 : b + 1])
     return out
 
 

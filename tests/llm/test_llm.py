@@ -101,6 +101,21 @@ def test_exact_copies_of_short_lines(spark):
     assert {r.doc_id: r.text for r in line_dedup.drop_lines(docs, short=True).collect()}[4] == "}"
 
 
+def test_words_and_blank_lines_against_a_plain_split(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["a", "b", " ", "\n", "\t", "\u00e9", "\u5168", "\U0001f600", "zz z"], k=rng.randint(0, 60))) for _ in range(300)]
+    data, offsets = tk.string_buffers(pa.array(texts))
+    whole = tk.prefix_sums(data)
+    monkeypatch.setattr(tk, "_SUMMED", 100)
+    assert (tk.prefix_sums(data) == whole).all()
+    starts, ends, _ = line_dedup.line_spans(data, offsets)
+    got = np.diff(line_dedup.line_words(data, whole, starts, ends)[1])
+    lines = [x for t in texts for x in t.split("\n")]
+    assert got.tolist() == [len(re.findall(r"[\u0800-\U0010ffff]|[^\s\u0800-\U0010ffff]+", x)) for x in lines]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(range(300)), pa.array(texts)], names=["id", "doc", "text"])
+    assert sum(b.num_rows for b in line_dedup._lines(True)([batch])) == sum(bool(x.strip()) for x in lines)
+
+
 def test_lines_with_edited_words_against_brute_force(spark):
     def split(line):
         out = []
