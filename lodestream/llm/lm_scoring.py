@@ -103,9 +103,12 @@ class Code:
         """The nodes from which the bits at one place go."""
         return left >> (self.deepest - place) | self.code.dtype.type(1 << place)
 
+    def bits_at(self, left: np.ndarray, place: int) -> np.ndarray:
+        return left >> (self.deepest - place - 1) & 1
+
     def signs_at(self, left: np.ndarray, place: int) -> np.ndarray:
         """1 / 2048 for each bit set at one place, else -1 / 2048."""
-        sign = (left >> (self.deepest - place - 1) & 1).astype(np.float32)
+        sign = self.bits_at(left, place).astype(np.float32)
         sign *= np.float32(1 / 1024)
         sign -= np.float32(1 / 2048)
         return sign
@@ -324,6 +327,10 @@ class Model:
         """Cost in bits of each text; with ``fitted``, slopes and curvatures of the gates' weights are put there."""
         texts = len(t.first) - 1
         total = np.zeros(texts)
+        if fitted is not None:  # nothing is refined, so blocks don't matter
+            for at in _whole_texts(t.text, np.arange(len(t.text))):
+                self._cost(t, at, self.weights, total, fitted)
+            return total
         edges, block = [0], FIRST_BLOCK
         while edges[-1] <= (t.place.max() if len(t.place) else -1):
             edges.append(edges[-1] + block)
@@ -332,13 +339,10 @@ class Model:
         order = np.argsort(step, kind="stable")  # by block, then by text
         cuts = np.searchsorted(step[order], np.arange(len(edges)))
         size = np.diff(t.first)  # tokens
-        live = self.weights if fitted is not None else np.repeat(self.weights[None], texts, axis=0)
+        live = np.repeat(self.weights[None], texts, axis=0)
         for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             moves = []
             for at in _whole_texts(t.text, order[a:b]):
-                if fitted is not None:
-                    self._cost(t, at, live, total, fitted)
-                    continue
                 more = size[t.text[at]] > edges[k + 1]  # weights of a text that ends here serve no more
                 if not more.all():
                     self._cost(t, at[~more], live, total)
@@ -378,13 +382,19 @@ class Model:
                 if refine or fitted is not None:
                     err = one - one / odds
                     cells.append(cell)
-                    grads.append([err * x for x in st])
-                    if fitted is not None:
-                        err /= odds
-                        grads[-1] += [x * st[j] for i, x in enumerate([err * x for x in st]) for j in range(i, KINDS)]
+                    grads.append([*(x.copy() for x in st), err, err / odds] if fitted is not None else [err * x for x in st])
             total[who] += np.bincount(text, spent, len(who))
         if fitted is not None:
-            fitted.append(np.stack([np.bincount(np.concatenate(cells), np.concatenate(x), GATES) for x in zip(*grads)], axis=1))
+            cell = np.concatenate(cells).astype(np.uint16)
+            order, bounds = np.argsort(cell, kind="stable"), np.cumsum(np.append(0, np.bincount(cell, minlength=GATES))).tolist()
+            *st, err, spread = (np.concatenate(x)[order] for x in zip(*grads))
+            st = np.stack(st)
+            sums, (i, j) = np.zeros((GATES, KINDS + KINDS * (KINDS + 1) // 2)), np.triu_indices(KINDS)
+            for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                if a < b:
+                    sums[k, :KINDS] = st[:, a:b] @ err[a:b]
+                    sums[k, KINDS:] = ((st[:, a:b] * spread[a:b]) @ st[:, a:b].T)[i, j]
+            fitted.append(sums)
         if refine:
             cell = np.concatenate(cells)
             grad, times = np.empty((len(w), KINDS), np.float32), np.bincount(cell, minlength=len(w)) + INERTIA
@@ -443,7 +453,7 @@ def _count_bits(code: Code, symbol: np.ndarray, contexts: list[np.ndarray], tabl
     order, have = code.by_length(symbol)
     left, contexts = code.left[symbol[order]], [c[order] for c in contexts]
     for place, n in enumerate(have):
-        node, bit = code.nodes_at(left[:n], place), code.signs_at(left[:n], place) > 0
+        node, bit = code.nodes_at(left[:n], place), code.bits_at(left[:n], place)
         for table, width, c in zip(tables, bits, contexts):
             slot = _slots(c[:n], width, node)
             slot <<= 1
@@ -560,10 +570,13 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
     return counted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, every binary, rest binary")
 
 
-def _merged(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and the sums of their times."""
-    key, at = np.unique(np.concatenate([k for k, _ in rows]), return_inverse=True)
-    return key, np.bincount(at, np.concatenate([t for _, t in rows]), len(key)).astype(np.int64)
+def _merged(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the sums of their times; each of rows is ascending."""
+    key, *times = (np.concatenate(x) for x in zip(*rows))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+    return key[new], *(np.add.reduceat(x[order], new) if len(key) else x for x in times)
 
 
 def _best_followers(base: np.uint64, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -602,10 +615,6 @@ def count_words(docs: DataFrame) -> DataFrame:
         held: list = []
         bytes_, texts = np.zeros((2, 256), np.int64), np.zeros((2, 1), np.int64)
 
-        def merged():
-            h, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            return h, *(np.bincount(at, np.concatenate([x[k] for x in held]), len(h)).astype(np.int64) for k in (1, 2))
-
         def out(kind, h, c, r):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(c), pa.array(r)], schema=schema)
 
@@ -615,18 +624,21 @@ def count_words(docs: DataFrame) -> DataFrame:
             for a, b, data, offsets in tk.chunks(batch.column(0), 1 << 21):
                 data = tk.LOWER[data]
                 words, _, _, first = tk.word_hashes(data, offsets)
-                h, at = np.unique(words, return_inverse=True)
                 rest = ~flags[a:b][tk.rows_of(first)]
-                held.append((h, np.bincount(at, minlength=len(h)).astype(np.int64), np.bincount(at, rest, len(h)).astype(np.int64)))
+                for own, counts in ((words[rest], 1), (words[~rest], 0)):
+                    own.sort()
+                    new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))[: len(own)]
+                    times = np.diff(np.append(new, len(own)))
+                    held.append((own[new], times, times * counts))
                 bytes_[0] += np.bincount(data, minlength=256)
                 bytes_[1] += np.bincount(data[~flags[a:b][tk.rows_of(offsets)]], minlength=256)
-            if len(held) > 8:
-                held = [merged()]
+            if len(held) > 16:
+                held = [_merged(held)]
                 if len(held[0][0]) > 2_000_000:
                     yield out(0, held[0][0].view(np.int64), *held[0][1:])
                     held = []
         if held:
-            h, c, r = merged()
+            h, c, r = _merged(held)
             yield out(0, h.view(np.int64), c, r)
         yield out(1, np.arange(256), *bytes_)
         yield out(2, np.zeros(1, np.int64), *texts)
@@ -659,6 +671,9 @@ def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     learned = rows.filter("train").select("text", "apart")
     learned = _in_fewer_tasks(learned)
     apart = materialise(learned.filter("apart").select("text"))
+    # few tasks count the texts that are apart, as each sends tables of its own for them
+    few = apart.coalesce(max(1, apart.rdd.getNumPartitions() // 6)).select("text", F.lit(True).alias("apart"))
+    dealt = learned.filter("not apart").select("text", "apart").unionByName(few)
     counts = materialise(count_words(learned))
     vocabulary = counts.filter("kind = 0")
     total, distinct, rest, once = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum("r"), F.lit(0)), F.count_if(F.col("r") == 1)).first()
@@ -675,7 +690,7 @@ def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     run_bits = int(np.clip(np.round(np.log2(max(1, n_train) / 2)), *RUN_BITS))
     kind = _kinds(first)
     empty = Model(words, kind, code, byte_code, np.zeros((0, 0), np.int16), run_bits, [], np.zeros(0, np.uint32))
-    (all_tables, all_runs), (tables, runs) = collect_tables(count_contexts(learned, empty), run_bits)
+    (all_tables, all_runs), (tables, runs) = collect_tables(count_contexts(dealt, empty), run_bits)
     fitted = Model(words, kind, code, byte_code, np.ascontiguousarray(code.node_values(first).T), run_bits, tables, runs, _START.copy())
     fitted.fit(apart)
     model = Model(words, kind, code, byte_code, np.ascontiguousarray(code.node_values(every).T), run_bits, all_tables, all_runs, fitted.weights)
