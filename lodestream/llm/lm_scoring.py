@@ -52,7 +52,7 @@ _END, _ESCAPE = 0, 1  # symbols
 _BEFORE = np.uint64(0x51)  # stands for the words before a text
 _BEFORE_WORD = np.array([0xFFFFFF, 0xFFFF00, 0xFF0000, 0], np.uint32)  # and for the bytes before a word
 _LIKELY_BITS = 20
-_CHUNK, _SCORED, _TOKENS_AT_ONCE = 1 << 19, 1 << 20, 1 << 15
+_CHUNK, _SCORED, _TOKENS_AT_ONCE = 1 << 19, 1 << 19, 1 << 14
 _PACK = 14  # slots that travel as one block, as a power of two
 #: Bytes of text that a task counts before it sends its tables, and followers that it holds before it sends them.
 _FLUSH, _FOLLOWERS = 1 << 27, 1 << 21
