@@ -4,7 +4,8 @@
 larger end and joins what meets in a partition, until no node has two smaller
 neighbours; what is left is a forest, whose nodes then jump to the root.
 ``ties`` turns buckets (key, side, id) into edges; a bucket that many partitions
-hold is tied inside each of them first, so that one row of each travels.
+hold is tied inside each of them first, so that one row of each travels.  No stage
+has two Python functions, since each would take a worker of its own, that stays.
 ``resolve`` lets a function find the true groups inside each family without any
 table of pairs.  Families above ``block`` members are dealt out as pairs of
 blocks, so that no task holds more than two blocks.  Joins that may have a hot
@@ -33,6 +34,7 @@ _HELD = 1 << 20
 _DROPPED, _REST = np.uint64(13), np.uint64(40)
 _TIED = 1 << 18
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("forks", pa.int64())])
+_STARS = "u long, v long, forks long"
 
 
 def gathered(batches, rows: int = _HELD) -> Iterator[list[np.ndarray]]:
@@ -91,10 +93,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     passes raise a RuntimeError.
     """
     ends = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u is not null and v is not null and u <> v")
-    kind = "u long, v long, forks long"
-    now = ends.mapInArrow(_contract, kind)
+    return _joined(ends.mapInArrow(_contract, _STARS))
+
+
+def _joined(now: DataFrame) -> DataFrame:
+    """The components of edges that each partition has contracted."""
     for _ in range(MAX_ROUNDS):
-        now, forks = materialise_counted(now.repartition("u").mapInArrow(_contract, kind), F.sum("forks"))
+        now, forks = materialise_counted(now.repartition("u").mapInArrow(_contract, _STARS), F.sum("forks"))
         if not forks:
             break
     else:
@@ -206,6 +211,11 @@ def _tie_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(id_[edge]), pa.array(id_[head][edge])], names=["a", "b"])
 
 
+def _ranges(rows: DataFrame, made: Callable | None) -> DataFrame:
+    here = rows.mapInArrow(lambda batches: _packed(_tie_here(made(batches) if made else batches)), "range int, high binary, low binary, ids binary")
+    return here.repartition("range").sortWithinPartitions("range")
+
+
 def ties(rows: DataFrame, made: Callable | None = None) -> DataFrame:
     """Edges (a, b) of rows (key, id), none null: all ids of a bucket that has an id of side 0 hang together.
 
@@ -214,13 +224,13 @@ def ties(rows: DataFrame, made: Callable | None = None) -> DataFrame:
     travel packed by range of keys, and a task holds one range at a time or
     ``_TIED`` rows of small ones.
     """
-    here = rows.mapInArrow(lambda batches: _packed(_tie_here(made(batches) if made else batches)), "range int, high binary, low binary, ids binary")
-    return here.repartition("range").sortWithinPartitions("range").mapInArrow(_tie_rows, "a long, b long")
+    return _ranges(rows, made).mapInArrow(_tie_rows, "a long, b long")
 
 
 def families(rows: DataFrame, made: Callable | None = None) -> DataFrame:
     """(id, family): ids whose rows (see ``ties``) hang together; lone ids are left out."""
-    return components(ties(rows, made)).withColumnRenamed("component", "family")
+    stars = _ranges(rows, made).mapInArrow(lambda batches: _contract(_tie_rows(batches)), _STARS)
+    return _joined(stars).withColumnRenamed("component", "family")
 
 
 def by_group(rows: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, at_once: int = 0) -> DataFrame:
@@ -308,7 +318,7 @@ def resolve(member: DataFrame, payloads: DataFrame, linker: Linker, block: int =
     sizes, any_large = materialise_counted(sizes.filter("blocks > 1"), F.count("*"))
     own = [F.lit(1).alias("side"), F.col("id").alias("label")]
     if not any_large:
-        return components(_linked(member.select("id", "family", F.lit(0).cast("long").alias("block"), *own), ["family", "block"], payloads, linker))
+        return components(materialise(_linked(member.select("id", "family", F.lit(0).cast("long").alias("block"), *own), ["family", "block"], payloads, linker)))
     dealt = member.join(sizes.select("family", "blocks"), "family", "left")
     dealt = dealt.select("id", "family", F.coalesce("blocks", F.lit(1)).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     pivots = sizes.select("family", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("id"), F.expr("sequence(0L, blocks - 1)").alias("to"))

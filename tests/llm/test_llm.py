@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from lodestream.llm import clusters, decontamination, labelled, language_id, line_dedup, lm_scoring, mixing, near_duplicates, quality, queries, shared, toxicity
@@ -201,6 +202,32 @@ def test_buckets_travel_in_14_bytes_a_row_and_tie_as_rows_do(spark, monkeypatch)
     assert dict(zip(*(x.tolist() for x in clusters.to_roots(a, b)))) == dict(zip(*(x.tolist() for x in clusters.to_roots(c, d))))
 
 
+def test_no_stage_of_the_pipeline_takes_two_python_workers_a_task(spark, monkeypatch):
+    found = []
+
+    def stacked(node):
+        """The most Python functions in the stage of a plan's node, from the node on."""
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return stacked(node.initialPlan())
+        below = max([stacked(node.children().apply(i)) for i in range(node.children().size())], default=0)
+        return 0 if "Exchange" in node.nodeName() else below + bool(re.search("InArrow|InPandas", node.nodeName()))
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.initialPlan())
+        found.append(stacked(node))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (walk(self._df._jdf.queryExecution().executedPlan()), write(self, *a, **b))[1])
+    rng = random.Random(21)
+    docs = [(k, "\n".join(" ".join(words(rng, 12)) for _ in range(6))) for k in range(20)]
+    docs = spark.createDataFrame(docs + [(100 + k, f"{text} more") for k, text in docs], "doc_id long, text string")
+    assert line_dedup.drop_lines(docs, short=True).count() and near_duplicates.drop_near_duplicates(docs).count() == 20
+    assert max(found) == 1
+
+
 def test_decontamination_finds_edited_items(spark):
     rng = random.Random(5)
     items = [" ".join(words(rng, rng.randint(12, 40), 5000)) for _ in range(10)]
