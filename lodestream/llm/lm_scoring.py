@@ -57,6 +57,8 @@ _PACK = 14  # slots that travel as one block, as a power of two
 #: Bytes of text that a task counts before it sends its tables, and followers that it holds before it sends them.
 _FLUSH, _FOLLOWERS = 1 << 27, 1 << 21
 _U, _W = np.uint64, np.uint32
+#: Bounds of a bit's stretched probability.
+_LEAST, _MOST = np.float32(-14), np.float32(14)
 #: What a follower that came so often speaks with, and how well it is known.
 _STRENGTH = np.where(np.arange(64) > 0, np.log(2.0 * np.arange(64) + 1) + 1, 0).astype(np.float32)
 _KNOWN = (np.arange(64)[:, None] > [0, 1, 3]).sum(axis=1)
@@ -257,7 +259,7 @@ class Model:
 
     def _follower(self, hashes: np.ndarray, symbol: np.ndarray):
         """(places in the code that the symbol shares with the one that most often came after a context, strength, how well it is known)."""
-        found = np.take(self.runs, (hashes >> _U(64 - self.run_bits)).astype(np.int64))
+        found = self.runs.take((hashes >> _U(64 - self.run_bits)).astype(np.int64), mode="wrap")
         times = np.where((found >> _W(18) & _W(0xFF)) == (hashes & _U(0xFF)).astype(_W), found >> _W(26), _W(0))
         guess = (found & _W(0x3FFFF)).astype(np.int64)
         differ = np.frexp((self.code.left[guess] ^ self.code.left[symbol]).astype(float))[1]  # bits from the first difference on
@@ -284,10 +286,11 @@ class Model:
             ends.append((shared, known))
 
         def places():
+            # all that is taken lies inside its table; "wrap" only spares a second look
             for place, n in enumerate(have):
                 own = left[:n]
                 sign = code.signs_at(own, place)
-                raw = np.take(self.tables[0], _slots(after[:n], AFTER_BITS, code.nodes_at(own, place)))
+                raw = self.tables[0].take(_slots(after[:n], AFTER_BITS, code.nodes_at(own, place)), mode="wrap")
                 gate = gates[:n] + 32 * min(place, 7)
                 gate += raw >> 1 & 1
                 past = []
@@ -295,7 +298,7 @@ class Model:
                     differ = np.flatnonzero(shared[:n] == place)
                     value[differ] *= -1
                     past.append((value, known, differ))
-                yield gate, [np.take(self.nodes[place], symbol[:n]) * unit, raw * sign, values[0][:n], values[1][:n]]
+                yield gate, [self.nodes[place].take(symbol[:n], mode="wrap") * unit, raw * sign, values[0][:n], values[1][:n]]
                 for value, known, differ in past:  # behind the first difference a follower says nothing
                     value[differ] = 0
                     gates[differ] -= known[differ]
@@ -315,8 +318,8 @@ class Model:
                 own = left[:n]
                 sign = code.signs_at(own, place)
                 node = code.nodes_at(own, place)
-                raw = [np.take(self.bytes[place], byte[:n])]
-                raw += [np.take(table, _slots(c[:n], bits, node)) for table, bits, c in zip(self.tables[2:], BYTE_BITS[1:], contexts)]
+                raw = [self.bytes[place].take(byte[:n], mode="wrap")]
+                raw += [table.take(_slots(c[:n], bits, node), mode="wrap") for table, bits, c in zip(self.tables[2:], BYTE_BITS[1:], contexts)]
                 gate = ((raw[2] & 3) * np.int16(4) + (raw[3] & 3)).astype(np.int64)
                 gate += _SYMBOL_GATES + 16 * min(place, 7)
                 yield gate, [r * sign for r in raw]
@@ -371,11 +374,11 @@ class Model:
             for gate, st in places:
                 n = len(gate)
                 cell = gate if fitted is not None else np.add(gate, first[:n], out=gate)
-                weights = np.take(w, cell).view(np.float32).reshape(n, KINDS)
+                weights = w.take(cell, mode="wrap").view(np.float32).reshape(n, KINDS)
                 z = st[0] * weights[:, 0]
                 for i in range(1, KINDS):
                     z += st[i] * weights[:, i]
-                odds = np.clip(z, -14, 14, out=z)
+                odds = z.clip(_LEAST, _MOST, out=z)
                 np.exp(np.negative(z, out=z), out=odds)
                 odds += one  # 1 / probability of the bit
                 spent[:n] += np.log2(odds)
@@ -403,9 +406,10 @@ class Model:
             return who, grad.reshape(-1, GATES, KINDS)
 
     def fit(self, apart: DataFrame) -> None:
-        """First weights: Newton steps over whole texts (text), summed up on the executors."""
+        """First weights: Newton steps over whole texts (text), summed up on the executors; the driver keeps no tables."""
         names = [f"s{i}" for i in range(KINDS + KINDS * (KINDS + 1) // 2)]
         held = apart.sparkSession.sparkContext.broadcast(self)
+        self.tables, self.runs = [], None
         for _ in range(FIT_ROUNDS):
 
             def run(batches, weights=self.weights.copy()):
@@ -462,7 +466,7 @@ def _count_bits(code: Code, symbol: np.ndarray, contexts: list[np.ndarray], tabl
 
 
 def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
-    """(block, every, rest) of docs (text, apart): counts become values, and followers the slots that hold them.
+    """(block, every, rest) of docs (text, apart), a written table: counts become values, and followers the slots that hold them.
 
     rest leaves out what ``apart`` texts count.  A task counts into whole
     tables, sorts what followed, some at a time, and sends one compressed row
@@ -545,7 +549,8 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
                 done = [_values(x.reshape(-1, 2)).tobytes() for x in (sum(sums.values()), sums.get(0, 0 * sum(sums.values())))]
             else:
                 base = _U(now - int(_STARTS[-1])) << _U(26 + _PACK)
-                done = [_best_followers(base, [x for part in own for x in sums.get(part, [])]).tobytes() for own in ((0, 1), (0,))]
+                rest = [_merged(sums[0])] if 0 in sums else []
+                done = [_best_followers(base, rows).tobytes() for rows in (rest + sums.get(1, []), rest)]
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array(done[:1], pa.binary()), pa.array(done[1:], pa.binary())], schema=schema)
 
         for batch in batches:
@@ -567,7 +572,9 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
             yield finished()
 
     counted = docs.mapInArrow(count, "block long, part int, n long, keys binary, raw binary")
-    return counted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, every binary, rest binary")
+    done = materialise(counted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, every binary, rest binary"))
+    held.destroy()
+    return done
 
 
 def _merged(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -584,25 +591,30 @@ def _best_followers(base: np.uint64, rows: list[tuple[np.ndarray, np.ndarray]])
     out = np.zeros(1 << _PACK, np.uint32)
     if not rows:
         return out
-    key, times = _merged(rows)
+    key, times = _merged(rows) if len(rows) > 1 else rows[0]
+    if not len(key):
+        return out
+    # keys are in order of their slots; of those that came most often the least one stays
     slot = ((key - base) >> _U(26)).astype(np.int64)
-    order = np.lexsort((-key.view(np.int64), times, slot))
-    best = order[np.flatnonzero(np.append(slot[order][1:] != slot[order][:-1], True))]
+    new = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+    most = np.maximum.reduceat(times, new)
+    often = np.flatnonzero(times == np.repeat(most, np.diff(np.append(new, len(key)))))
+    best = often[np.append(True, slot[often][1:] != slot[often][:-1])]
     out[slot[best]] = (key[best] & _U(0x3FFFFFF)).astype(np.uint32) | (np.minimum(times[best], 63).astype(np.uint32) << _W(26))
     return out
 
 
-def collect_tables(blocks: DataFrame, run_bits: int) -> list[tuple[list[np.ndarray], np.ndarray]]:
-    """The tables of all texts and of those that aren't apart, on the driver: at most those of AFTER_BITS, BYTE_BITS and RUN_BITS."""
-    done = [([np.zeros(1 << bits, np.int16) for bits in _TABLES], np.zeros(1 << run_bits, np.uint32)) for _ in range(2)]
-    for row in materialise(blocks).toLocalIterator():
+def collect_tables(blocks: DataFrame, run_bits: int, names: tuple[str, ...] = ("every", "rest")) -> list[tuple[list[np.ndarray], np.ndarray]]:
+    """The tables of all texts and of those that aren't apart, or of one of them, on the driver: at most those of AFTER_BITS, BYTE_BITS and RUN_BITS."""
+    done = [([np.zeros(1 << bits, np.int16) for bits in _TABLES], np.zeros(1 << run_bits, np.uint32)) for _ in names]
+    for row in blocks.select("block", *names).toLocalIterator():
         for (tables, runs), raw in zip(done, row[1:]):
             if row["block"] >= _STARTS[-1]:
                 at = (row["block"] - int(_STARTS[-1])) << _PACK
-                runs[at : at + (1 << _PACK)] = np.frombuffer(bytes(raw), np.uint32)
+                runs[at : at + (1 << _PACK)] = np.frombuffer(raw, np.uint32)
             else:
                 k = int(np.searchsorted(_STARTS, row["block"], "right")) - 1
-                at, values = (row["block"] - int(_STARTS[k])) << _PACK, np.frombuffer(bytes(raw), np.int16)
+                at, values = (row["block"] - int(_STARTS[k])) << _PACK, np.frombuffer(raw, np.int16)
                 tables[k][at : at + len(values)] = values
     return done
 
@@ -690,12 +702,16 @@ def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     run_bits = int(np.clip(np.round(np.log2(max(1, n_train) / 2)), *RUN_BITS))
     kind = _kinds(first)
     empty = Model(words, kind, code, byte_code, np.zeros((0, 0), np.int16), run_bits, [], np.zeros(0, np.uint32))
-    (all_tables, all_runs), (tables, runs) = collect_tables(count_contexts(dealt, empty), run_bits)
-    fitted = Model(words, kind, code, byte_code, np.ascontiguousarray(code.node_values(first).T), run_bits, tables, runs, _START.copy())
+    blocks = count_contexts(dealt, empty)
+
+    def built(own: str, counts: np.ndarray, weights: np.ndarray) -> Model:
+        # the driver holds one of the two models at a time
+        ((tables, runs),) = collect_tables(blocks, run_bits, (own,))
+        return Model(words, kind, code, byte_code, np.ascontiguousarray(code.node_values(counts).T), run_bits, tables, runs, weights)
+
+    fitted = built("rest", first, _START.copy())
     fitted.fit(apart)
-    model = Model(words, kind, code, byte_code, np.ascontiguousarray(code.node_values(every).T), run_bits, all_tables, all_runs, fitted.weights)
-    del tables, runs, fitted
-    held = spark.sparkContext.broadcast((model, np.log10(every[2:] + 1.0)))
+    held = spark.sparkContext.broadcast((built("every", every, fitted.weights), np.log10(every[2:] + 1.0)))
     schema = pa.schema(
         [("id", pa.int64()), ("train", pa.bool_()), ("rid", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64()), ("bits", pa.float64())]
         + [("known", pa.int64()), ("logs", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
@@ -726,6 +742,7 @@ def lm_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
 
     columns = "id long, train boolean, rid long, n_bytes long, n_words long, bits double, known long, logs double, rare array<long>, times array<int>"
     scored = materialise(rows.select("id", "text", "train", F.monotonically_increasing_id().alias("rid")).mapInArrow(run, columns))
+    held.destroy()
     rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("rid", F.col("w.rare").alias("h"), F.col("w.times").alias("n"))
     found = rare.join(vocabulary, "h").groupBy("rid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
     end = float(np.log10(ends + 1.0))

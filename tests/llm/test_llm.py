@@ -2,6 +2,7 @@ import os
 import random
 import re
 import shutil
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -359,6 +360,18 @@ def test_lm_codes_and_probabilities(spark):
     assert all(r.score < 0 for r in rows)
 
 
+def test_lm_the_driver_holds_one_model_at_a_time(spark):
+    rng = random.Random(22)
+    docs = spark.createDataFrame([(k, " ".join(words(rng, 200, 60))) for k in range(40)], "doc_id long, text string")
+    one = sum(2 << bits for bits in lm_scoring._TABLES) + (4 << lm_scoring.RUN_BITS[0])
+    tracemalloc.start()
+    try:
+        assert lm_scores(docs, F.col("doc_id") > 3).count() == 40
+        assert tracemalloc.get_traced_memory()[1] < 1.5 * one
+    finally:
+        tracemalloc.stop()
+
+
 def test_lm_a_text_costs_the_same_whatever_it_is_scored_with(spark):
     rng = random.Random(14)
     docs = spark.createDataFrame([(k, " ".join(words(rng, 2500 if k % 3 else 1000 + 7 * k, 60 + 20 * k))) for k in range(30)], "doc_id long, text string")
