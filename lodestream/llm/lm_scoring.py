@@ -59,6 +59,8 @@ _FLUSH, _FOLLOWERS = 1 << 27, 1 << 21
 _U, _W = np.uint64, np.uint32
 #: Bounds of a bit's stretched probability.
 _LEAST, _MOST = np.float32(-14), np.float32(14)
+#: Bits whose costs take one logarithm: their product stays below 1.3e6 ** _LOGS, inside float32.
+_LOGS = 6
 #: What a follower that came so often speaks with, and how well it is known.
 _STRENGTH = np.where(np.arange(64) > 0, np.log(2.0 * np.arange(64) + 1) + 1, 0).astype(np.float32)
 _KNOWN = (np.arange(64)[:, None] > [0, 1, 3]).sum(axis=1)
@@ -267,7 +269,7 @@ class Model:
         return shared.astype(np.int32), _STRENGTH[times], _KNOWN[times]
 
     def _symbol_bits(self, t: Tokens, at: np.ndarray):
-        """The order of some tokens by length of code, and place by place the (gate, four stretched values) of the first of them, that have a bit there.
+        """The order of some tokens by length of code, how many have a bit at each place, and place by place the (gate, four stretched values) of the first of them, that have a bit there.
 
         A value above 0 speaks for the bit.  Places come one after the other,
         so that all that belongs to a token is read in order.
@@ -283,7 +285,9 @@ class Model:
             values.append(strength)
             known *= step
             gates += known
-            ends.append((shared, known))
+            # a token's first difference lies inside its code, so those of a place have a bit there
+            cuts = np.cumsum(np.append(0, np.bincount(shared, minlength=code.deepest + 1))).tolist()
+            ends.append((np.argsort(shared.astype(np.uint8), kind="stable"), cuts, known))
 
         def places():
             # all that is taken lies inside its table; "wrap" only spares a second look
@@ -294,8 +298,8 @@ class Model:
                 gate = gates[:n] + 32 * min(place, 7)
                 gate += raw >> 1 & 1
                 past = []
-                for value, (shared, known) in zip(values, ends):
-                    differ = np.flatnonzero(shared[:n] == place)
+                for value, (by, cuts, known) in zip(values, ends):
+                    differ = by[cuts[place] : cuts[place + 1]]
                     value[differ] *= -1
                     past.append((value, known, differ))
                 yield gate, [self.nodes[place].take(symbol[:n], mode="wrap") * unit, raw * sign, values[0][:n], values[1][:n]]
@@ -303,7 +307,7 @@ class Model:
                     value[differ] = 0
                     gates[differ] -= known[differ]
 
-        return order, places()
+        return order, have, places()
 
     def _byte_bits(self, t: Tokens, at: np.ndarray):
         """As _symbol_bits, of the bytes of some spelt words; the order names the bytes' words."""
@@ -324,7 +328,7 @@ class Model:
                 gate += _SYMBOL_GATES + 16 * min(place, 7)
                 yield gate, [r * sign for r in raw]
 
-        return who[order], places()
+        return who[order], have, places()
 
     def score(self, t: Tokens, fitted: list | None = None) -> np.ndarray:
         """Cost in bits of each text; with ``fitted``, slopes and curvatures of the gates' weights are put there."""
@@ -364,14 +368,17 @@ class Model:
         parts = [self._symbol_bits(t, at)]
         spelt = np.flatnonzero(t.symbol[at] == _ESCAPE)
         if len(spelt):
-            token, places = self._byte_bits(t, at[spelt])
-            parts.append((spelt[token], places))
+            token, have, places = self._byte_bits(t, at[spelt])
+            parts.append((spelt[token], have, places))
         cells, grads, one = [], [], np.float32(1)
-        for token, places in parts:
+        if refine:
+            bits, done = sum(sum(have) for _, have, _ in parts), 0
+            cells, grads = np.empty(bits, np.int64), np.empty((KINDS, bits), np.float32)
+        for token, _, places in parts:
             text = own[token]
             first = text * GATES
-            spent = np.zeros(len(token), np.float32)
-            for gate, st in places:
+            spent, product = np.zeros(len(token), np.float32), np.ones(0, np.float32)
+            for place, (gate, st) in enumerate(places):
                 n = len(gate)
                 cell = gate if fitted is not None else np.add(gate, first[:n], out=gate)
                 weights = w.take(cell, mode="wrap").view(np.float32).reshape(n, KINDS)
@@ -381,11 +388,23 @@ class Model:
                 odds = z.clip(_LEAST, _MOST, out=z)
                 np.exp(np.negative(z, out=z), out=odds)
                 odds += one  # 1 / probability of the bit
-                spent[:n] += np.log2(odds)
                 if refine or fitted is not None:
-                    err = one - one / odds
+                    err = one / odds
+                    np.subtract(one, err, out=err)
+                if refine:
+                    cells[done : done + n] = cell
+                    for grad, x in zip(grads, st):
+                        np.multiply(err, x, out=grad[done : done + n])
+                    done += n
+                elif fitted is not None:
                     cells.append(cell)
-                    grads.append([*(x.copy() for x in st), err, err / odds] if fitted is not None else [err * x for x in st])
+                    grads.append([*(x.copy() for x in st), err, err / odds])
+                if place % _LOGS:
+                    product[:n] *= odds
+                else:
+                    spent[: len(product)] += np.log2(product)
+                    product = odds
+            spent[: len(product)] += np.log2(product)
             total[who] += np.bincount(text, spent, len(who))
         if fitted is not None:
             cell = np.concatenate(cells).astype(np.uint16)
@@ -399,10 +418,9 @@ class Model:
                     sums[k, KINDS:] = ((st[:, a:b] * spread[a:b]) @ st[:, a:b].T)[i, j]
             fitted.append(sums)
         if refine:
-            cell = np.concatenate(cells)
-            grad, times = np.empty((len(w), KINDS), np.float32), np.bincount(cell, minlength=len(w)) + INERTIA
-            for i, x in enumerate(zip(*grads)):
-                np.divide(np.bincount(cell, np.concatenate(x), len(w)), times, out=grad[:, i], casting="same_kind")
+            grad, times = np.empty((len(w), KINDS), np.float32), np.bincount(cells, minlength=len(w)) + INERTIA
+            for i, x in enumerate(grads):
+                np.divide(np.bincount(cells, x, len(w)), times, out=grad[:, i], casting="same_kind")
             return who, grad.reshape(-1, GATES, KINDS)
 
     def fit(self, apart: DataFrame) -> None:
@@ -438,7 +456,11 @@ class Model:
 
 def _squeeze(values: np.ndarray) -> bytes:
     """Numbers by byte planes, compressed."""
-    return pa.compress(values.reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+    values = values.reshape(-1)
+    planes = np.empty((values.itemsize, len(values)), np.uint8)
+    for k, plane in enumerate(planes):
+        plane[:] = values >> values.dtype.type(8 * k) & values.dtype.type(0xFF)
+    return pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unsqueeze(raw: bytes, kind, n: int) -> np.ndarray:
@@ -452,17 +474,30 @@ _TABLES = (AFTER_BITS, *BYTE_BITS)
 _STARTS = np.cumsum([0, *(1 << max(0, bits - _PACK) for bits in _TABLES)])  # in blocks
 
 
-def _count_bits(code: Code, symbol: np.ndarray, contexts: list[np.ndarray], tables: list[np.ndarray], bits: tuple[int, ...]) -> None:
-    """Counts the bits of some symbols in the slots of their contexts."""
+def _count_bits(code: Code, symbol: np.ndarray, contexts: list[np.ndarray], tables: list[np.ndarray], bits: tuple[int, ...], times: np.ndarray | None = None) -> None:
+    """Counts the bits of some symbols, that came so many times each, in the slots of their contexts."""
     order, have = code.by_length(symbol)
     left, contexts = code.left[symbol[order]], [c[order] for c in contexts]
+    if times is not None:
+        times = times[order]
     for place, n in enumerate(have):
         node, bit = code.nodes_at(left[:n], place), code.bits_at(left[:n], place)
         for table, width, c in zip(tables, bits, contexts):
             slot = _slots(c[:n], width, node)
             slot <<= 1
             slot += bit
-            np.add.at(table, slot, _W(1))
+            np.add.at(table, slot, _W(1) if times is None else times[:n])
+
+
+def _count_pairs(code: Code, pairs: list[np.ndarray], table: np.ndarray) -> None:
+    """Counts the bits of symbols behind words, given as context << 18 | symbol; equal pairs are summed first."""
+    keys = np.concatenate(pairs)
+    keys.sort()
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
+    times, keys = np.diff(np.append(new, len(keys))).astype(_W), keys[new]
+    for low in range(0, len(keys), _TOKENS_AT_ONCE):
+        some = keys[low : low + _TOKENS_AT_ONCE]
+        _count_bits(code, (some & _U(0x3FFFF)).astype(np.int64), [(some >> _U(18)).astype(_W)], [table], (AFTER_BITS,), times[low : low + _TOKENS_AT_ONCE])
 
 
 def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
@@ -480,11 +515,15 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
         model = held.value
         seen: dict[int, list[np.ndarray]] = {}
         after: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        pairs: dict[int, list[np.ndarray]] = {0: [], 1: []}
         bytes_ = np.zeros((2, 256), np.int64)  # of spelt words, which stand for their first table
         size = 0
 
         def tables_():
             for part, tables in seen.items():
+                if pairs[part]:
+                    _count_pairs(model.code, pairs[part], tables[0])
+                    pairs[part] = []
                 at, _, node, bit = _paths(model.byte_code, np.arange(256))
                 np.add.at(tables[1], _slots(np.zeros(len(at), _W), BYTE_BITS[0], node) * 2 + bit, bytes_[part][at].astype(_W))
                 bytes_[part] = 0
@@ -522,9 +561,10 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
                     if part not in seen:
                         seen[part] = [np.zeros(2 << bits, np.uint32) for bits in _TABLES]
                     tables = seen[part]
-                    for low in range(0, len(t.symbol), _TOKENS_AT_ONCE):
-                        part_ = slice(low, low + _TOKENS_AT_ONCE)
-                        _count_bits(model.code, t.symbol[part_], [t.after[part_]], tables[:1], (AFTER_BITS,))
+                    pairs[part].append(t.after.astype(np.uint64) << _U(18) | t.symbol.astype(np.uint64))
+                    if sum(len(k) for k in pairs[part]) >= _FOLLOWERS:
+                        _count_pairs(model.code, pairs[part], tables[0])
+                        pairs[part] = []
                     rare = np.flatnonzero(t.rare)
                     for low in range(0, len(rare), _TOKENS_AT_ONCE):
                         _, byte, contexts = t.spelt(rare[low : low + _TOKENS_AT_ONCE])

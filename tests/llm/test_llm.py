@@ -372,6 +372,25 @@ def test_lm_the_driver_holds_one_model_at_a_time(spark):
         tracemalloc.stop()
 
 
+def test_lm_equal_pairs_are_counted_once_for_all():
+    rng = np.random.default_rng(5)
+    code = lm_scoring.Code(rng.integers(1, 1000, 300))
+    symbol, after = rng.integers(0, 300, 40_000), rng.integers(0, 9, 40_000).astype(np.uint32) << np.uint32(28)
+    one, other = (np.zeros(2 << lm_scoring.AFTER_BITS, np.uint32) for _ in range(2))
+    lm_scoring._count_bits(code, symbol, [after], [one], (lm_scoring.AFTER_BITS,))
+    pairs = after.astype(np.uint64) << np.uint64(18) | symbol.astype(np.uint64)
+    lm_scoring._count_pairs(code, [pairs[:7], pairs[7:]], other)
+    assert one.sum() == code.length[symbol].sum() and (one == other).all()
+
+
+def test_lm_costs_of_unlikely_bits_stay_finite():
+    least = np.float32(1) + np.exp(-lm_scoring._LEAST)
+    product = np.ones(1, np.float32)
+    for _ in range(lm_scoring._LOGS):
+        product *= least
+    assert np.isfinite(product).all() and abs(np.log2(product)[0] / (lm_scoring._LOGS * np.log2(float(least))) - 1) < 1e-6
+
+
 def test_lm_a_text_costs_the_same_whatever_it_is_scored_with(spark):
     rng = random.Random(14)
     docs = spark.createDataFrame([(k, " ".join(words(rng, 2500 if k % 3 else 1000 + 7 * k, 60 + 20 * k))) for k in range(30)], "doc_id long, text string")
