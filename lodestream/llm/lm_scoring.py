@@ -56,6 +56,8 @@ _CHUNK, _SCORED, _TOKENS_AT_ONCE = 1 << 19, 1 << 19, 1 << 14
 _PACK = 14  # slots that travel as one block, as a power of two
 #: Bytes of text that a task counts before it sends its tables, and followers that it holds before it sends them.
 _FLUSH, _FOLLOWERS = 1 << 27, 1 << 21
+#: Pairs of a word and the one before that a task holds before it counts them.
+_PAIRS = 1 << 19
 _U, _W = np.uint64, np.uint32
 #: Bounds of a bit's stretched probability.
 _LEAST, _MOST = np.float32(-14), np.float32(14)
@@ -562,7 +564,7 @@ def count_contexts(docs: DataFrame, model: Model) -> DataFrame:
                         seen[part] = [np.zeros(2 << bits, np.uint32) for bits in _TABLES]
                     tables = seen[part]
                     pairs[part].append(t.after.astype(np.uint64) << _U(18) | t.symbol.astype(np.uint64))
-                    if sum(len(k) for k in pairs[part]) >= _FOLLOWERS:
+                    if sum(len(k) for k in pairs[part]) >= _PAIRS:
                         _count_pairs(model.code, pairs[part], tables[0])
                         pairs[part] = []
                     rare = np.flatnonzero(t.rare)
