@@ -301,7 +301,44 @@ def _linked(tasks: DataFrame, keys: list[str], payloads: DataFrame, linker: Link
     return by_group(tasks.join(payloads, "id"), keys, link, "a long, b long", _AT_ONCE)
 
 
-def resolve(member: DataFrame, payloads: DataFrame, linker: Linker, block: int = 128) -> DataFrame:
+def _bucket_rows(made: Callable):
+    """(bucket, side, id, label, other) of rows (payload, id, label, other); an id comes once in a bucket, with side 0 if it has it."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, row = made(batch.column(0).to_pylist())
+            order = np.lexsort((key, row))
+            key, row = key[order], row[order]
+            first = np.ones(len(key), bool)
+            first[1:] = (row[1:] != row[:-1]) | (key[1:] >> 1 != key[:-1] >> 1)
+            key, row = key[first], pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array((key & 1).astype(np.int32)), *[batch.column(c).take(row) for c in (1, 2, 3)]], names=["bucket", "side", "id", "label", "other"])
+
+    return run
+
+
+def _linked_by_bucket(split: DataFrame, payloads: DataFrame, made: Callable, linker: Linker, block: int) -> DataFrame:
+    """Edges (a, b) between members (id, label, other) of one bucket with unlike labels; other: the label isn't its family's largest.
+
+    A bucket is looked at if it has an entry and two labels; of buckets of the
+    same ids one is.  In one of more than a block either its entries or the
+    others, whichever are fewer, meet all its blocks.
+    """
+    rows = materialise(split.join(payloads, "id").select("payload", "id", "label", "other").mapInArrow(_bucket_rows(made), "bucket long, side int, id long, label long, other boolean"))
+    same = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 0).alias("entries"), F.count_if("other").alias("others"), F.min("label").alias("low"), F.max("label").alias("high"), *same, F.bit_xor(F.xxhash64("id", "side")).alias("sides"))
+    sizes = sizes.filter("entries > 0 and low <> high").groupBy("n", "s0", "s1", F.expr("if(n > 2, sides, 0L)")).agg(F.min(F.struct("bucket", "entries", "others")).alias("b"))
+    sizes = sizes.select("b.bucket", F.ceil(F.col("n") / block).cast("long").alias("blocks"), (F.col("b.entries") <= F.col("b.others")).alias("by_entry"), F.ceil(F.least("b.entries", "b.others") / block).cast("long").alias("groups"))
+    met = rows.join(materialise(sizes), "bucket").select("bucket", "id", "label", "blocks", "groups", F.expr("if(by_entry, side = 0, other)").alias("all"))
+    met = materialise(met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    every = met.filter("blocks > 1 or not all").select("bucket", "id", "label", "block", F.expr("explode(sequence(0L, groups - 1))").alias("group"), F.lit(0).alias("side"))
+    alone = met.filter("all").select("bucket", "id", "label", F.expr("explode(sequence(0L, blocks - 1))").alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).alias("group"), F.lit(1).alias("side"))
+    return _linked(every.unionByName(alone), ["bucket", "block", "group"], payloads, linker)
+
+
+def resolve(member: DataFrame, payloads: DataFrame, linker: Linker, block: int = 128, made: Callable | None = None, in_bucket: Linker | None = None) -> DataFrame:
     """(id, component) of the ids that the linker links, all others left out.
 
     member: (id, family) and payloads: (id long, payload), one row an id, both
@@ -309,7 +346,10 @@ def resolve(member: DataFrame, payloads: DataFrame, linker: Linker, block: int =
     known to hang together, and pairs never leave a task: a task holds at most
     two blocks and returns one row per member.  A family of more than a block
     is dealt out to blocks first, each with the same few pivots; whoever isn't
-    in the family's largest group then meets all its blocks.
+    in the family's largest group then meets all its blocks.  With ``made``,
+    that makes (key, position) of payloads' buckets, only members of one bucket
+    meet instead, by the linker ``in_bucket``: a family that hangs together by
+    chance then costs what its buckets hold, not the square of its size.
     """
     sizes = member.groupBy("family").agg(
         F.ceil(F.count("*") / block).cast("long").alias("blocks"),
@@ -329,8 +369,17 @@ def resolve(member: DataFrame, payloads: DataFrame, linker: Linker, block: int =
     large = materialise(large)
     main = materialise(large.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("n")))
     apart = main.filter("all > n").select("family", "main", F.ceil((F.col("all") - F.col("n")) / block).cast("long").alias("groups"))
+    if made:
+        split = large.join(apart, "family").select("id", "label", (F.col("label") != F.col("main")).alias("other"))
+        more, found = materialise_counted(_linked_by_bucket(split, payloads, made, in_bucket, block), F.count("*"))
+        return _with_more(known, more) if found else known
     split = large.join(apart, "family").withColumn("group", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")))
     every = split.select("id", "family", "label", "block", F.expr("explode(sequence(0L, groups - 1))").alias("group"), F.lit(0).alias("side"))
     alone = split.filter("label <> main").select("id", "family", "label", F.expr("explode(sequence(0L, blocks - 1))").alias("block"), "group", F.lit(1).alias("side"))
     more, found = materialise_counted(_linked(every.unionByName(alone), ["family", "block", "group"], payloads, linker), F.count("*"))
-    return components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)) if found else known
+    return _with_more(known, more) if found else known
+
+
+def _with_more(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (id, component) of known ones and edges (a, b)."""
+    return components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(edges))

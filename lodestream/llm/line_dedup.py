@@ -269,24 +269,31 @@ def edit_distance_within(a: bytes | np.ndarray, b: bytes | np.ndarray, most: int
     return True
 
 
-def edit_linker(distance: int):
-    """Links near copies, by words or at most ``distance`` bytes apart; the same segment indexes find them inside a task."""
-
-    def link(texts, group, forest, side):
-        own, keys, lines = [], [], []
-        chunk = np.cumsum([len(t) for t in texts]) // tk.CHUNK_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(texts)]
-        for low, high in zip(cuts, cuts[1:]):
-            size = np.array([len(t) for t in texts[low:high]], np.int64)
-            ends = np.cumsum(size)
-            data = np.frombuffer(b"".join(texts[low:high]), np.uint8)
-            sums = tk.prefix_sums(data)
-            words, first = line_words(data, sums, ends - size, ends)
-            own += [words[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+def _of_texts(texts: list[bytes], distance: int, keyed: bool = True) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each line's words, and (key, line) of all lines' buckets if they are ``keyed``."""
+    own, keys, lines = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    chunk = np.cumsum([len(t) for t in texts]) // tk.CHUNK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(texts)]
+    for low, high in zip(cuts, cuts[1:]):
+        size = np.array([len(t) for t in texts[low:high]], np.int64)
+        ends = np.cumsum(size)
+        data = np.frombuffer(b"".join(texts[low:high]), np.uint8)
+        sums = tk.prefix_sums(data)
+        words, first = line_words(data, sums, ends - size, ends)
+        own += [words[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        if keyed:
             key, line = _made(sums, ends - size, ends, words, first[:-1], np.diff(first), distance)
             keys.append(key)
             lines.append(line + low)
-        key, line, n_words = np.concatenate(keys), np.concatenate(lines), np.array([len(w) for w in own], np.int64)
+    return own, np.concatenate(keys), np.concatenate(lines)
+
+
+def edit_linker(distance: int, whole: bool = False):
+    """Links near copies, by words or at most ``distance`` bytes apart; the same segment indexes find them inside a task, or a group is one bucket (``whole``)."""
+
+    def link(texts, group, forest, side):
+        own, key, line = _of_texts(texts, distance, not whole)
+        n_words = np.array([len(w) for w in own], np.int64)
         bags = [set(w.tolist()) for w in own]
         edits = [word_edits(n_words).tolist(), n_words.tolist(), [len(b) for b in bags]]
         few = _few_words(distance)
@@ -300,6 +307,16 @@ def edit_linker(distance: int):
                 return True
             return min(edits[1][i], edits[1][j]) < few and edit_distance_within(texts[i], texts[j], distance)
 
+        if whole:
+            for a, b in zip(group[:-1].tolist(), group[1:].tolist()):
+                for i in range(a, b):
+                    if side is None or side[i]:
+                        for j in range(a, b):
+                            # of two that meet everyone, one looks at the other
+                            if (j > i or side is not None and not side[j]) and forest.root(i) != forest.root(j) and near(i, j):
+                                forest.join(i, j)
+            return
+
         # buckets of one group only
         number = np.repeat(np.arange(len(group) - 1), np.diff(group))[line]
         order = np.lexsort((key, number))
@@ -376,7 +393,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
         firsts = materialise(lines.groupBy("h", "g").agg(F.min(place).alias("at"), F.count("*").alias("n")))
         bare = docs.select("text")
         member = materialise(families(bare, _keys(distance)))
-        found = materialise(resolve(member, materialise(_texts_of(bare, member)), edit_linker(distance), BLOCK))
+        texts = materialise(_texts_of(bare, member))
+        found = materialise(resolve(member, texts, edit_linker(distance), BLOCK, lambda texts: _of_texts(texts, distance)[1:], edit_linker(distance, True)))
         near = materialise(firsts.join(found, firsts.h == found.id).select("h", "g", "at", F.col("component").alias("class")))
         least = materialise(near.groupBy("class").agg(F.min("at").alias("first")))
         moved = near.join(least, "class").filter("first <> at").select(F.col("h").alias("nh"), F.col("g").alias("ng"), "first")

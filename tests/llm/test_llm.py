@@ -170,6 +170,32 @@ def test_lines_with_edited_words_against_brute_force(spark):
     assert {r.doc_id for r in line_dedup.line_report(docs).collect() if r.removed} == want and len(want) > len(lines) // 2
 
 
+def test_a_family_that_hangs_together_by_chance_costs_its_buckets(spark, monkeypatch):
+    """Each line begins as one ends or begins and isn't near it; the tasks' rows don't grow with the family's square."""
+    rng = random.Random(5)
+    half = [words(rng, 4, 30000) for _ in range(121)]
+    ends = [words(rng, 8, 30000) for _ in range(120)]
+    lines = [" ".join([*half[i], *ends[i][:4]]) for i in range(120)] + [" ".join([*half[i + 1], *ends[i][:4]]) for i in range(120)]
+    near = [" ".join([*x.split()[:5], "replaced", *x.split()[6:]]) for x in lines[::12]]
+    lines += near
+    seen, linked = [], clusters._linked
+
+    def counted(tasks, *rest):
+        seen.append(tasks.count())
+        return linked(tasks, *rest)
+
+    monkeypatch.setattr(clusters, "_linked", counted)
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in line_dedup.line_report(docs).collect() if r.removed}
+    assert got == set(range(240, 240 + len(near)))
+    assert len(seen) == 2 and max(seen) < 4 * len(lines)
+    # one bucket of more than a block
+    seen.clear()
+    docs = spark.createDataFrame([(i, " ".join([*half[0], *ends[i][:4]])) for i in range(40)] + [(40 + i, " ".join([*half[0], *ends[i][:3], "replaced"])) for i in range(40)], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.line_report(docs).collect() if r.removed} == set(range(40, 80)) and len(seen) == 2
+
+
 def test_line_dedup_leaves_one_table_and_materialise_no_shuffle_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(shared, "shared_folder", lambda _: str(tmp_path))
     blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
