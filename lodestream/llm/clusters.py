@@ -277,6 +277,8 @@ Linker = Callable[[list, np.ndarray, Forest, "np.ndarray | None"], None]
 
 #: Members that each block of a large family is compared with at once.
 PIVOTS = 4
+#: Tasks that a member of a large family goes to at most before families meet by bucket instead, where that is possible.
+DEALT = 16
 #: Rows of whole groups that a linker gets at once.
 _AT_ONCE = 512
 
@@ -347,9 +349,10 @@ def resolve(member: DataFrame, payloads: DataFrame, linker: Linker, block: int =
     two blocks and returns one row per member.  A family of more than a block
     is dealt out to blocks first, each with the same few pivots; whoever isn't
     in the family's largest group then meets all its blocks.  With ``made``,
-    that makes (key, position) of payloads' buckets, only members of one bucket
-    meet instead, by the linker ``in_bucket``: a family that hangs together by
-    chance then costs what its buckets hold, not the square of its size.
+    that makes (key, position) of payloads' buckets, members of families that
+    would go to more than DEALT tasks each meet by bucket instead, by the linker
+    ``in_bucket``: a family that hangs together by chance then costs what its
+    buckets hold, not the square of its size.
     """
     sizes = member.groupBy("family").agg(
         F.ceil(F.count("*") / block).cast("long").alias("blocks"),
@@ -368,15 +371,20 @@ def resolve(member: DataFrame, payloads: DataFrame, linker: Linker, block: int =
     large = dealt.filter("blocks > 1").join(known, "id", "left").select("id", "family", "blocks", "block", F.coalesce("component", "id").alias("label"))
     large = materialise(large)
     main = materialise(large.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("n")))
-    apart = main.filter("all > n").select("family", "main", F.ceil((F.col("all") - F.col("n")) / block).cast("long").alias("groups"))
+    apart = main.filter("all > n").select("family", "main", F.ceil((F.col("all") - F.col("n")) / block).cast("long").alias("groups"), "all")
+    by_bucket = None
     if made:
-        split = large.join(apart, "family").select("id", "label", (F.col("label") != F.col("main")).alias("other"))
-        more, found = materialise_counted(_linked_by_bucket(split, payloads, made, in_bucket, block), F.count("*"))
-        return _with_more(known, more) if found else known
+        wide = F.col("groups") + F.ceil(F.col("all") / block) > DEALT
+        met = large.join(apart.filter(wide), "family").select("id", "label", (F.col("label") != F.col("main")).alias("other"))
+        met, any_met = materialise_counted(met, F.count("*"))
+        by_bucket = materialise(_linked_by_bucket(met, payloads, made, in_bucket, block)) if any_met else None
+        apart = apart.filter(~wide)
     split = large.join(apart, "family").withColumn("group", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")))
     every = split.select("id", "family", "label", "block", F.expr("explode(sequence(0L, groups - 1))").alias("group"), F.lit(0).alias("side"))
     alone = split.filter("label <> main").select("id", "family", "label", F.expr("explode(sequence(0L, blocks - 1))").alias("block"), "group", F.lit(1).alias("side"))
     more, found = materialise_counted(_linked(every.unionByName(alone), ["family", "block", "group"], payloads, linker), F.count("*"))
+    if by_bucket is not None:
+        more, found = more.unionByName(by_bucket), 1
     return _with_more(known, more) if found else known
 
 
