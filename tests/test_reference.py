@@ -60,6 +60,21 @@ def test_shortest_paths_against_numpy(spark):
     assert {(r.i, r.j): r.d for r in graph.all_pairs(edges, n, size=8).collect()} == want
 
 
+def test_all_pairs_makes_no_tiles_that_nothing_reaches(spark, monkeypatch):
+    """Five rings of four vertices, two tiles wide each: four tiles a ring, not the matrix."""
+    tables, cut = [], graph.cut
+
+    def counted(df):
+        tables.append((out := cut(df), out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    edges = spark.createDataFrame([(4 * r + k, 4 * r + (k + 1) % 4, 1 + k) for r in range(5) for k in range(4)], "src long, dst long, w long")
+    got = {(r.i, r.j): r.d for r in graph.all_pairs(edges, 20, size=2).collect()}
+    assert len(got) == 5 * 16 and got[4, 7] == 6 and got[7, 4] == 4 and got[19, 18] == 4 + 1 + 2
+    assert max(n for _, n in tables) == 5 * 4
+
+
 def test_minplus_meets_by_tiles_whatever_the_keys(spark, monkeypatch):
     rng = random.Random(8)
     cells = [[(rng.randrange(40) * 1000 - 7, rng.randrange(40) * 1000 - 7, rng.randrange(-20, 50)) for _ in range(300)] for _ in range(2)]
